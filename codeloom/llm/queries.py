@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import ensure_checkpoint_dir, read_table
+from .packing import pack, token_pieces
 from .simhash import near_duplicates
 from .substrings import dedup_substrings
+from .token_files import read_token_files, with_crc, write_token_files
+
+
+#: The tokenizer of the queries.
+TOKENIZER = "word_bpe_49k.json"
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in sequences of at most 4096 tokens."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = token_pieces(docs, public_tokenizers.path(TOKENIZER), end_id=1, capacity=4096)
+    digests = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return pack(digests, 4096)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +35,14 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(kept, 256).alias("kept_sha256"))
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as token ids in ORC files, read back."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = f"{ensure_checkpoint_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    write_token_files(docs, path, public_tokenizers.path(TOKENIZER), end_id=2)
+    return with_crc(read_token_files(spark, path))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash of 3-word shingles and components at two bits."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -26,7 +51,9 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_token_files": op7_token_files,
     "op9_simhash": op9_simhash,
 }
 SQL: dict[str, str] = {}
