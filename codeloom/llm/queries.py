@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ensure_checkpoint_dir, read_table
+from .language import fit, predict
 from .packing import pack, token_pieces
+from .quality import quality_rules
 from .simhash import near_duplicates
 from .substrings import dedup_substrings
 from .token_files import read_token_files, with_crc, write_token_files
+from .urls import filter_urls
 
 
 #: The tokenizer of the queries.
@@ -27,6 +30,24 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(digests, 4096)
 
 
+# The rules of the query.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return filter_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict for every document."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = quality_rules(docs)
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "covered_words")
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the 13-word windows of earlier documents."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -50,10 +71,70 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from the documents that aren't
+    held out."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    model = fit(docs.filter(~held).filter("doc_id is not null"))
+    found = predict(docs.select("doc_id", "text", held.alias("held_out")), model)
+    return found.select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op3_url_filter": op3_url_filter,
+    "op4_quality_rules": op4_quality_rules,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_token_files": op7_token_files,
     "op9_simhash": op9_simhash,
+    "op10_language_id": op10_language_id,
+}
+SQL: dict[str, str] = {
+    "op3_url_filter": r"""
+with u as (
+  select page_id, coalesce(case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) end, '') rest from pages
+), p as (
+  select page_id,
+    translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) path
+  from u
+), r(h, q, v) as (values ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+), m as (
+  select page_id, host, path, max(struct_pack(n := length(h || q), rule := h || q, v := v)) best
+  from p left join r on (host = h or ends_with(host, '.' || h)) and starts_with(path, q)
+  group by page_id, host, path
+)
+select page_id, host, path, best.rule as rule, coalesce(best.v, 'allow') as verdict from m
+""",
+    "op4_quality_rules": r"""
+with d as (select doc_id, coalesce(text, '') t from documents),
+w as (select doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') ws from d),
+win as (
+  select doc_id, i, unnest([5, 8, 101]) k, ws from (select doc_id, ws, unnest(range(1, len(ws) + 1)) i from w)
+), full_win as (
+  select doc_id, k, i, hash(array_to_string(ws[i:i + k - 1], ' ')) h, array_to_string(ws[i:i + k - 1], ' ') s from win where i + k - 1 <= len(ws)
+), found as (
+  select doc_id, k, i from (select doc_id, k, i, count(*) over (partition by doc_id, k, h, s) n from full_win) where n > 1
+), covered as (
+  select doc_id, k, count(distinct j) n from (select doc_id, k, unnest(range(i, i + k)) j from found) group by doc_id, k
+), lines as (
+  select doc_id, l, count(*) n from (select doc_id, unnest(string_split(t, chr(10))) l from d) where regexp_matches(l, '[^\x20\x09-\x0D]') group by doc_id, l
+), dup as (select doc_id, sum(n - 1) n from lines group by doc_id),
+m as (
+  select doc_id, len(ws) n_words, coalesce(length(array_to_string(ws, '')), 0) word_chars,
+    length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) n_symbols,
+    coalesce((select n from dup where dup.doc_id = w.doc_id), 0) n_dup_lines,
+    coalesce((select n from covered c where c.doc_id = w.doc_id and k = 8), 0) n_repeat_words,
+    coalesce((select n from covered c where c.doc_id = w.doc_id and k = 5), 0) covered_words,
+    exists (select 1 from covered c where c.doc_id = w.doc_id and k = 101) too_long
+  from w
+)
+select doc_id, cast(n_words as bigint) n_words, cast(word_chars as bigint) word_chars, cast(n_symbols as bigint) n_symbols,
+  cast(n_dup_lines as bigint) n_dup_lines, cast(n_repeat_words as bigint) n_repeat_words,
+  n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
+  not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and 10 * covered_words <= 4 * n_words and not too_long as kept,
+  cast(covered_words as bigint) covered_words
+from m
+""",
 }
-SQL: dict[str, str] = {}
