@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ensure_checkpoint_dir, read_table
+from .decontaminate import find_leaks
 from .language import fit, predict
 from .packing import pack, token_pieces
 from .quality import quality_rules
@@ -48,6 +49,14 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "covered_words")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaked benchmark items of every document that has any."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    marked = find_leaks(docs, read_table(spark, sf_dir, "benchmark"))
+    found = marked.select("doc_id", F.explode("leaks").alias("leak"))
+    return found.select("doc_id", F.col("leak.item_id").alias("item_id"), F.col("leak.similarity").alias("similarity"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the 13-word windows of earlier documents."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -85,6 +94,7 @@ QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_url_filter": op3_url_filter,
     "op4_quality_rules": op4_quality_rules,
+    "op5_decontamination": op5_decontamination,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_token_files": op7_token_files,
     "op9_simhash": op9_simhash,
