@@ -9,9 +9,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import format_preferences, swapped_endings
 from .common import ensure_checkpoint_dir, read_table
 from .decontaminate import find_leaks
 from .language import fit, predict
+from .lm_score import labelled_target, score_documents
 from .packing import pack, token_pieces
 from .quality import quality_rules
 from .simhash import near_duplicates
@@ -32,6 +34,14 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(digests, 4096)
 
 
+def op2_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation against itself with its neighbour's ending."""
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    pairs = format_preferences(turns, swapped_endings(turns), key="conv_id").withColumnRenamed("pair_id", "conv_id")
+    shown = [F.expr(f"array_join(transform({c}_spans, s -> concat(s.start, '+', s.length)), ',')").alias(f"{c}_spans") for c in ("chosen", "rejected")]
+    return pairs.select("conv_id", "n_prompt_turns", "prompt", "chosen", "rejected", *shown)
+
+
 # The rules of the query.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -74,6 +84,13 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_crc(read_token_files(spark, path))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-entropy difference of every document: labelled good against all."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_documents(labelled_target(docs, read_table(spark, sf_dir, "labels")), "target")
+    return scored.select("doc_id", "n_tokens", "loss_target", "loss_background", "score")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash of 3-word shingles and components at two bits."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -99,15 +116,55 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "pipeline": pipeline,
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_preferences": op2_preferences,
     "op3_url_filter": op3_url_filter,
     "op4_quality_rules": op4_quality_rules,
     "op5_decontamination": op5_decontamination,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_token_files": op7_token_files,
+    "op8_lm_score": op8_lm_score,
     "op9_simhash": op9_simhash,
     "op10_language_id": op10_language_id,
 }
 SQL: dict[str, str] = {
+    "op2_preferences": r"""
+with t as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null
+), last as (
+  select conv_id, max(struct_pack(turn := turn, text := text)) l from t where role = 'assistant' group by conv_id
+), rej as (
+  select t.conv_id, t.turn, t.role,
+    case when t.role = 'assistant' and t.turn = o.l.turn and t.text = o.l.text then n.l.text else t.text end as text
+  from t left join last o on o.conv_id = t.conv_id left join last n on n.conv_id = xor(t.conv_id, 1)
+  where not coalesce(t.role = 'assistant' and t.turn = o.l.turn and t.text = o.l.text, false) or n.l.text is not null
+), c as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) i from t),
+r as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) i from rej),
+n as (
+  select k.conv_id, least(coalesce(min(j.i) filter (where not j.eq), 1000000000), max(j.i) + 1) - 1 as n
+  from (select distinct conv_id from c) k
+  join (
+    select coalesce(c.conv_id, r.conv_id) conv_id, coalesce(c.i, r.i) i, coalesce(c.role = r.role and c.text = r.text, false) eq
+    from c full join r on c.conv_id = r.conv_id and c.i = r.i
+  ) j on j.conv_id = k.conv_id
+  group by k.conv_id
+), w as (
+  select 'c' side, * from c union all select 'r' side, * from r
+), z as (
+  select side, w.conv_id, i, role, i <= n.n as common, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) as s,
+    length(role) + 13 as head, length(text) + 11 as body
+  from w join n on n.conv_id = w.conv_id
+), o as (
+  select *, coalesce(sum(head + body) over (partition by side, conv_id, common order by i rows between unbounded preceding and 1 preceding), 0) as before from z
+)
+select n.conv_id, cast(n.n as integer) n_prompt_turns,
+  coalesce(string_agg(s, '' order by i) filter (where side = 'c' and common), '') prompt,
+  coalesce(string_agg(s, '' order by i) filter (where side = 'c' and not common), '') chosen,
+  coalesce(string_agg(s, '' order by i) filter (where side = 'r' and not common), '') rejected,
+  coalesce(string_agg(cast(before + head as bigint) || '+' || body, ',' order by i) filter (where side = 'c' and not common and role = 'assistant'), '') chosen_spans,
+  coalesce(string_agg(cast(before + head as bigint) || '+' || body, ',' order by i) filter (where side = 'r' and not common and role = 'assistant'), '') rejected_spans
+from n left join o on o.conv_id = n.conv_id
+group by n.conv_id, n.n
+""",
     "op3_url_filter": r"""
 with u as (
   select page_id, coalesce(case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) end, '') rest from pages
