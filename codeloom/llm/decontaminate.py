@@ -1,9 +1,10 @@
 """Operator 5: benchmark decontamination by rare n-gram seeds and alignment.
 
-Words are compared in lower case without anything but letters and digits.  Of
-every ``stride`` neighbouring n-grams of a benchmark item, the one that occurs
-in the fewest documents of the corpus is a seed: a run of unchanged words
-holds one, however often the item was copied.  Where a document has a seed,
+Words are compared in lower case without anything but letters and digits.  An
+n-gram of a benchmark item is a seed if it is in few of the corpus' documents
+(``rare`` of them at most); and of every ``stride`` neighbouring n-grams the one
+in the fewest is a seed in any case, so an item has seeds all along however
+often it was copied.  Where a document has a seed,
 the passage around it is aligned with the item (Smith-Waterman on words), so
 edits, insertions and left-out words lower the score but don't hide a copy.
 
@@ -39,7 +40,9 @@ class Match:
     """What counts as a leak."""
 
     width: int = 4  # words of a seed
-    stride: int = 4  # n-grams of an item for each seed
+    stride: int = 4  # n-grams of an item with a seed among them in any case
+    rare: float = 0.001  # share of the documents that a seed is in ...
+    rare_least: int = 20  # ... or so many documents
     similarity: float = 0.6  # score over the score of the unchanged item ...
     words: int = 30  # ... or a passage that scores like so many equal words
     equal: int = 2
@@ -89,17 +92,18 @@ class Finder:
 
 
 def _document_counts(batches, text_col: str, grams: np.ndarray, width: int):
-    find, total = Finder(grams), np.zeros(len(grams), np.int64)
+    find, total, n_docs = Finder(grams), np.zeros(len(grams), np.int64), 0
     for batch in batches:
         for b in _pieces(batch, 4 * STEP_BYTES):
             h, first = plain_words(b[text_col])
             at, g = _grams(h, first, width)
             hit, to = find(g)
+            n_docs += b.num_rows
             doc = np.searchsorted(first, at[hit], side="right") - 1
             pairs = np.unique(doc * len(grams) + to)
             total += np.bincount(pairs % len(grams), minlength=len(grams)) if len(grams) else 0
     k = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(total[k])], names=["gram", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, k], pa.int64()), pa.array(np.r_[n_docs, total[k]])], names=["gram", "n"])
 
 
 def align(items: np.ndarray, windows: np.ndarray, m: Match) -> tuple[np.ndarray, np.ndarray]:
@@ -209,14 +213,15 @@ def choose_seeds(docs: DataFrame, block: pa.Table, text_col: str, match: Match)
     count = T.StructType([T.StructField("gram", T.LongType()), T.StructField("n", T.LongType())])
     rows = docs.select(quoted(text_col).alias("text")).mapInArrow(partial(_document_counts, text_col="text", grams=known, width=match.width), count)
     got = rows.groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
-    freq = np.zeros(len(known), np.int64)
+    freq = np.zeros(len(known) + 1, np.int64)  # the last: all documents
     freq[got["gram"].to_numpy()] = got["n"].to_numpy()
     item = np.searchsorted(first, at, side="right") - 1
     offset = at - first[item]
     place = np.searchsorted(known, g)
     order = np.lexsort((offset, freq[place], offset // match.stride, item))
     group = np.stack([item, offset // match.stride], 1)[order]
-    chosen = np.sort(order[np.r_[True, (group[1:] != group[:-1]).any(1)]])
+    rarest = order[np.r_[True, (group[1:] != group[:-1]).any(1)]]
+    chosen = np.union1d(rarest, np.flatnonzero(freq[place] <= max(match.rare_least, match.rare * freq[-1])))
     chosen = chosen[np.argsort(g[chosen], kind="stable")]
     few, begin = np.unique(g[chosen], return_index=True)
     words = [h[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
