@@ -130,49 +130,59 @@ class Plan:
     def _fit(self) -> None:
         """Patterns with rounded repeat counts, as far as pieces last."""
         width = -(-self.capacity // BINS)
-        if self.capacity < BINS or not self.left.any():
+        bins = -(-self.capacity // width)
+        if not self.left.any():
             return
         self.bin_of = -(-np.arange(self.capacity + 1) // width)
-        have = np.bincount(self.bin_of, weights=self.left, minlength=BINS + 1)[1 : BINS + 1]
-        options = patterns()
-        a = np.zeros((BINS, len(options)))
+        have = np.bincount(self.bin_of, weights=self.left, minlength=bins + 1)[1:]
+        options = patterns(bins)
+        a = np.zeros((bins, len(options)))
         for k, p in enumerate(options):
             for b in p:
                 a[b - 1, k] += 1
         # Long pieces are hard to place: they weigh more.
-        weight = np.arange(1, BINS + 1) / BINS
+        weight = np.arange(1, bins + 1) / bins
+        if not options:
+            return
         x = nnls(a * weight[:, None], have / have.sum() * weight) * have.sum()
         for k in np.argsort(-x, kind="stable"):
             repeats = int(round(x[k]))
             if repeats <= 0:
                 break
-            need = a[:, k] > 0
-            repeats = min(repeats, *(int(v) for v in have[need] // a[need, k]))
+            *heads, _ = sorted(options[k], reverse=True)
+            have = np.bincount(self.bin_of, weights=self.left, minlength=bins + 1).astype(np.int64)
+            repeats = min(repeats, *(int(have[h]) // heads.count(h) for h in heads))
             if repeats > 0:
-                have -= a[:, k] * repeats
-                self._use(sorted(options[k], reverse=True), repeats, width)
+                self._use(heads, repeats, width)
 
-    def _use(self, pattern: list[int], repeats: int, width: int) -> None:
-        """``repeats`` new sequences with a piece of each bin, longest first."""
+    def _use(self, heads: list[int], repeats: int, width: int) -> None:
+        """``repeats`` new sequences with a piece of each bin of ``heads``, and
+        for the last bin of the pattern the longest piece that still fits."""
         groups = [(self.sequences, repeats, 0)]  # first sequence, count, used
         self.sequences += repeats
-        for b in pattern:
-            low, nxt = (b - 1) * width, []
-            length = min(b * width, self.capacity)
-            for seq, count, used in groups:
-                while count:
-                    while self.left[length] == 0:
-                        length -= 1
-                        assert length > low
-                    k = min(count, int(self.left[length]))
-                    self._put(length, k, seq, used)
-                    nxt.append((seq, k, used + length))
-                    seq, count = seq + k, count - k
-            groups = nxt
-        for seq, count, used in groups:
+        for b in heads:
+            groups = self._next(groups, lambda used, b=b: min(b * width, self.capacity))
+        for seq, count, used in self._next(groups, lambda used: self.capacity - used):
             if used < self.capacity:
                 self.room.setdefault(self.capacity - used, []).append((seq, count))
 
+    def _next(self, groups: list[tuple[int, int, int]], most) -> list[tuple[int, int, int]]:
+        """The groups with one more piece each: the longest of up to ``most(used)``."""
+        out = []
+        for seq, count, used in groups:
+            length = most(used)
+            while count:
+                there = np.flatnonzero(self.left[1 : length + 1])
+                if not len(there):
+                    out.append((seq, count, used))
+                    break
+                length = int(there[-1]) + 1
+                k = min(count, int(self.left[length]))
+                self._put(length, k, seq, used)
+                out.append((seq, k, used + length))
+                seq, count = seq + k, count - k
+        return out
+
     def _residuals(self) -> None:
         """Best fit, longest first, a group of like sequences at a time."""
         heap_free = np.zeros(self.capacity + 2, bool)
