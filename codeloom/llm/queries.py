@@ -127,6 +127,17 @@ QUERIES = {
     "op10_language_id": op10_language_id,
 }
 SQL: dict[str, str] = {
+    "op6_substring_dedup": r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') ws from documents),
+win as (select doc_id, i, array_to_string(ws[i:i + 12], ' ') s from (select doc_id, ws, unnest(range(1, len(ws) - 11)) i from d)),
+least as (select s, min(doc_id) m from win group by s),
+gone as (select distinct doc_id, j from (select doc_id, unnest(range(i, i + 13)) j from win join least on win.s = least.s where m < doc_id)),
+w as (select doc_id, unnest(range(1, len(ws) + 1)) j, unnest(ws) x from d),
+k as (select w.doc_id, string_agg(x, ' ' order by w.j) t from w left join gone on gone.doc_id = w.doc_id and gone.j = w.j where gone.j is null group by w.doc_id),
+g as (select doc_id, count(*) n from gone group by doc_id)
+select d.doc_id, cast(len(ws) as bigint) n_words, coalesce(g.n, 0) n_removed, sha256(coalesce(k.t, '')) kept_sha256
+from d left join k on k.doc_id = d.doc_id left join g on g.doc_id = d.doc_id
+""",
     "op2_preferences": r"""
 with t as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null
