@@ -421,7 +421,7 @@ def _(s, d):
 
 @query("symbol_search_full")
 def _(s, d):
-    return search.scored(V.symbols(s, d), ["antiqeu bleu", "almondRing", "STEEL", "promo burnished"])
+    return search.scored(V.symbols(s, d), ["smal rign", "blueBolt", "old giszmo", "economy"])
 
 
 @query("resolve_target", sql("symbols", """+q(query) as (values ('ring'), ('almond antique'), ('brand#11'), ('small thing')),
