@@ -175,5 +175,5 @@ def score_documents(docs: DataFrame, target_col: str, text_col: str = "text", vo
 
 def labelled_target(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` with target: whether a label of quality 1 names the doc_id."""
-    good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("good")).distinct()
-    return docs.join(good, quoted("doc_id") == F.col("good"), "left").withColumn("target", F.col("good").isNotNull()).drop("good")
+    good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("_good")).distinct()
+    return docs.join(good, quoted("doc_id") == F.col("_good"), "left").withColumn("target", F.col("_good").isNotNull()).drop("_good")

@@ -237,7 +237,7 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     at most ``capacity`` ids together.  Equal lengths are interchangeable;
     repeated rows are pieces of their own.  No pieces give no rows; columns
     named like an added one give way."""
-    pieces = without(pieces, "sequence_id", "offset", "_chunk", "_row", "_rank")
+    pieces = without(pieces, "sequence_id", "offset", "_chunk", "_row", "_rank", "_local", "_base")
     held = checkpointed(pieces.withColumn("length", F.col("length").cast("long")).withColumn("_chunk", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()))
     counts = checkpointed(held.groupBy("_chunk", "length").agg(F.count(F.lit(1)).alias("n")))
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}

@@ -115,7 +115,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marked = checkpointed(simhash(without(docs, "component_id"), text_col, words))
     classes = checkpointed(marked.groupBy("fp").agg(F.min(quoted(id_col)).alias("least")))
     roots = connected_components(links(classes.select("fp")))
-    rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("code"), "least", F.coalesce("root", "fp").alias("root"))
+    rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("_code"), "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least.withColumnRenamed("root", "group"), F.col("root") == F.col("group")).select("code", "component_id")
-    return marked.join(named, F.col("fp") == F.col("code")).select(*[quoted(c) for c in marked.columns], "component_id")
+    named = rooted.join(least.withColumnRenamed("root", "group"), F.col("root") == F.col("group")).select("_code", "component_id")
+    return marked.join(named, F.col("fp") == F.col("_code")).select(*[quoted(c) for c in marked.columns], "component_id")

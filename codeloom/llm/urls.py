@@ -98,6 +98,6 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", defaul
     sweep = Window.partitionBy("at", "salt").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     swept = points.unionByName(starts).unionByName(ends).withColumn("top", F.last("top", ignorenulls=True).over(sweep))
     best = swept.filter("kind = 1 and top.rule is not null").groupBy("host", "path").agg(F.max("top").alias("top"))
-    best = best.select(F.col("host").alias("b_host"), F.col("path").alias("b_path"), F.col("top.rule").alias("rule"), F.col("top.verdict").alias("verdict"))
-    judged = pages.join(best, (F.col("host") == F.col("b_host")) & (F.col("path") == F.col("b_path")), "left")
+    best = best.select(F.col("host").alias("_best_host"), F.col("path").alias("_best_path"), F.col("top.rule").alias("rule"), F.col("top.verdict").alias("verdict"))
+    judged = pages.join(best, (F.col("host") == F.col("_best_host")) & (F.col("path") == F.col("_best_path")), "left")
     return judged.select(*[quoted(c) for c in pages.columns], "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))

@@ -101,6 +101,8 @@ def test_fingerprints_and_components(spark):
     want = sorted([(i, plain_fingerprint(t, 3), least[top(plain_fingerprint(t, 3))]) for i, t, _ in rows], key=str)
     assert sorted([(r.doc_id, r.fp % (1 << 64), r.component_id) for r in got], key=str) == want
     assert near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
+    odd = spark.createDataFrame([(1, "a b", 5, "x", "y", "z")], "doc_id long, text string, FP int, code string, root string, least string")
+    assert near_duplicates(odd).columns == ["doc_id", "text", "code", "root", "least", "fp", "component_id"]
 
 
 def test_one_of_each_similar_group_stays(spark):
