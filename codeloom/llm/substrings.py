@@ -157,22 +157,28 @@ def _cut(table: pa.Table, bodies: list[bytes], text_col: str, id_col: str, windo
     lowest = np.empty(len(order), np.int64)
     lowest[order] = np.repeat(least, size)
     gone_at = q[lowest[: len(q)] < own]
-    edge = np.zeros(len(words) + 1, np.int64)
+    del hi, lo, own, hashes, order, lowest, q
+    edge = np.zeros(len(words) + 1, np.int32)
     np.add.at(edge, gone_at, 1)
     np.add.at(edge, gone_at + window, -1)
-    gone = np.cumsum(edge)[:-1] > 0
+    gone = np.cumsum(edge, dtype=np.int32)[:-1] > 0
+    del edge, gone_at
 
     # A word goes with the white space after it; the text's other bytes stay.
     n = len(words.data)
     limit = np.repeat(words.text_at[1:], words.counts)
     until = np.minimum(np.r_[words.start[1:], n], limit) if len(words) else words.start
-    step = np.zeros(n + 1, np.int64)
-    np.add.at(step, words.start[gone], 1)
-    np.add.at(step, until[gone], -1)
-    stay = np.cumsum(step)[:-1] == 0
-    kept_before = np.r_[0, np.cumsum(stay)]
+    # The cuts don't overlap, so a byte's sum is 0 or 1; one may start where another ends.
+    cut = np.r_[0, np.cumsum(np.where(gone, until - words.start, 0))]
+    kept_before = words.text_at - cut[words.first]
+    step = np.zeros(n + 1, np.int8)
+    step[words.start[gone]] += 1
+    step[until[gone]] -= 1
+    stay = np.cumsum(step, dtype=np.int8)[:-1] == 0
+    del step, until, limit, cut
     data = words.data[stay]
-    text = pa.Array.from_buffers(pa.large_string(), table.num_rows, [None, pa.py_buffer(np.ascontiguousarray(kept_before[words.text_at])), pa.py_buffer(np.ascontiguousarray(data))])
+    del stay
+    text = pa.Array.from_buffers(pa.large_string(), table.num_rows, [None, pa.py_buffer(np.ascontiguousarray(kept_before)), pa.py_buffer(np.ascontiguousarray(data))])
     old = table[text_col].combine_chunks()
     text = pa.compute.if_else(old.is_null(), pa.scalar(None, pa.large_string()), text)
 
