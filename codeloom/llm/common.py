@@ -254,7 +254,24 @@ ASK_TYPE = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("
 ASK_ARROW = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("body", pa.binary())])
 
 
-def ask(blocks: DataFrame, question: Callable[[pa.Table, list[bytes]], tuple[np.ndarray, np.ndarray]], answers: DataFrame | None = None) -> DataFrame:
+def to_planes(keys: np.ndarray) -> bytes:
+    """A structured array field by field and byte by byte, so that the bytes
+    that hardly vary lie together and a shuffle's codec takes them out."""
+    return b"".join(np.ascontiguousarray(keys[f]).view(np.uint8).reshape(len(keys), keys.dtype[f].itemsize).T.tobytes() for f in keys.dtype.names)
+
+
+def from_planes(body: bytes, dtype: np.dtype) -> np.ndarray:
+    n = len(body) // dtype.itemsize
+    out, at = np.empty(n, dtype), 0
+    for f in dtype.names:
+        size = dtype[f].itemsize
+        planes = np.frombuffer(body, np.uint8, n * size, at).reshape(size, n)
+        out[f] = np.ascontiguousarray(planes.T).view(dtype[f]).reshape(n)
+        at += n * size
+    return out
+
+
+def ask(blocks: DataFrame, question: Callable[[pa.Table, list[bytes]], tuple[np.ndarray, np.ndarray]], answers: DataFrame | None = None, encode: Callable[[np.ndarray], bytes] = np.ndarray.tobytes) -> DataFrame:
     """A row (part, block, body) for each block and hash part with a key.
 
     ``question(table, bodies)`` gives the parts and the keys, two arrays of one
@@ -267,7 +284,7 @@ def ask(blocks: DataFrame, question: Callable[[pa.Table, list[bytes]], tuple[np.
         part, keys = part[order], keys[order]
         cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, int)
         ends = np.r_[cut[1:], len(part)] if len(part) else cut
-        return pa.RecordBatch.from_arrays([pa.array(part[cut].astype(np.int32)), pa.array(np.full(len(cut), block, np.int64)), pa.array([keys[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())], schema=ASK_ARROW)
+        return pa.RecordBatch.from_arrays([pa.array(part[cut].astype(np.int32)), pa.array(np.full(len(cut), block, np.int64)), pa.array([encode(keys[a:b]) for a, b in zip(cut, ends, strict=True)], pa.binary())], schema=ASK_ARROW)
 
     if answers is None:
 
@@ -314,6 +331,30 @@ def answer(asked: DataFrame, reduce: Callable[[np.ndarray, np.ndarray, np.ndarra
     return asked.repartition(shuffle_partitions(asked.sparkSession), "part").mapInArrow(run, ASK_TYPE)
 
 
+def answer_each(asked: DataFrame, reduce: Callable[[np.ndarray, np.ndarray], np.ndarray], dtype: np.dtype) -> DataFrame:
+    """An answer (part, block, body) to each asked row, in planes both ways:
+    ``reduce(part, keys)`` gives an answer for each key, in their order."""
+
+    def run(batches):
+        part, block, bodies = [], [], []
+        for b in batches:
+            part.append(b["part"].to_numpy())
+            block.append(b["block"].to_numpy())
+            bodies += [from_planes(x.as_py(), dtype) for x in b["body"]]
+        if not bodies:
+            return
+        part, block = np.concatenate(part), np.concatenate(block)
+        sizes = np.array([len(x) for x in bodies])
+        found = reduce(np.repeat(part, sizes), np.concatenate(bodies))
+        del bodies
+        ends = np.cumsum(sizes)
+        for i in range(0, len(part), 1000):
+            e, n = ends[i : i + 1000], sizes[i : i + 1000]
+            yield pa.RecordBatch.from_arrays([pa.array(part[i : i + 1000]), pa.array(block[i : i + 1000]), pa.array([to_planes(found[z - k : z]) for z, k in zip(e, n, strict=True)], pa.binary())], schema=ASK_ARROW)
+
+    return asked.repartition(shuffle_partitions(asked.sparkSession), "part").mapInArrow(run, ASK_TYPE)
+
+
 def _beside(blocks: DataFrame, answers: DataFrame, fn: Callable, schema: T.StructType) -> DataFrame:
     """``fn(block, table, bodies)`` for each block with the bodies of all its
     answers; gives record batches.  One shuffle brings them together; a sort

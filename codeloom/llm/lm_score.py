@@ -10,8 +10,8 @@ over its words of the loss under the target model less the loss under the
 background model: the lower, the more like the target.
 
 Counts are exact over the whole corpus.  Each block of documents asks once for
-each of its distinct words and word pairs; the answers carry the counts of
-those that other blocks have as well.
+each of its distinct words and word pairs, with its own counts, and gets the
+corpus' counts back in the same order.
 """
 
 from __future__ import annotations
@@ -26,12 +26,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import BLOCK_BYTES, PARTS_PER_PARTITION, answer, ask, blocks_of, mix64, quoted, shuffle_partitions, unpack, with_answers, without, words_of
+from .common import BLOCK_BYTES, PARTS_PER_PARTITION, answer_each, ask, blocks_of, checkpointed, from_planes, mix64, shuffle_partitions, to_planes, unpack, with_answers, without, words_of
 
 L2, L1, L0 = 0.6, 0.35, 0.05
 _REGISTERS = 1 << 14
 _ASK = np.dtype([("h", "<u4"), ("t", "<u2"), ("b", "<u2")])
-_TOLD = np.dtype([("key", "<u8"), ("t", "<u4"), ("b", "<u4")])
+_TOLD = np.dtype([("t", "<u4"), ("b", "<u4")])
 _MOST = 65_535
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -39,13 +39,12 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 class _Counted:
     """Words and pairs of a block, as entries: hashes, places and counts."""
 
-    def __init__(self, table: pa.Table, text_col: str, target_col: str, parts: int):
+    def __init__(self, table: pa.Table, text_col: str, target: np.ndarray, parts: int):
         words = words_of(table[text_col])
         codes, distinct = words.coded()
         h = np.fromiter((xxhash.xxh3_64_intdigest(w.translate(_LOWER)) for w in distinct), np.uint64, len(distinct))[codes]
         n = len(h)
         self.owner, self.first, self.n = words.owner, words.first, n
-        self.hash = h
         pair = mix64(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) if n else h
         self.follows = np.zeros(n, bool)  # has a word before it in its text
         self.follows[1:] = self.owner[1:] == self.owner[:-1]
@@ -54,7 +53,6 @@ class _Counted:
         part = (both >> np.uint64(33)) % np.uint64(parts)
         key = (part << np.uint64(32)) | (both & np.uint64(0xFFFFFFFF))
         self.keys, self.place = np.unique(key, return_inverse=True)
-        target = table[target_col].combine_chunks().fill_null(False).to_numpy(zero_copy_only=False).astype(bool)
         self.target = target
         of = np.r_[self.owner, self.owner[self.follows]]
         self.of = of
@@ -62,11 +60,25 @@ class _Counted:
         self.t = np.bincount(self.place, weights=target[of], minlength=len(self.keys)).astype(np.int64)
 
 
-def _ask(table: pa.Table, _: list, text_col: str, target_col: str, parts: int):
-    c = _Counted(table, text_col, target_col, parts)
-    times = np.maximum(1, -(-c.b // _MOST))  # a count over the most goes in portions
+def _targets(table: pa.Table, bodies: list[bytes]) -> np.ndarray:
+    """Which rows of a block are of the target: the bodies marked R name them."""
+    target = np.zeros(table.num_rows, bool)
+    for b in bodies:
+        if b[:1] == b"R":
+            target[np.frombuffer(b[1:], "<i4")] = True
+    return target
+
+
+def _entries(c: _Counted) -> tuple[np.ndarray, np.ndarray]:
+    """The entry of each asked row; a count over the most goes in portions."""
+    times = np.maximum(1, -(-c.b // _MOST))
     at = np.repeat(np.arange(len(c.keys)), times)
-    nth = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+    return at, np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+
+
+def _ask(table: pa.Table, bodies: list[bytes], text_col: str, parts: int):
+    c = _Counted(table, text_col, _targets(table, bodies), parts)
+    at, nth = _entries(c)
     out = np.zeros(len(at), _ASK)
     out["h"] = c.keys[at] & np.uint64(0xFFFFFFFF)
     out["b"] = np.clip(c.b[at] - nth * _MOST, 0, _MOST)
@@ -74,27 +86,31 @@ def _ask(table: pa.Table, _: list, text_col: str, target_col: str, parts: int):
     return (c.keys[at] >> np.uint64(32)).astype(np.int64), out
 
 
-def _total(part: np.ndarray, block: np.ndarray, keys: np.ndarray):
+def _total(part: np.ndarray, keys: np.ndarray) -> np.ndarray:
     key = (part.astype(np.uint64) << np.uint64(32)) | keys["h"]
     order = np.argsort(key, kind="stable")
-    key, block = key[order], block[order]
+    key = key[order]
     begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     size = np.diff(np.r_[begin, len(key)])
     out = np.zeros(len(key), _TOLD)
-    out["key"] = key
     for x in ("t", "b"):
-        out[x] = np.repeat(np.add.reduceat(keys[x][order].astype(np.int64), begin), size)
-    # Entries of one block are neighbours only if its count went in portions.
-    told = np.repeat(size > 1, size)
-    return block[told], out[told]
-
-
-def _scored(table: pa.Table, bodies: list[bytes], text_col: str, target_col: str, parts: int, sizes: tuple[int, int, float], schema: pa.Schema) -> pa.Table:
-    c = _Counted(table, text_col, target_col, parts)
-    t, b = c.t.astype(np.int64), c.b.astype(np.int64)
-    told = np.frombuffer(b"".join(bodies), _TOLD)
-    at = np.searchsorted(c.keys, told["key"])
-    t[at], b[at] = told["t"], told["b"]
+        total = np.add.reduceat(keys[x][order].astype(np.int64), begin)
+        out[x][order] = np.repeat(np.minimum(total, 0xFFFFFFFF), size)
+    return out
+
+
+def _told(bodies: list[bytes]) -> np.ndarray:
+    """The answers by part, which is the order of the keys."""
+    parts = sorted((int.from_bytes(b[1:5], "little"), k) for k, b in enumerate(bodies) if b[:1] == b"A")
+    return np.concatenate([from_planes(bodies[k][5:], _TOLD) for _, k in parts]) if parts else np.zeros(0, _TOLD)
+
+
+def _scored(table: pa.Table, bodies: list[bytes], text_col: str, parts: int, sizes: tuple[int, int, float], schema: pa.Schema) -> pa.Table:
+    c = _Counted(table, text_col, _targets(table, bodies), parts)
+    at, nth = _entries(c)
+    told = _told(bodies)[nth == 0]
+    t, b = told["t"].astype(np.int64), told["b"].astype(np.int64)
+    del told, at, nth
     # Less what the document itself has of each entry.
     cell, inverse, own = np.unique(c.of * max(1, len(c.keys)) + c.place, return_inverse=True, return_counts=True)
     own = own[inverse]
@@ -120,60 +136,85 @@ def _scored(table: pa.Table, bodies: list[bytes], text_col: str, target_col: str
     return pa.table([made[f.name] if f.name in made else table[f.name] for f in schema], schema=schema)
 
 
-def _sizes(batches, text_col: str, target_col: str):
-    """Words of the target and of all, and registers that tell the vocabulary."""
-    t = b = 0
+ROWS = T.StructType([T.StructField("what", T.LongType()), T.StructField("block", T.LongType()), T.StructField("id", T.LongType()), T.StructField("n", T.LongType())])
+
+
+def _sizes(batches, text_col: str, id_col: str):
+    """what >= 0: a register that tells the vocabulary, and its value n;
+    what = -1 - row: a row of a block, its id and number of words."""
     registers = np.zeros(_REGISTERS, np.int64)
+    make = lambda *columns: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=ROWS.names)
     for batch in batches:
         for k in range(batch.num_rows):
             table = unpack(batch["payload"][k].as_buffer())
             words = words_of(table[text_col])
-            target = table[target_col].combine_chunks().fill_null(False).to_numpy(zero_copy_only=False).astype(bool)
-            t, b = t + int(words.counts[target].sum()), b + len(words)
+            n = table.num_rows
+            yield make(-1 - np.arange(n), np.full(n, batch["block"][k].as_py()), table[id_col].combine_chunks().cast(pa.int64()), words.counts)
             h = mix64(np.fromiter((xxhash.xxh3_64_intdigest(w.translate(_LOWER)) for w in words.coded()[1]), np.uint64))
             rest = h >> np.uint64(14)
             zeros = 51 - np.frexp(rest.astype(np.float64))[1]
             np.maximum.at(registers, (h & np.uint64(_REGISTERS - 1)).astype(np.int64), zeros)
-    yield pa.RecordBatch.from_arrays([pa.array(np.r_[-2, -1, np.arange(_REGISTERS)], pa.int64()), pa.array(np.r_[t, b, registers], pa.int64())], names=["what", "n"])
+    none = np.zeros(_REGISTERS, np.int64)
+    yield make(np.arange(_REGISTERS), none, none, registers)
 
 
-def corpus_sizes(blocks: DataFrame, text_col: str, target_col: str) -> tuple[int, int, float]:
-    kind = T.StructType([T.StructField("what", T.LongType()), T.StructField("n", T.LongType())])
-    rows = blocks.mapInArrow(partial(_sizes, text_col=text_col, target_col=target_col), kind)
-    got = {r.what: (r.total, r.most) for r in rows.groupBy("what").agg(F.sum("n").alias("total"), F.max("n").alias("most")).collect()}
-    if not got:
-        return 0, 0, 1.0
-    most = np.array([got[k][1] for k in range(_REGISTERS)], float)
+def vocabulary_size(rows: DataFrame) -> float:
+    """Distinct words by the registers' greatest values, which are 16,384 rows."""
+    got = rows.filter("what >= 0").groupBy("what").agg(F.max("n").alias("most")).collect()
+    most = np.zeros(_REGISTERS)
+    for r in got:
+        most[r.what] = r.most
     m = _REGISTERS
     estimate = 0.7213 / (1 + 1.079 / m) * m * m / (2.0**-most).sum()
     free = int((most == 0).sum())
     if estimate <= 2.5 * m and free:
         estimate = m * np.log(m / free)
-    return got[-2][0], got[-1][0], max(1.0, float(estimate))
+    return max(1.0, float(estimate))
 
 
-def score_documents(docs: DataFrame, target_col: str, text_col: str = "text", vocabulary: float | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def _marks(batches):
+    """(block, body): the rows of the target, marked R."""
+    for batch in batches:
+        block, row = batch["block"].to_numpy(), batch["row"].to_numpy().astype("<i4")
+        order = np.argsort(block, kind="stable")
+        block, row = block[order], row[order]
+        cut = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else np.zeros(0, int)
+        ends = np.r_[cut[1:], len(block)] if len(block) else cut
+        yield pa.RecordBatch.from_arrays([pa.array(block[cut]), pa.array([b"R" + row[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())], names=["block", "body"])
+
+
+def score_documents(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: float | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with n_tokens, loss_target, loss_background and score.
 
-    ``target_col`` (boolean, null: false) marks the target's documents; all
-    documents are the background.  Words compare with A-Z in lower case.
-    ``vocabulary``: V, else estimated from all words.  A text without words,
-    or null, has null losses and score.  Repeated rows count as often as they
-    occur, and each leaves out itself only.  Columns named like an added one
-    give way; an empty table gives no rows.
+    ``target``: its first column names the ids of the target's documents (null
+    and repeated ones don't matter); all documents are the background.  Words
+    compare with A-Z in lower case.  ``vocabulary``: V, else estimated from all
+    words.  A text without words, or null, has null losses and score.  Repeated
+    rows count as often as they occur, and each leaves out itself only.
+    Columns named like an added one give way; an empty table gives no rows.
     """
     added = ("n_tokens", "loss_target", "loss_background", "score")
     docs = without(docs, *added)
     schema = T.StructType([*docs.schema.fields, *[T.StructField(a, T.LongType() if a == "n_tokens" else T.DoubleType()) for a in added]])
     parts = PARTS_PER_PARTITION * shuffle_partitions(docs.sparkSession)
     blocks = blocks_of(docs, block_bytes)
-    n_target, n_all, estimate = corpus_sizes(blocks, text_col, target_col)
-    same = {"text_col": text_col, "target_col": target_col, "parts": parts}
-    told = answer(ask(blocks, partial(_ask, **same)), _total, _ASK)
-    return with_answers(blocks, told, partial(_scored, **same, sizes=(n_target, n_all, vocabulary or estimate), schema=to_arrow_schema(schema)), schema)
-
-
-def labelled_target(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with target: whether a label of quality 1 names the doc_id."""
-    good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("_good")).distinct()
-    return docs.join(good, quoted("doc_id") == F.col("_good"), "left").withColumn("target", F.col("_good").isNotNull()).drop("_good")
+    rows = checkpointed(blocks.mapInArrow(partial(_sizes, text_col=text_col, id_col=id_col), ROWS))
+    ids = target.select(F.col(target.columns[0]).cast("long").alias("target_id")).filter("target_id is not null").distinct()
+    named = rows.filter("what < 0")
+    chosen = checkpointed(named.join(ids, F.col("id") == F.col("target_id"), "left_semi").select("block", (-1 - F.col("what")).alias("row"), "n"))
+    n_all = named.agg(F.sum("n")).first()[0] or 0
+    n_target = chosen.agg(F.sum("n")).first()[0] or 0
+    kind = T.StructType([T.StructField("block", T.LongType()), T.StructField("body", T.BinaryType())])
+    marks = chosen.select("block", "row").mapInArrow(_marks, kind)
+    asked = ask(blocks, partial(_ask, text_col=text_col, parts=parts), marks, to_planes)
+    told = answer_each(asked, _total, _ASK)
+    # An answer goes back marked A, with its part before it.
+    part = F.unhex(F.concat(*[F.substring(F.lpad(F.hex("part"), 8, "0"), k, 2) for k in (7, 5, 3, 1)]))
+    both = marks.unionByName(told.select("block", F.concat(F.lit(b"A"), part, "body").alias("body")))
+    make = partial(_scored, text_col=text_col, parts=parts, sizes=(n_target, n_all, vocabulary or vocabulary_size(rows)), schema=to_arrow_schema(schema))
+    return with_answers(blocks, both, make, schema)
+
+
+def labelled_good(labels: DataFrame) -> DataFrame:
+    """The documents that a label of quality 1 names."""
+    return labels.filter("quality = 1 and doc_id is not null").select("doc_id")

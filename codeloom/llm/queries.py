@@ -13,7 +13,7 @@ from .chat import format_preferences, swapped_endings
 from .common import ensure_checkpoint_dir, read_table
 from .decontaminate import find_leaks
 from .language import fit, predict
-from .lm_score import labelled_target, score_documents
+from .lm_score import labelled_good, score_documents
 from .packing import pack, token_pieces
 from .quality import quality_rules
 from .simhash import near_duplicates
@@ -87,7 +87,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cross-entropy difference of every document: labelled good against all."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = score_documents(labelled_target(docs, read_table(spark, sf_dir, "labels")), "target")
+    scored = score_documents(docs, labelled_good(read_table(spark, sf_dir, "labels")))
     return scored.select("doc_id", "n_tokens", "loss_target", "loss_background", "score")
 
 

@@ -94,11 +94,12 @@ def test_alignment_is_smith_waterman():
 
 
 def test_language_model_scores_match_the_plain_version(spark):
-    rows = [(i, t, k % 3 == 0) for k, (i, t, _) in enumerate(awkward(8))]
+    rows = [(i, t, i is not None and i % 3 == 0) for i, t, _ in awkward(8)]
     low = lambda t: [bytes(b + 32 if 65 <= b <= 90 else b for b in w) for w in split(t)]
     pairs = lambda w: list(zip(w, w[1:]))
     frame = spark.createDataFrame(rows, "doc_id long, text string, target boolean").repartition(3)
-    got = lm_score.score_documents(frame, "target", vocabulary=1000.0, block_bytes=4096).collect()
+    ids = spark.createDataFrame([(i,) for i in [None, *range(0, 99, 3), 0]], "any long")
+    got = lm_score.score_documents(frame, ids, vocabulary=1000.0, block_bytes=4096).collect()
     assert len(got) == len(rows)
     counts = {}
     for name, part in (("t", [r for r in rows if r[2]]), ("b", rows)):
@@ -124,9 +125,22 @@ def test_language_model_scores_match_the_plain_version(spark):
         else:
             assert math.isclose(r.loss_target, t, rel_tol=1e-9) and math.isclose(r.loss_background, b, rel_tol=1e-9)
             assert math.isclose(r.score, t - b, rel_tol=1e-6, abs_tol=1e-9)
-    estimate = lm_score.score_documents(frame, "target").count()
-    assert estimate == len(rows)
-    assert lm_score.score_documents(frame.limit(0), "target").count() == 0
+    assert lm_score.score_documents(frame, ids.limit(0)).count() == len(rows)
+    assert lm_score.score_documents(frame.limit(0), ids).count() == 0
+
+
+def test_counts_go_in_portions(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(lm_score, "_MOST", 2)
+    table = pa.table({"text": ["a a a a a b", "b c", None]})
+    part, keys = lm_score._ask(table, [b"R" + np.array([1], "<i4").tobytes()], "text", 4)
+    c = lm_score._Counted(table, "text", np.array([False, True, False]), 4)
+    assert len(keys) > len(c.keys)
+    total = lm_score._total(np.r_[part, part], np.r_[keys, keys])[: len(keys)]
+    bodies = [b"A" + int(p).to_bytes(4, "little") + lm_score.to_planes(total[part == p]) for p in (3, 1, 0, 2)]
+    told = lm_score._told(bodies)[lm_score._entries(c)[1] == 0]
+    assert told["b"].tolist() == (2 * c.b).tolist() and told["t"].tolist() == (2 * c.t).tolist()
 
 
 def test_languages(spark, sf):
