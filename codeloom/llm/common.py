@@ -34,6 +34,8 @@ from pyspark.sql import types as T
 #: Bytes of Arrow data in a block.  Larger blocks mean fewer, longer messages;
 #: a Python worker holds about ten times this.
 BLOCK_BYTES = 8 << 20
+#: zstd level of a block, which is written once and shuffled once or twice.
+BLOCK_LEVEL = 9
 #: Hash parts for each shuffle partition, to even out how parts are dealt.
 PARTS_PER_PARTITION = 4
 
@@ -197,7 +199,8 @@ def full_windows(words: Words, width: int) -> np.ndarray:
 
 def _ipc(batches: list[pa.RecordBatch]) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+    codec = pa.Codec("zstd", compression_level=BLOCK_LEVEL)
+    with pa.ipc.new_stream(sink, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression=codec)) as w:
         for b in batches:
             w.write_batch(b)
     return sink.getvalue().to_pybytes()
