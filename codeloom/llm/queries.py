@@ -94,7 +94,7 @@ def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash of 3-word shingles and components at two bits."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = near_duplicates(docs, words=3)
+    found = near_duplicates(docs, words=3, columns=["doc_id"])
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -69,11 +69,12 @@ def _add_fingerprints(batches, text_col: str, width: int, schema: pa.Schema):
         yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
-def simhash(docs: DataFrame, text_col: str = "text", words: int = 5) -> DataFrame:
-    """``docs`` with fp (long): the 64-bit SimHash of their word shingles.  A
-    text without words, or null, has fingerprint 0."""
+def simhash(docs: DataFrame, text_col: str = "text", words: int = 5, columns: list[str] | None = None) -> DataFrame:
+    """``docs`` (or just ``columns`` of it) with fp (long): the 64-bit SimHash
+    of their word shingles.  A text without words, or null, has fingerprint 0."""
     docs = without(docs, "fp")
-    schema = T.StructType([*docs.schema.fields, T.StructField("fp", T.LongType())])
+    kept = [f for f in docs.schema.fields if columns is None or f.name in columns]
+    schema = T.StructType([*kept, T.StructField("fp", T.LongType())])
     return docs.mapInArrow(partial(_add_fingerprints, text_col=text_col, width=words, schema=to_arrow_schema(schema)), schema)
 
 
@@ -103,8 +104,8 @@ def _long(x: int) -> str:
     return f"{x}L" if x > -(1 << 63) else "(-9223372036854775807L - 1L)"
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
-    """``docs`` with fp (long, the SimHash) and component_id (the least id in
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, columns: list[str] | None = None) -> DataFrame:
+    """``docs`` (or just ``columns`` of it, the id among them) with fp (long, the SimHash) and component_id (the least id in
     the component of documents whose fingerprints link at two bits or fewer).
 
     Documents with one fingerprint are linked, those without words too.  Null
@@ -112,7 +113,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     other.  Repeated rows stay, each with its component.  Columns named like an
     added one give way; an empty table gives no rows.
     """
-    marked = checkpointed(simhash(without(docs, "component_id"), text_col, words))
+    marked = checkpointed(simhash(without(docs, "component_id"), text_col, words, columns))
     classes = checkpointed(marked.groupBy("fp").agg(F.min(quoted(id_col)).alias("least")))
     roots = connected_components(links(classes.select("fp")))
     rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("_code"), "least", F.coalesce("root", "fp").alias("root"))
