@@ -132,3 +132,70 @@ def test_large_groups_of_copies(spark):
         copy[rng.randrange(400)] = f"new{k}"
         rows.append((k, " ".join(copy), "en"))
     assert [r.doc_id for r in keep_one_of_each(spark.createDataFrame(rows, DOCS)).collect()] == [0]
+
+
+def plain_groups(rows, similarity=0.8, width=5):
+    """The least id of each component, by the exact similarity of all pairs."""
+    sets = [{tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} for w in (t.lower().split() for _, t, *_ in rows)]
+    group = list(range(len(rows)))
+
+    def top(k):
+        while group[k] != k:
+            k = group[k]
+        return k
+
+    for x in range(len(rows)):
+        for y in range(x):
+            both = len(sets[x] & sets[y])
+            if both >= similarity * (len(sets[x]) + len(sets[y]) - both) - 1e-9:
+                a, b = sorted((top(x), top(y)))
+                group[b] = a
+    least = {}
+    for k, (i, *_) in enumerate(rows):
+        least[top(k)] = min(i, least.get(top(k), i))
+    return sorted(least.values())
+
+
+def changed(rng, text, n, tag):
+    copy = list(text)
+    for j, at in enumerate(rng.sample(range(len(copy)), n)):
+        copy[at] = f"{tag}.{j}"
+    return copy
+
+
+def test_pairs_inside_a_large_template_group(spark):
+    rng = random.Random(11)
+    template = words(rng, 200, 5000)
+    rows = []
+    for k in range(500):  # alike at 0.6 to 0.7, each with a copy at about 0.9
+        text = changed(rng, template, 4, f"t{k}")
+        rows += [(2 * k, " ".join(text), "en"), (2 * k + 1, " ".join(changed(rng, text, 2, f"c{k}")), "en")]
+    want = plain_groups(rows)
+    assert 400 < len(want) <= 500
+    assert sorted(r.doc_id for r in keep_one_of_each(spark.createDataFrame(rows, DOCS)).collect()) == want
+
+
+def near_the_limit(rng, n=150):
+    """Pairs of texts alike at 0.7 to 0.9."""
+    rows = []
+    for k in range(n):
+        text = words(rng, 120, 5000)
+        rows += [(2 * k, " ".join(text), "en"), (2 * k + 1, " ".join(changed(rng, text, rng.randrange(1, 5), f"p{k}")), "en")]
+    return rows
+
+
+def test_similarity_is_that_of_the_shingles(spark):
+    rows = near_the_limit(random.Random(12))
+    want = plain_groups(rows)
+    assert len(rows) * 0.55 < len(want) < len(rows) * 0.95
+    assert sorted(r.doc_id for r in keep_one_of_each(spark.createDataFrame(rows, DOCS)).collect()) == want
+
+
+def test_links_do_not_depend_on_the_corpus_size(spark):
+    rng = random.Random(13)
+    rows = near_the_limit(rng)
+    strangers = [(1000 + k, " ".join(words(rng, 30, 5000)), "en") for k in range(6000)]
+    want = plain_groups(rows)
+    for more in ([], strangers):
+        kept = keep_one_of_each(spark.createDataFrame([*rows, *more], DOCS).repartition(4)).collect()
+        assert sorted(r.doc_id for r in kept) == want + [r[0] for r in more]
