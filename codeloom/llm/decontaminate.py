@@ -6,7 +6,9 @@ n-gram of a benchmark item is a seed if it is in few of the corpus' documents
 in the fewest is a seed in any case, so an item has seeds all along however
 often it was copied.  Where a document has a seed,
 the passage around it is aligned with the item (Smith-Waterman on words), so
-edits, insertions and left-out words lower the score but don't hide a copy.
+edits, insertions and left-out words lower the score but don't hide a copy.  A
+passage has room on both sides for all the words that a leak can have beside
+the item's; passages that overlap are aligned as one.
 
 The benchmark is the query set: it is taken in blocks of bounded size, each of
 which goes to all tasks and is held against all documents.
@@ -32,6 +34,8 @@ from .common import _pieces, quoted, window_hash, without, words_of
 STEP_BYTES = 2 << 20
 #: Bytes of benchmark text in a block that is sent to all tasks.
 BLOCK_BYTES = 4 << 20
+#: Words of windows that are aligned at once.
+CELLS = 1 << 17
 _NO_WORD = re.compile(r"[\W_]+")
 
 
@@ -140,8 +144,38 @@ class Seeds:
     offset: np.ndarray
 
 
+def least_score(sizes: np.ndarray, m: Match) -> np.ndarray:
+    """Of a leak, for items of these sizes."""
+    return np.ceil(np.minimum(m.similarity * m.equal * sizes, m.equal * m.words) - 1e-9).astype(np.int64)
+
+
+def windows_of(doc: np.ndarray, item: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Rows (doc, item, start, stop): the windows of a document and item, those
+    that overlap as one."""
+    if not len(doc):
+        return np.zeros((0, 4), np.int64)
+    order = np.lexsort((start, item, doc))
+    doc, item, start, stop = doc[order], item[order], start[order], stop[order]
+    # Windows of one item are equally long, so the last one ends last.
+    new = np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (start[1:] > stop[:-1])]
+    begin = np.flatnonzero(new)
+    return np.stack([doc[begin], item[begin], start[begin], stop[np.r_[begin[1:], len(doc)] - 1]], 1)
+
+
+def _portions(todo: np.ndarray):
+    """Rows of ``todo``, by length, as many as have ``CELLS`` words of windows."""
+    k = 0
+    while k < len(todo):
+        span = todo[k:, 3] - todo[k:, 2]
+        n = max(1, int(np.searchsorted(span * np.arange(1, len(span) + 1), CELLS)))
+        yield todo[k : k + n]
+        k += n
+
+
 def _leaks(batches, text_col: str, seeds: Seeds, m: Match, schema: pa.Schema):
     sizes = np.array([len(w) for w in seeds.words], np.int64)
+    # Words that a passage which leaks has at most beside the item's.
+    gaps = np.maximum(0, (m.equal * sizes - least_score(sizes, m)) // -m.gap)
     for batch in batches:
         for b in _pieces(batch, 4 * STEP_BYTES):
             h, first = plain_words(b[text_col])
@@ -151,18 +185,15 @@ def _leaks(batches, text_col: str, seeds: Seeds, m: Match, schema: pa.Schema):
             pick = np.repeat(seeds.begin[to] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
             item, place = seeds.item[pick], np.repeat(at[hit], n)
             doc = np.searchsorted(first, place, side="right") - 1
-            margin = np.maximum(4, sizes[item] // 4)
-            diagonal = place - seeds.offset[pick]
-            todo = np.unique(np.stack([sizes[item], doc, item, diagonal // margin], 1), axis=0) if len(item) else np.zeros((0, 4), np.int64)
+            start = place - seeds.offset[pick] - gaps[item]
+            todo = windows_of(doc, item, start, start + sizes[item] + 2 * gaps[item])
+            # Alike in length, so that little is padding.
+            todo = todo[np.argsort(todo[:, 3] - todo[:, 2], kind="stable")]
             found: dict[tuple[int, int], float] = {}
-            for k in range(0, len(todo), 1024):
-                part = todo[k : k + 1024]
-                _, d, t, way = part.T
-                edge = np.maximum(4, sizes[t] // 4)
-                start = way * edge - edge
-                span = sizes[t] + 3 * edge
-                cols = start[:, None] + np.arange(int(span.max()))
-                inside = (cols >= first[d][:, None]) & (cols < np.minimum(first[d + 1], start + span)[:, None])
+            for part in _portions(todo):
+                d, t, start, stop = part.T
+                cols = start[:, None] + np.arange(int((stop - start).max()))
+                inside = (cols >= first[d][:, None]) & (cols < np.minimum(first[d + 1], stop)[:, None])
                 windows = np.where(inside, h[np.clip(cols, 0, len(h) - 1)], np.uint64(0))
                 items = np.zeros((len(part), int(sizes[t].max())), np.uint64)
                 for r, x in enumerate(t):

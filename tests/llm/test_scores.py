@@ -206,3 +206,34 @@ def test_texts_of_one_batch_keep_apart():
 
     w = words_of(pa.array(["a b", None, "c", "", " d e "]))
     assert w.counts.tolist() == [2, 0, 1, 0, 2] and full_windows(w, 2).tolist() == [True, False, False, True]
+
+
+def leaks_of_all_pairs(rows, items, m):
+    """(document, item): by alignment of whole documents."""
+    out = set()
+    for i, text, *_ in rows:
+        for k, item in items:
+            a, b = item.split(), (text or "").split()
+            if plain_align(a, b, m) >= min(m.similarity * m.equal * len(a), m.equal * m.words):
+                out.add((i, k))
+    return out
+
+
+def found_leaks(spark, rows, items):
+    got = decontaminate.find_leaks(spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string"))
+    return {(r.doc_id, x.item_id) for r in got.collect() for x in r.leaks}
+
+
+def test_inserted_passages_do_not_hide_a_copy(spark):
+    rng = random.Random(15)
+    items = [(k, " ".join(words(rng, n, 3000))) for k, n in enumerate((15, 25, 40, 50, 58))]
+    rows = []
+    for k, item in items:
+        w = item.split()
+        for n in range(0, int(0.8 * len(w)) + 4, 2):  # beyond 0.8 the score is too low
+            at = len(w) // 2
+            copy = w[:at] + words(rng, n, 3000) + w[at:]
+            rows.append((len(rows), " ".join(words(rng, 40, 3000) + copy + words(rng, 40, 3000)), "en"))
+    want = leaks_of_all_pairs(rows, items, decontaminate.Match())
+    assert 0.8 * len(rows) < len(want) < len(rows)
+    assert found_leaks(spark, rows, items) == want
