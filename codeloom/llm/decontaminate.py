@@ -1,14 +1,14 @@
-"""Operator 5: benchmark decontamination by rare n-gram seeds and alignment.
-
-Words are compared in lower case without anything but letters and digits.  An
-n-gram of a benchmark item is a seed if it is in few of the corpus' documents
-(``rare`` of them at most); and of every ``stride`` neighbouring n-grams the one
-in the fewest is a seed in any case, so an item has seeds all along however
-often it was copied.  Where a document has a seed,
-the passage around it is aligned with the item (Smith-Waterman on words), so
-edits, insertions and left-out words lower the score but don't hide a copy.  A
-passage has room on both sides for all the words that a leak can have beside
-the item's; passages that overlap are aligned as one.
+"""Operator 5: benchmark decontamination by n-gram seeds and alignment.
+
+Words are compared in lower case without anything but letters and digits.  All
+pairs of neighbouring words of an item are seeds, whatever their frequency; the
+limits of score and size tell how many of them an edited copy has at least
+(``least_hits``), and where a document has so many, the passage around them is
+aligned with the item (Smith-Waterman on words).  Items so long that a leak
+need not have a pair are sought by their single words.  So edits, insertions
+and left-out words lower the score but don't hide a copy.  A passage has room
+on both sides for all the words that a leak can have beside the item's;
+passages that overlap are aligned as one.
 
 The benchmark is the query set: it is taken in blocks of bounded size, each of
 which goes to all tasks and is held against all documents.
@@ -43,10 +43,7 @@ _NO_WORD = re.compile(r"[\W_]+")
 class Match:
     """What counts as a leak."""
 
-    width: int = 4  # words of a seed
-    stride: int = 4  # n-grams of an item with a seed among them in any case
-    rare: float = 0.001  # share of the documents that a seed is in ...
-    rare_least: int = 20  # ... or so many documents
+    width: int = 4  # words of an item at least
     similarity: float = 0.6  # score over the score of the unchanged item ...
     words: int = 30  # ... or a passage that scores like so many equal words
     equal: int = 2
@@ -95,21 +92,6 @@ class Finder:
         return at[ok], to[ok]
 
 
-def _document_counts(batches, text_col: str, grams: np.ndarray, width: int):
-    find, total, n_docs = Finder(grams), np.zeros(len(grams), np.int64), 0
-    for batch in batches:
-        for b in _pieces(batch, 4 * STEP_BYTES):
-            h, first = plain_words(b[text_col])
-            at, g = _grams(h, first, width)
-            hit, to = find(g)
-            n_docs += b.num_rows
-            doc = np.searchsorted(first, at[hit], side="right") - 1
-            pairs = np.unique(doc * len(grams) + to)
-            total += np.bincount(pairs % len(grams), minlength=len(grams)) if len(grams) else 0
-    k = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, k], pa.int64()), pa.array(np.r_[n_docs, total[k]])], names=["gram", "n"])
-
-
 def align(items: np.ndarray, windows: np.ndarray, m: Match) -> tuple[np.ndarray, np.ndarray]:
     """Best local score of each row's item and window (0: padding), and the
     window's word where it ends."""
@@ -133,33 +115,65 @@ def align(items: np.ndarray, windows: np.ndarray, m: Match) -> tuple[np.ndarray,
 
 
 @dataclass
-class Seeds:
-    """A block of the benchmark."""
+class Grams:
+    """The n-grams of one width."""
 
-    ids: list[int | None]
-    words: list[np.ndarray]
+    width: int
     find: Finder
     begin: np.ndarray  # of each known hash in item and offset
     item: np.ndarray
     offset: np.ndarray
 
+    def __call__(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Document, item, place and offset of each hit."""
+        at, g = _grams(h, first, self.width)
+        hit, to = self.find(g)
+        n = self.begin[to + 1] - self.begin[to]
+        pick = np.repeat(self.begin[to] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        place = np.repeat(at[hit], n)
+        return np.searchsorted(first, place, side="right") - 1, self.item[pick], place, self.offset[pick]
+
+
+@dataclass
+class Seeds:
+    """A block of the benchmark."""
+
+    ids: list[int | None]
+    words: list[np.ndarray]
+    need: np.ndarray  # hits of each item that a leak has at least
+    tables: list[Grams]
+
 
 def least_score(sizes: np.ndarray, m: Match) -> np.ndarray:
     """Of a leak, for items of these sizes."""
     return np.ceil(np.minimum(m.similarity * m.equal * sizes, m.equal * m.words) - 1e-9).astype(np.int64)
 
 
-def windows_of(doc: np.ndarray, item: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+def least_hits(sizes: np.ndarray, m: Match) -> tuple[np.ndarray, np.ndarray]:
+    """Whether a leak must have pairs of neighbouring words in common with an
+    item of such a size, and how many: or else, how many words.
+
+    With k equal words a leak has at most e = (equal k - least) / cost errors,
+    which leave k - 1 - e pairs of equal neighbours.  That is linear in k."""
+    least, cost = least_score(sizes, m), min(-m.other, -m.gap)
+    few = -(-least // m.equal)
+    pairs = np.minimum(*(k - 1 - (m.equal * k - least) // cost for k in (few, np.maximum(sizes, few))))
+    return pairs > 0, np.where(pairs > 0, pairs, few)
+
+
+def windows_of(doc: np.ndarray, item: np.ndarray, offset: np.ndarray, start: np.ndarray, stop: np.ndarray, need: np.ndarray) -> np.ndarray:
     """Rows (doc, item, start, stop): the windows of a document and item, those
-    that overlap as one."""
+    that overlap as one, where they have as many offsets as the item needs."""
     if not len(doc):
         return np.zeros((0, 4), np.int64)
     order = np.lexsort((start, item, doc))
-    doc, item, start, stop = doc[order], item[order], start[order], stop[order]
+    doc, item, offset, start, stop = doc[order], item[order], offset[order], start[order], stop[order]
     # Windows of one item are equally long, so the last one ends last.
     new = np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (start[1:] > stop[:-1])]
-    begin = np.flatnonzero(new)
-    return np.stack([doc[begin], item[begin], start[begin], stop[np.r_[begin[1:], len(doc)] - 1]], 1)
+    begin, of = np.flatnonzero(new), np.cumsum(new) - 1
+    distinct = np.unique(of * (int(offset.max()) + 1) + offset) // (int(offset.max()) + 1)
+    enough = np.bincount(distinct, minlength=len(begin)) >= need[item[begin]]
+    return np.stack([doc[begin], item[begin], start[begin], stop[np.r_[begin[1:], len(doc)] - 1]], 1)[enough]
 
 
 def _portions(todo: np.ndarray):
@@ -179,14 +193,9 @@ def _leaks(batches, text_col: str, seeds: Seeds, m: Match, schema: pa.Schema):
     for batch in batches:
         for b in _pieces(batch, 4 * STEP_BYTES):
             h, first = plain_words(b[text_col])
-            at, g = _grams(h, first, m.width)
-            hit, to = seeds.find(g)
-            n = seeds.begin[to + 1] - seeds.begin[to]
-            pick = np.repeat(seeds.begin[to] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            item, place = seeds.item[pick], np.repeat(at[hit], n)
-            doc = np.searchsorted(first, place, side="right") - 1
-            start = place - seeds.offset[pick] - gaps[item]
-            todo = windows_of(doc, item, start, start + sizes[item] + 2 * gaps[item])
+            doc, item, place, offset = (np.concatenate(x) for x in zip(*[t(h, first) for t in seeds.tables], strict=True))
+            start = place - offset - gaps[item]
+            todo = windows_of(doc, item, offset, start, start + sizes[item] + 2 * gaps[item], seeds.need)
             # Alike in length, so that little is padding.
             todo = todo[np.argsort(todo[:, 3] - todo[:, 2], kind="stable")]
             found: dict[tuple[int, int], float] = {}
@@ -212,7 +221,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     """``docs`` with leaks: an array of (item_id, similarity), empty for a clean
     document; similarity is the alignment's score over that of the whole item.
 
-    Null texts on either side and items of fewer words than a seed match
+    Null texts on either side and items of fewer than four words match
     nothing.  Items alike are found each; a null item id stays null.  Repeated
     rows are judged alike.  A column of ``docs`` named leaks gives way.  With
     an empty benchmark all documents are clean.
@@ -227,33 +236,25 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     n_blocks = max(1, math.ceil(total / BLOCK_BYTES))
     for k in range(n_blocks):
         block = items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)) == k).orderBy("id", "text").toArrow()
-        seeds = choose_seeds(docs, block, text_col, match)
+        seeds = seeds_of(block, match)
         if seeds is not None:
             out = out.mapInArrow(partial(_leaks, text_col=text_col, seeds=seeds, m=match, schema=arrow), schema)
     return out
 
 
-def choose_seeds(docs: DataFrame, block: pa.Table, text_col: str, match: Match) -> Seeds | None:
-    if not block.num_rows:
-        return None
+def seeds_of(block: pa.Table, match: Match) -> Seeds | None:
     h, first = plain_words(block["text"])
-    at, g = _grams(h, first, match.width)
-    if not len(at):
+    sizes = np.diff(first)
+    pairs, need = least_hits(sizes, match)
+    tables = []
+    for width in (1, 2):
+        at, g = _grams(h, first, width)
+        item = np.searchsorted(first, at, side="right") - 1
+        chosen = np.flatnonzero((sizes[item] >= match.width) & (pairs[item] == (width == 2)))
+        chosen = chosen[np.argsort(g[chosen], kind="stable")]
+        if len(chosen):
+            few, begin = np.unique(g[chosen], return_index=True)
+            tables.append(Grams(width, Finder(few), np.r_[begin, len(chosen)], item[chosen], at[chosen] - first[item[chosen]]))
+    if not tables:
         return None
-    known = np.unique(g)
-    count = T.StructType([T.StructField("gram", T.LongType()), T.StructField("n", T.LongType())])
-    rows = docs.select(quoted(text_col).alias("text")).mapInArrow(partial(_document_counts, text_col="text", grams=known, width=match.width), count)
-    got = rows.groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
-    freq = np.zeros(len(known) + 1, np.int64)  # the last: all documents
-    freq[got["gram"].to_numpy()] = got["n"].to_numpy()
-    item = np.searchsorted(first, at, side="right") - 1
-    offset = at - first[item]
-    place = np.searchsorted(known, g)
-    order = np.lexsort((offset, freq[place], offset // match.stride, item))
-    group = np.stack([item, offset // match.stride], 1)[order]
-    rarest = order[np.r_[True, (group[1:] != group[:-1]).any(1)]]
-    chosen = np.union1d(rarest, np.flatnonzero(freq[place] <= max(match.rare_least, match.rare * freq[-1])))
-    chosen = chosen[np.argsort(g[chosen], kind="stable")]
-    few, begin = np.unique(g[chosen], return_index=True)
-    words = [h[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
-    return Seeds(block["id"].to_pylist(), words, Finder(few), np.r_[begin, len(chosen)], item[chosen], offset[chosen])
+    return Seeds(block["id"].to_pylist(), [h[a:b] for a, b in zip(first[:-1], first[1:], strict=True)], need, tables)

@@ -237,3 +237,20 @@ def test_inserted_passages_do_not_hide_a_copy(spark):
     want = leaks_of_all_pairs(rows, items, decontaminate.Match())
     assert 0.8 * len(rows) < len(want) < len(rows)
     assert found_leaks(spark, rows, items) == want
+
+
+def test_edited_copies_of_hot_items_are_found(spark):
+    rng = random.Random(16)
+    items = [(k, " ".join(words(rng, n, 3000))) for k, n in enumerate((15, 18, 30, 59, 70))]
+    rows = []
+    for k, item in items:
+        w = item.split()
+        for c in range(60):
+            copy, changes = list(w), c % 8 if len(w) < 30 else rng.randrange(len(w) // 2)
+            for at in rng.sample(range(len(w)), changes):
+                copy[at] = "" if rng.random() < 0.2 else f"edit{at}"
+            rows.append((len(rows), " ".join(words(rng, 20, 3000) + copy + words(rng, 20, 3000)), "en"))
+        rows.append((len(rows), " ".join(f"{x} gap{j}" for j, x in enumerate(w)), "en"))
+    want = leaks_of_all_pairs(rows, items, decontaminate.Match())
+    assert 0.4 * len(rows) < len(want) < len(rows)
+    assert found_leaks(spark, rows, items) == want
