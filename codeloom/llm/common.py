@@ -334,8 +334,8 @@ def answer(asked: DataFrame, reduce: Callable[[np.ndarray, np.ndarray, np.ndarra
     return asked.repartition(shuffle_partitions(asked.sparkSession), "part").mapInArrow(run, ASK_TYPE)
 
 
-def answer_each(asked: DataFrame, reduce: Callable[[np.ndarray, np.ndarray], np.ndarray], dtype: np.dtype) -> DataFrame:
-    """An answer (part, block, body) to each asked row, in planes both ways:
+def answer_each(asked: DataFrame, reduce: Callable[[np.ndarray, np.ndarray], np.ndarray], dtype: np.dtype, encode: Callable[[np.ndarray], bytes] = to_planes) -> DataFrame:
+    """An answer (part, block, body) to each asked row, asked in planes:
     ``reduce(part, keys)`` gives an answer for each key, in their order."""
 
     def run(batches):
@@ -353,7 +353,7 @@ def answer_each(asked: DataFrame, reduce: Callable[[np.ndarray, np.ndarray], np.
         ends = np.cumsum(sizes)
         for i in range(0, len(part), 1000):
             e, n = ends[i : i + 1000], sizes[i : i + 1000]
-            yield pa.RecordBatch.from_arrays([pa.array(part[i : i + 1000]), pa.array(block[i : i + 1000]), pa.array([to_planes(found[z - k : z]) for z, k in zip(e, n, strict=True)], pa.binary())], schema=ASK_ARROW)
+            yield pa.RecordBatch.from_arrays([pa.array(part[i : i + 1000]), pa.array(block[i : i + 1000]), pa.array([encode(found[z - k : z]) for z, k in zip(e, n, strict=True)], pa.binary())], schema=ASK_ARROW)
 
     return asked.repartition(shuffle_partitions(asked.sparkSession), "part").mapInArrow(run, ASK_TYPE)
 

@@ -31,7 +31,8 @@ from .common import BLOCK_BYTES, PARTS_PER_PARTITION, answer_each, ask, blocks_o
 L2, L1, L0 = 0.6, 0.35, 0.05
 _REGISTERS = 1 << 14
 _ASK = np.dtype([("h", "<u4"), ("t", "<u2"), ("b", "<u2")])
-_TOLD = np.dtype([("t", "<u4"), ("b", "<u4")])
+_TOLD = np.dtype([("t", "<i8"), ("b", "<i8")])
+_NARROW = np.dtype([("t", "<u4"), ("b", "<u4")])
 _MOST = 65_535
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -95,14 +96,25 @@ def _total(part: np.ndarray, keys: np.ndarray) -> np.ndarray:
     out = np.zeros(len(key), _TOLD)
     for x in ("t", "b"):
         total = np.add.reduceat(keys[x][order].astype(np.int64), begin)
-        out[x][order] = np.repeat(np.minimum(total, 0xFFFFFFFF), size)
+        out[x][order] = np.repeat(total, size)
     return out
 
 
+def _answer(told: np.ndarray) -> bytes:
+    """Counts in planes of 32 bits where they fit, else of 64; a last byte
+    tells which."""
+    wide = len(told) and max(told["t"].max(), told["b"].max()) > 0xFFFFFFFF
+    return to_planes(told) + b"W" if wide else to_planes(told.astype(_NARROW)) + b"N"
+
+
+def _counts(body: bytes) -> np.ndarray:
+    return from_planes(body[:-1], _TOLD if body[-1:] == b"W" else _NARROW).astype(_TOLD)
+
+
 def _told(bodies: list[bytes]) -> np.ndarray:
     """The answers by part, which is the order of the keys."""
     parts = sorted((int.from_bytes(b[1:5], "little"), k) for k, b in enumerate(bodies) if b[:1] == b"A")
-    return np.concatenate([from_planes(bodies[k][5:], _TOLD) for _, k in parts]) if parts else np.zeros(0, _TOLD)
+    return np.concatenate([_counts(bodies[k][5:]) for _, k in parts]) if parts else np.zeros(0, _TOLD)
 
 
 def _scored(table: pa.Table, bodies: list[bytes], text_col: str, parts: int, sizes: tuple[int, int, float], schema: pa.Schema) -> pa.Table:
@@ -207,7 +219,7 @@ def score_documents(docs: DataFrame, target: DataFrame, id_col: str = "doc_id",
     kind = T.StructType([T.StructField("block", T.LongType()), T.StructField("body", T.BinaryType())])
     marks = chosen.select("block", "row").mapInArrow(_marks, kind)
     asked = ask(blocks, partial(_ask, text_col=text_col, parts=parts), marks, to_planes)
-    told = answer_each(asked, _total, _ASK)
+    told = answer_each(asked, _total, _ASK, _answer)
     # An answer goes back marked A, with its part before it.
     part = F.unhex(F.concat(*[F.substring(F.lpad(F.hex("part"), 8, "0"), k, 2) for k in (7, 5, 3, 1)]))
     both = marks.unionByName(told.select("block", F.concat(F.lit(b"A"), part, "body").alias("body")))

@@ -254,3 +254,16 @@ def test_edited_copies_of_hot_items_are_found(spark):
     want = leaks_of_all_pairs(rows, items, decontaminate.Match())
     assert 0.4 * len(rows) < len(want) < len(rows)
     assert found_leaks(spark, rows, items) == want
+
+
+def test_counts_beyond_32_bits_are_exact():
+    import numpy as np
+
+    asked = np.zeros(70_001, lm_score._ASK)
+    asked["t"][:-1], asked["b"][:-1] = 65_000, 65_535
+    asked["h"][-1], asked["b"][-1] = 7, 3
+    told = lm_score._total(np.zeros(len(asked), np.int64), asked)
+    bodies = [b"A" + k.to_bytes(4, "little") + lm_score._answer(x) for k, x in ((1, told[-1:]), (0, told[:-1]))]
+    got = lm_score._told(bodies)
+    assert set(got["b"][:-1].tolist()) == {70_000 * 65_535} and set(got["t"][:-1].tolist()) == {70_000 * 65_000}
+    assert got[-1].tolist() == (0, 3)
