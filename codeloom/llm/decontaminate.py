@@ -96,13 +96,14 @@ def align(items: np.ndarray, windows: np.ndarray, m: Match) -> tuple[np.ndarray,
     """Best local score of each row's item and window (0: padding), and the
     window's word where it ends."""
     n, width = windows.shape
-    row, best, end = np.zeros((n, width + 1), np.int32), np.zeros(n, np.int32), np.zeros(n, np.int32)
-    ramp = (np.arange(width + 1) * -m.gap).astype(np.int32)
+    kind = np.int16 if m.equal * items.shape[1] - m.gap * (width + 1) < 32_000 else np.int32
+    row, best, end = np.zeros((n, width + 1), kind), np.zeros(n, np.int32), np.zeros(n, np.int32)
+    ramp = (np.arange(width + 1) * -m.gap).astype(kind)
     for i in range(items.shape[1]):
         word = items[:, i : i + 1]
-        step = np.where((windows == word) & (word != 0), m.equal, m.other).astype(np.int32)
+        step = np.where((windows == word) & (word != 0), kind(m.equal), kind(m.other))
         new = np.zeros_like(row)
-        np.maximum(row[:, :-1] + step, row[:, 1:] + m.gap, out=new[:, 1:])
+        np.maximum(row[:, :-1] + step, row[:, 1:] + kind(m.gap), out=new[:, 1:])
         np.maximum(new, 0, out=new)
         # Gaps along the window: the best earlier score less the way from it.
         new = np.maximum.accumulate(new + ramp, axis=1) - ramp
