@@ -38,6 +38,9 @@ BLOCK_BYTES = 8 << 20
 BLOCK_LEVEL = 9
 #: Hash parts for each shuffle partition, to even out how parts are dealt.
 PARTS_PER_PARTITION = 4
+#: Bytes of blocks whose keys one answering task holds at most: with more
+#: blocks there are more tasks than the session's shuffle partitions.
+TASK_BYTES = 256 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -76,6 +79,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def exchange_tasks(blocks: DataFrame, block_bytes: int) -> int:
+    """Tasks of an exchange between blocks: enough that one holds the keys of
+    ``TASK_BYTES`` at most, whatever the session's setting."""
+    return max(shuffle_partitions(blocks.sparkSession), -(-blocks.count() * block_bytes // TASK_BYTES))
+
+
 # ---------------------------------------------------------------- columns
 
 
@@ -274,6 +283,36 @@ def from_planes(body: bytes, dtype: np.dtype) -> np.ndarray:
     return out
 
 
+def squeezed(body: bytes) -> bytes:
+    """``body`` by zstd, with its length."""
+    return len(body).to_bytes(8, "little") + pa.compress(body, "zstd", asbytes=True)
+
+
+def unsqueezed(body: bytes | pa.Buffer) -> bytes:
+    size = int.from_bytes(bytes(body[:8]), "little")
+    return pa.decompress(body[8:], size, "zstd", asbytes=True)
+
+
+def to_sorted(keys: np.ndarray) -> bytes:
+    """An array with its keys, ascending 64-bit numbers, in field h: planes of
+    the steps from key to key, squeezed."""
+    steps = keys.copy()
+    steps["h"][1:] -= keys["h"][:-1]
+    return squeezed(to_planes(steps))
+
+
+def from_sorted(body: bytes, dtype: np.dtype) -> np.ndarray:
+    out = from_planes(unsqueezed(body), dtype)
+    out["h"] = np.cumsum(out["h"], dtype=np.uint64)
+    return out
+
+
+def by_range(h: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each 64-bit key: equal ranges, so that the keys of a part
+    are neighbours and their steps short."""
+    return (((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+
+
 def ask(blocks: DataFrame, question: Callable[[pa.Table, list[bytes]], tuple[np.ndarray, np.ndarray]], answers: DataFrame | None = None, encode: Callable[[np.ndarray], bytes] = np.ndarray.tobytes) -> DataFrame:
     """A row (part, block, body) for each block and hash part with a key.
 
@@ -302,7 +341,7 @@ def ask(blocks: DataFrame, question: Callable[[pa.Table, list[bytes]], tuple[np.
     return _beside(blocks, answers, lambda block, table, bodies: [rows(block, question(table, bodies))], ASK_TYPE)
 
 
-def answer(asked: DataFrame, reduce: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], dtype: np.dtype) -> DataFrame:
+def answer(asked: DataFrame, reduce: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], dtype: np.dtype, tasks: int) -> DataFrame:
     """Rows (part, block, body) for the blocks.
 
     ``reduce(part, block, keys)`` gets all keys of whole parts and gives
@@ -331,31 +370,33 @@ def answer(asked: DataFrame, reduce: Callable[[np.ndarray, np.ndarray, np.ndarra
             c, e = cut[i : i + 1000], ends[i : i + 1000]
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(c), np.int32)), pa.array(to[c]), pa.array([found[a:b].tobytes() for a, b in zip(c, e, strict=True)], pa.binary())], schema=ASK_ARROW)
 
-    return asked.repartition(shuffle_partitions(asked.sparkSession), "part").mapInArrow(run, ASK_TYPE)
+    return asked.repartition(tasks, "part").mapInArrow(run, ASK_TYPE)
 
 
-def answer_each(asked: DataFrame, reduce: Callable[[np.ndarray, np.ndarray], np.ndarray], dtype: np.dtype, encode: Callable[[np.ndarray], bytes] = to_planes) -> DataFrame:
-    """An answer (part, block, body) to each asked row, asked in planes:
-    ``reduce(part, keys)`` gives an answer for each key, in their order."""
+def answer_each(asked: DataFrame, reduce: Callable[[np.ndarray], np.ndarray], dtype: np.dtype, encode: Callable[[np.ndarray], bytes], tasks: int) -> DataFrame:
+    """An answer (part, block, body) to each asked row, asked in sorted keys:
+    ``reduce(keys)`` gives an answer for each key, in their order."""
 
     def run(batches):
         part, block, bodies = [], [], []
         for b in batches:
             part.append(b["part"].to_numpy())
             block.append(b["block"].to_numpy())
-            bodies += [from_planes(x.as_py(), dtype) for x in b["body"]]
+            bodies += [from_sorted(x.as_buffer(), dtype) for x in b["body"]]
         if not bodies:
             return
         part, block = np.concatenate(part), np.concatenate(block)
         sizes = np.array([len(x) for x in bodies])
-        found = reduce(np.repeat(part, sizes), np.concatenate(bodies))
+        keys = np.concatenate(bodies)
         del bodies
+        found = reduce(keys)
+        del keys
         ends = np.cumsum(sizes)
         for i in range(0, len(part), 1000):
             e, n = ends[i : i + 1000], sizes[i : i + 1000]
             yield pa.RecordBatch.from_arrays([pa.array(part[i : i + 1000]), pa.array(block[i : i + 1000]), pa.array([encode(found[z - k : z]) for z, k in zip(e, n, strict=True)], pa.binary())], schema=ASK_ARROW)
 
-    return asked.repartition(shuffle_partitions(asked.sparkSession), "part").mapInArrow(run, ASK_TYPE)
+    return asked.repartition(tasks, "part").mapInArrow(run, ASK_TYPE)
 
 
 def _beside(blocks: DataFrame, answers: DataFrame, fn: Callable, schema: T.StructType) -> DataFrame:

@@ -9,9 +9,11 @@ after v, with counts c that leave out the scored document itself,
 over its words of the loss under the target model less the loss under the
 background model: the lower, the more like the target.
 
-Counts are exact over the whole corpus.  Each block of documents asks once for
-each of its distinct words and word pairs, with its own counts, and gets the
-corpus' counts back in the same order.
+Counts are exact 64-bit sums over the whole corpus.  Each block of documents
+asks once for each of its distinct words and word pairs, with its own counts,
+and gets the corpus' counts back in the same order.  A word or pair is known by
+a 64-bit hash, whatever the number of partitions: of n distinct ones some
+n^2 / 2^65 pairs are taken for one (one in 30 corpora of 10^9).
 """
 
 from __future__ import annotations
@@ -26,34 +28,35 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import BLOCK_BYTES, PARTS_PER_PARTITION, answer_each, ask, blocks_of, checkpointed, from_planes, mix64, shuffle_partitions, to_planes, unpack, with_answers, without, words_of
+from .common import BLOCK_BYTES, PARTS_PER_PARTITION, answer_each, ask, blocks_of, by_range, checkpointed, exchange_tasks, from_planes, from_sorted, mix64, squeezed, to_planes, to_sorted, unpack, unsqueezed, with_answers, without, words_of
 
 L2, L1, L0 = 0.6, 0.35, 0.05
-_REGISTERS = 1 << 14
-_ASK = np.dtype([("h", "<u4"), ("t", "<u2"), ("b", "<u2")])
+_ASK = np.dtype([("h", "<u8"), ("t", "<u2"), ("b", "<u2")])
 _TOLD = np.dtype([("t", "<i8"), ("b", "<i8")])
 _NARROW = np.dtype([("t", "<u4"), ("b", "<u4")])
+_WORD = np.dtype([("h", "<u8")])
 _MOST = 65_535
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+def _word_hashes(distinct: list[bytes]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(w.translate(_LOWER)) for w in distinct), np.uint64, len(distinct))
+
+
 class _Counted:
     """Words and pairs of a block, as entries: hashes, places and counts."""
 
-    def __init__(self, table: pa.Table, text_col: str, target: np.ndarray, parts: int):
+    def __init__(self, table: pa.Table, text_col: str, target: np.ndarray):
         words = words_of(table[text_col])
         codes, distinct = words.coded()
-        h = np.fromiter((xxhash.xxh3_64_intdigest(w.translate(_LOWER)) for w in distinct), np.uint64, len(distinct))[codes]
+        h = _word_hashes(distinct)[codes]
         n = len(h)
         self.owner, self.first, self.n = words.owner, words.first, n
         pair = mix64(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) if n else h
         self.follows = np.zeros(n, bool)  # has a word before it in its text
         self.follows[1:] = self.owner[1:] == self.owner[:-1]
-        # The lowest bit of a key tells a pair from a word.
-        both = np.r_[mix64(h) & ~np.uint64(1), pair[self.follows[1:]] | np.uint64(1)]
-        part = (both >> np.uint64(33)) % np.uint64(parts)
-        key = (part << np.uint64(32)) | (both & np.uint64(0xFFFFFFFF))
-        self.keys, self.place = np.unique(key, return_inverse=True)
+        both = np.r_[mix64(h), pair[self.follows[1:]]]
+        self.keys, self.place = np.unique(both, return_inverse=True)
         self.target = target
         of = np.r_[self.owner, self.owner[self.follows]]
         self.of = of
@@ -78,22 +81,22 @@ def _entries(c: _Counted) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _ask(table: pa.Table, bodies: list[bytes], text_col: str, parts: int):
-    c = _Counted(table, text_col, _targets(table, bodies), parts)
+    c = _Counted(table, text_col, _targets(table, bodies))
     at, nth = _entries(c)
     out = np.zeros(len(at), _ASK)
-    out["h"] = c.keys[at] & np.uint64(0xFFFFFFFF)
+    out["h"] = c.keys[at]
     out["b"] = np.clip(c.b[at] - nth * _MOST, 0, _MOST)
     out["t"] = np.clip(c.t[at] - nth * _MOST, 0, _MOST)
-    return (c.keys[at] >> np.uint64(32)).astype(np.int64), out
+    return by_range(out["h"], parts), out
 
 
-def _total(part: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    key = (part.astype(np.uint64) << np.uint64(32)) | keys["h"]
-    order = np.argsort(key, kind="stable")
-    key = key[order]
+def _total(keys: np.ndarray) -> np.ndarray:
+    order = np.argsort(keys["h"], kind="stable")
+    key = keys["h"][order]
     begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     size = np.diff(np.r_[begin, len(key)])
-    out = np.zeros(len(key), _TOLD)
+    del key
+    out = np.zeros(len(keys), _TOLD)
     for x in ("t", "b"):
         total = np.add.reduceat(keys[x][order].astype(np.int64), begin)
         out[x][order] = np.repeat(total, size)
@@ -104,11 +107,11 @@ def _answer(told: np.ndarray) -> bytes:
     """Counts in planes of 32 bits where they fit, else of 64; a last byte
     tells which."""
     wide = len(told) and max(told["t"].max(), told["b"].max()) > 0xFFFFFFFF
-    return to_planes(told) + b"W" if wide else to_planes(told.astype(_NARROW)) + b"N"
+    return squeezed(to_planes(told)) + b"W" if wide else squeezed(to_planes(told.astype(_NARROW))) + b"N"
 
 
 def _counts(body: bytes) -> np.ndarray:
-    return from_planes(body[:-1], _TOLD if body[-1:] == b"W" else _NARROW).astype(_TOLD)
+    return from_planes(unsqueezed(body[:-1]), _TOLD if body[-1:] == b"W" else _NARROW).astype(_TOLD)
 
 
 def _told(bodies: list[bytes]) -> np.ndarray:
@@ -117,8 +120,8 @@ def _told(bodies: list[bytes]) -> np.ndarray:
     return np.concatenate([_counts(bodies[k][5:]) for _, k in parts]) if parts else np.zeros(0, _TOLD)
 
 
-def _scored(table: pa.Table, bodies: list[bytes], text_col: str, parts: int, sizes: tuple[int, int, float], schema: pa.Schema) -> pa.Table:
-    c = _Counted(table, text_col, _targets(table, bodies), parts)
+def _scored(table: pa.Table, bodies: list[bytes], text_col: str, sizes: tuple[int, int, float], schema: pa.Schema) -> pa.Table:
+    c = _Counted(table, text_col, _targets(table, bodies))
     at, nth = _entries(c)
     told = _told(bodies)[nth == 0]
     t, b = told["t"].astype(np.int64), told["b"].astype(np.int64)
@@ -148,40 +151,44 @@ def _scored(table: pa.Table, bodies: list[bytes], text_col: str, parts: int, siz
     return pa.table([made[f.name] if f.name in made else table[f.name] for f in schema], schema=schema)
 
 
-ROWS = T.StructType([T.StructField("what", T.LongType()), T.StructField("block", T.LongType()), T.StructField("id", T.LongType()), T.StructField("n", T.LongType())])
+ROWS = T.StructType([T.StructField("block", T.LongType()), T.StructField("row", T.IntegerType()), T.StructField("id", T.LongType()), T.StructField("n", T.LongType())])
 
 
 def _sizes(batches, text_col: str, id_col: str):
-    """what >= 0: a register that tells the vocabulary, and its value n;
-    what = -1 - row: a row of a block, its id and number of words."""
-    registers = np.zeros(_REGISTERS, np.int64)
-    make = lambda *columns: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=ROWS.names)
+    """The rows of the blocks, with their ids and numbers of words."""
     for batch in batches:
         for k in range(batch.num_rows):
             table = unpack(batch["payload"][k].as_buffer())
-            words = words_of(table[text_col])
             n = table.num_rows
-            yield make(-1 - np.arange(n), np.full(n, batch["block"][k].as_py()), table[id_col].combine_chunks().cast(pa.int64()), words.counts)
-            h = mix64(np.fromiter((xxhash.xxh3_64_intdigest(w.translate(_LOWER)) for w in words.coded()[1]), np.uint64))
-            rest = h >> np.uint64(14)
-            zeros = 51 - np.frexp(rest.astype(np.float64))[1]
-            np.maximum.at(registers, (h & np.uint64(_REGISTERS - 1)).astype(np.int64), zeros)
-    none = np.zeros(_REGISTERS, np.int64)
-    yield make(np.arange(_REGISTERS), none, none, registers)
-
-
-def vocabulary_size(rows: DataFrame) -> float:
-    """Distinct words by the registers' greatest values, which are 16,384 rows."""
-    got = rows.filter("what >= 0").groupBy("what").agg(F.max("n").alias("most")).collect()
-    most = np.zeros(_REGISTERS)
-    for r in got:
-        most[r.what] = r.most
-    m = _REGISTERS
-    estimate = 0.7213 / (1 + 1.079 / m) * m * m / (2.0**-most).sum()
-    free = int((most == 0).sum())
-    if estimate <= 2.5 * m and free:
-        estimate = m * np.log(m / free)
-    return max(1.0, float(estimate))
+            columns = [pa.array(np.full(n, batch["block"][k].as_py(), np.int64)), pa.array(np.arange(n, dtype=np.int32)), table[id_col].combine_chunks().cast(pa.int64()), pa.array(words_of(table[text_col]).counts, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=ROWS.names)
+
+
+def _ask_words(table: pa.Table, _: list[bytes], text_col: str, parts: int):
+    h = np.unique(_word_hashes(words_of(table[text_col]).coded()[1]))
+    out = np.zeros(len(h), _WORD)
+    out["h"] = h
+    return by_range(h, parts), out
+
+
+def _distinct(batches):
+    """How many words the parts of a task have, held as one sorted array."""
+    held, fresh, size = np.zeros(0, np.uint64), [], 0
+    for b in batches:
+        for x in b["body"]:
+            fresh.append(from_sorted(x.as_buffer(), _WORD)["h"])
+            size += len(fresh[-1])
+            if size > max(1 << 20, len(held)):
+                held, fresh, size = np.unique(np.concatenate([held, *fresh])), [], 0
+    yield pa.RecordBatch.from_arrays([pa.array([len(np.unique(np.concatenate([held, *fresh])))], pa.int64())], names=["n"])
+
+
+def vocabulary_size(blocks: DataFrame, text_col: str, tasks: int) -> int:
+    """Distinct words of all blocks, exactly: each block sends each of its
+    words once."""
+    asked = ask(blocks, partial(_ask_words, text_col=text_col, parts=PARTS_PER_PARTITION * tasks), None, to_sorted)
+    counts = asked.repartition(tasks, "part").mapInArrow(_distinct, "n long")
+    return max(1, counts.agg(F.sum("n")).first()[0] or 0)
 
 
 def _marks(batches):
@@ -200,30 +207,30 @@ def score_documents(docs: DataFrame, target: DataFrame, id_col: str = "doc_id",
 
     ``target``: its first column names the ids of the target's documents (null
     and repeated ones don't matter); all documents are the background.  Words
-    compare with A-Z in lower case.  ``vocabulary``: V, else estimated from all
-    words.  A text without words, or null, has null losses and score.  Repeated
+    compare with A-Z in lower case.  ``vocabulary``: V, else the number of
+    distinct words of all documents.  A text without words, or null, has null losses and score.  Repeated
     rows count as often as they occur, and each leaves out itself only.
     Columns named like an added one give way; an empty table gives no rows.
     """
     added = ("n_tokens", "loss_target", "loss_background", "score")
     docs = without(docs, *added)
     schema = T.StructType([*docs.schema.fields, *[T.StructField(a, T.LongType() if a == "n_tokens" else T.DoubleType()) for a in added]])
-    parts = PARTS_PER_PARTITION * shuffle_partitions(docs.sparkSession)
     blocks = blocks_of(docs, block_bytes)
+    tasks = exchange_tasks(blocks, block_bytes)
     rows = checkpointed(blocks.mapInArrow(partial(_sizes, text_col=text_col, id_col=id_col), ROWS))
     ids = target.select(F.col(target.columns[0]).cast("long").alias("target_id")).filter("target_id is not null").distinct()
-    named = rows.filter("what < 0")
-    chosen = checkpointed(named.join(ids, F.col("id") == F.col("target_id"), "left_semi").select("block", (-1 - F.col("what")).alias("row"), "n"))
-    n_all = named.agg(F.sum("n")).first()[0] or 0
+    chosen = checkpointed(rows.join(ids, F.col("id") == F.col("target_id"), "left_semi").select("block", "row", "n"))
+    n_all = rows.agg(F.sum("n")).first()[0] or 0
     n_target = chosen.agg(F.sum("n")).first()[0] or 0
+    v = vocabulary or vocabulary_size(blocks, text_col, tasks)
     kind = T.StructType([T.StructField("block", T.LongType()), T.StructField("body", T.BinaryType())])
     marks = chosen.select("block", "row").mapInArrow(_marks, kind)
-    asked = ask(blocks, partial(_ask, text_col=text_col, parts=parts), marks, to_planes)
-    told = answer_each(asked, _total, _ASK, _answer)
+    asked = ask(blocks, partial(_ask, text_col=text_col, parts=PARTS_PER_PARTITION * tasks), marks, to_sorted)
+    told = answer_each(asked, _total, _ASK, _answer, tasks)
     # An answer goes back marked A, with its part before it.
     part = F.unhex(F.concat(*[F.substring(F.lpad(F.hex("part"), 8, "0"), k, 2) for k in (7, 5, 3, 1)]))
     both = marks.unionByName(told.select("block", F.concat(F.lit(b"A"), part, "body").alias("body")))
-    make = partial(_scored, text_col=text_col, parts=parts, sizes=(n_target, n_all, vocabulary or vocabulary_size(rows)), schema=to_arrow_schema(schema))
+    make = partial(_scored, text_col=text_col, sizes=(n_target, n_all, v), schema=to_arrow_schema(schema))
     return with_answers(blocks, both, make, schema)
 
 

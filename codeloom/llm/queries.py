@@ -88,7 +88,7 @@ def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cross-entropy difference of every document: labelled good against all."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score_documents(docs, labelled_good(read_table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", "n_tokens", "loss_target", "loss_background", "score")
+    return scored.select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in ("loss_target", "loss_background", "score")])
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,6 +175,32 @@ select n.conv_id, cast(n.n as integer) n_prompt_turns,
   coalesce(string_agg(cast(before + head as bigint) || '+' || body, ',' order by i) filter (where side = 'r' and not common and role = 'assistant'), '') rejected_spans
 from n left join o on o.conv_id = n.conv_id
 group by n.conv_id, n.n
+""",
+    "op8_lm_score": r"""
+with good as (select distinct doc_id from labels where quality = 1 and doc_id is not null),
+d as (select doc_id, doc_id in (select doc_id from good) is_target, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') ws from documents),
+w as (select doc_id, is_target, i, ws[i] w, case when i > 1 then ws[i - 1] end v from (select *, unnest(range(1, len(ws) + 1)) i from d)),
+one as (select w, count(*) b, count(*) filter (where is_target) t from w group by 1),
+two as (select v, w, count(*) b, count(*) filter (where is_target) t from w where v is not null group by 1, 2),
+mine1 as (select doc_id, w, count(*) n from w group by 1, 2),
+mine2 as (select doc_id, v, w, count(*) n from w where v is not null group by 1, 2, 3),
+size as (select count(*) b, count(*) filter (where is_target) t, (select count(*) from one) vocabulary from w),
+c as (
+  select w.doc_id, len(d.ws) len, vocabulary,
+    one.b - m1.n b1, one.t - if(w.is_target, m1.n, 0) t1, size.b - len(d.ws) nb, size.t - if(w.is_target, len(d.ws), 0) nt,
+    before.b - mb.n bv, before.t - if(w.is_target, mb.n, 0) tv, two.b - m2.n b2, two.t - if(w.is_target, m2.n, 0) t2
+  from w join d on d.doc_id = w.doc_id cross join size
+  join one on one.w = w.w join mine1 m1 on m1.doc_id = w.doc_id and m1.w = w.w
+  left join one before on before.w = w.v left join mine1 mb on mb.doc_id = w.doc_id and mb.w = w.v
+  left join two on two.v = w.v and two.w = w.w left join mine2 m2 on m2.doc_id = w.doc_id and m2.v = w.v and m2.w = w.w
+), p as (
+  select doc_id, len,
+    case when bv > 0 then 0.6::double * b2 / bv + 0.35::double * b1 / greatest(nb, 1) else 0.95::double * b1 / greatest(nb, 1) end + 0.05::double / vocabulary pb,
+    case when tv > 0 then 0.6::double * t2 / tv + 0.35::double * t1 / greatest(nt, 1) else 0.95::double * t1 / greatest(nt, 1) end + 0.05::double / vocabulary pt
+  from c
+), s as (select doc_id, sum(-ln(pt)) / max(len) lt, sum(-ln(pb)) / max(len) lb from p group by 1)
+select d.doc_id, cast(len(ws) as bigint) n_tokens, round(lt, 6) loss_target, round(lb, 6) loss_background, round(lt - lb, 6) score
+from d left join s on s.doc_id = d.doc_id
 """,
     "op3_url_filter": r"""
 with u as (

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import BLOCK_BYTES, PARTS_PER_PARTITION, Words, answer, ask, blocks_of, full_windows, quoted, shuffle_partitions, window_hash, with_answers, without, words_of
+from .common import BLOCK_BYTES, PARTS_PER_PARTITION, Words, answer, ask, blocks_of, exchange_tasks, full_windows, quoted, window_hash, with_answers, without, words_of
 
 # Perfect difference sets, by period.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
@@ -222,14 +222,15 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     docs = without(docs, "n_words", "n_removed", "removed")
     docs = docs.withColumn(id_col, quoted(id_col).cast("long")) if dict(docs.dtypes)[id_col] != "bigint" else docs
-    parts = PARTS_PER_PARTITION * shuffle_partitions(docs.sparkSession)
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType())])
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", T.ArrayType(span))])
     arrow = to_arrow_schema(schema)
 
     blocks = blocks_of(docs, block_bytes)
+    tasks = exchange_tasks(blocks, block_bytes)
+    parts = PARTS_PER_PARTITION * tasks
     anchors = ask(blocks, partial(_ask_anchors, text_col=text_col, window=window, parts=parts))
-    shared = answer(anchors, _shared, _ANCHOR)
+    shared = answer(anchors, _shared, _ANCHOR, tasks)
     windows = ask(blocks, partial(_ask_windows, text_col=text_col, id_col=id_col, window=window, parts=parts), shared)
-    earlier = answer(windows, _earlier, _WINDOW)
+    earlier = answer(windows, _earlier, _WINDOW, tasks)
     return with_answers(blocks, earlier, partial(_cut, text_col=text_col, id_col=id_col, window=window, schema=arrow), schema)

@@ -135,14 +135,48 @@ def test_counts_go_in_portions(monkeypatch):
     monkeypatch.setattr(lm_score, "_MOST", 2)
     table = pa.table({"text": ["a a a a a b", "b c", None]})
     part, keys = lm_score._ask(table, [b"R" + np.array([1], "<i4").tobytes()], "text", 4)
-    c = lm_score._Counted(table, "text", np.array([False, True, False]), 4)
+    c = lm_score._Counted(table, "text", np.array([False, True, False]))
     assert len(keys) > len(c.keys)
-    total = lm_score._total(np.r_[part, part], np.r_[keys, keys])[: len(keys)]
-    bodies = [b"A" + int(p).to_bytes(4, "little") + lm_score.to_planes(total[part == p]) for p in (3, 1, 0, 2)]
+    total = lm_score._total(np.r_[keys, keys])[: len(keys)]
+    bodies = [b"A" + int(p).to_bytes(4, "little") + lm_score._answer(total[part == p]) for p in (3, 1, 0, 2)]
     told = lm_score._told(bodies)[lm_score._entries(c)[1] == 0]
     assert told["b"].tolist() == (2 * c.b).tolist() and told["t"].tolist() == (2 * c.t).tolist()
 
 
+def test_keys_have_64_bits_whatever_the_parts():
+    import numpy as np
+    from codeloom.llm import common
+
+    rng = np.random.default_rng(3)
+    keys = np.zeros(5000, lm_score._ASK)
+    keys["h"] = np.sort(rng.integers(0, 1 << 64, 5000, np.uint64))
+    keys["b"] = rng.integers(0, 9, 5000)
+    for parts in (1, 7, 4096):
+        part = common.by_range(keys["h"], parts)
+        assert (np.diff(part) >= 0).all() and part.max() < parts
+        back = [common.from_sorted(common.to_sorted(keys[part == p]), keys.dtype) for p in np.unique(part)]
+        assert np.concatenate(back).tolist() == keys.tolist()
+    # Keys that differ in their highest or lowest bit only stay apart.
+    near = np.zeros(3, lm_score._ASK)
+    near["h"], near["b"] = [5, 4, (1 << 63) + 4], 1
+    assert lm_score._total(near)["b"].tolist() == [1, 1, 1]
+
+
+def test_vocabulary_is_exact_and_scores_do_not_depend_on_partitions(spark):
+    rows = awkward(18)
+    frame = spark.createDataFrame(rows, DOCS).repartition(3)
+    few = spark.createDataFrame([(k,) for k in range(0, 40, 3)], "id long")
+    blocks = lm_score.blocks_of(frame, 4096)
+    want = {bytes(b + 32 if 65 <= b <= 90 else b for b in w) for _, t, _ in rows for w in split(t)}
+    assert lm_score.vocabulary_size(blocks, "text", 5) == len(want)
+    found = []
+    for n in ("3", "11"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        found.append(sorted(((r.doc_id, r.text, r.score) for r in lm_score.score_documents(frame, few).collect()), key=str))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert found[0] == found[1]
+
+
 def test_languages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     model = language.fit(docs.filter("doc_id % 4 != 0"))
@@ -262,7 +296,7 @@ def test_counts_beyond_32_bits_are_exact():
     asked = np.zeros(70_001, lm_score._ASK)
     asked["t"][:-1], asked["b"][:-1] = 65_000, 65_535
     asked["h"][-1], asked["b"][-1] = 7, 3
-    told = lm_score._total(np.zeros(len(asked), np.int64), asked)
+    told = lm_score._total(asked)
     bodies = [b"A" + k.to_bytes(4, "little") + lm_score._answer(x) for k, x in ((1, told[-1:]), (0, told[:-1]))]
     got = lm_score._told(bodies)
     assert set(got["b"][:-1].tolist()) == {70_000 * 65_535} and set(got["t"][:-1].tolist()) == {70_000 * 65_000}
