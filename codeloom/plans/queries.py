@@ -6,7 +6,6 @@ result for DuckDB.  Queries without SQL have plain versions in the tests.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import graph, guard, index, outbox, proof, search, slicer, symbols, telemetry
+from ..session import scratch_folder
 from ..sources import tables as V
 from ..sources.tables import NOW_MS
 from ..streaming.reindex import Indexer
@@ -580,17 +580,10 @@ def _(s, d):
     return proof.swarm_verdict(V.read(s, d, "orders").select(F.col("o_custkey").cast("string").alias("commit_sha"), F.when(k % 5 == 0, 1).otherwise(0).alias("violations"), F.when(k % 700 == 0, 0.0).otherwise(1.0).alias("resilience"), (k % 100).alias("sliced_tokens"), k.alias("raw_tokens")))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for shared files; a local session may use
-    its warehouse."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return named or spark.conf.get("spark.sql.warehouse.dir")
-
-
 @query("stream_index_equals_batch", SQL["line_symbols"])
 def _(s, d):
     """The streamed index over all files: the same rows as in one batch."""
-    folder = f"{shared_folder(s)}/stream-index-{uuid.uuid4().hex}"
+    folder = scratch_folder(s, "stream-index")
     _code(s, d).withColumn("changed_at", F.lit(1).cast("long")).write.parquet(f"{folder}/log")
     indexer = Indexer(s, folder)
     log = s.readStream.schema("file_path STRING, content STRING, changed_at BIGINT").parquet(f"{folder}/log")
