@@ -18,8 +18,6 @@ group that grows with a key's frequency.
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -31,6 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import shared_folder
+
 #: Bytes of Arrow data in a block.  Larger blocks mean fewer, longer messages;
 #: a Python worker holds about ten times this.
 BLOCK_BYTES = 8 << 20
@@ -49,29 +49,10 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 # ---------------------------------------------------------------- session
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints.
-
-    A cluster names it in ``spark.checkpoint.dir``.  Only a local session may
-    do without: there a folder in the machine's temp folder is used.
-    """
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir")
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    if not named:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        named = os.path.join(tempfile.gettempdir(), "codeloom-checkpoints")
-    sc.setCheckpointDir(named)
-    return named
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder: later reads don't compute it again,
     and its rows and partitions stay as they are when executors are lost."""
-    ensure_checkpoint_dir(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -102,6 +83,39 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(name: str, *frames: DataFrame) -> str:
+    """``name``, with underscores before it until no frame has such a column."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def fair_share(rows: int, spark: SparkSession) -> int:
+    """Rows of one key from which it is dealt out to more than one task."""
+    return max(1, rows // (PARTS_PER_PARTITION * shuffle_partitions(spark)))
+
+
+def hot_keys(counts: DataFrame, keys: list[str], share: int) -> DataFrame:
+    """(keys, salts) of the keys with over ``share`` rows; ``counts``: keys and
+    n.  Of all rows there are ``fair_share`` times PARTS_PER_PARTITION times
+    the shuffle partitions, so there are at most so many such keys: a bound
+    that doesn't grow with the rows."""
+    return counts.filter(F.col("n") > share).select(*keys, F.ceil(F.col("n") / F.lit(share)).cast("int").alias("salts"))
+
+
+def dealt_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame, how: str = "inner") -> DataFrame:
+    """``left`` joined to ``right`` by columns without nulls that both have.
+    The rows of a hot key are dealt out to its salts, and its rows of ``right``
+    (one for each key, or few) go to each of them."""
+    salt, salts = free_name("salt", left, right), free_name("salts", left, right)
+    few = F.broadcast(hot.withColumnRenamed("salts", salts))
+    mixed = F.xxhash64(*[quoted(c) for c, kind in left.dtypes if "map<" not in kind and "variant" not in kind]) + F.spark_partition_id()
+    dealt = left.join(few, keys, "left").withColumn(salt, F.when(quoted(salts).isNull(), 0).otherwise(F.pmod(mixed, quoted(salts))).cast("int")).drop(salts)
+    each = right.join(few, keys, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(quoted(salts), F.lit(1)) - 1))).drop(salts)
+    return dealt.join(each, [*keys, salt], how).drop(salt)
+
+
 # ---------------------------------------------------------------- words
 
 

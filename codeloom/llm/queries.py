@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import format_preferences, swapped_endings
-from .common import ensure_checkpoint_dir, read_table
+from ..session import scratch_folder
+from .common import read_table
 from .decontaminate import find_leaks
 from .language import fit, predict
 from .lm_score import labelled_good, score_documents
@@ -43,13 +42,19 @@ def op2_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # The rules of the query.
-URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+URL_RULES = """
+  ('com', '/', 'allow'),
+  ('example.com', '/en/', 'block'),
+  ('www.example.com', '/en/', 'allow'),
+  ('net', '/es/', 'block'),
+  ('net', '/fr/', 'block')
+"""
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict on every page's url."""
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
-    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    rules = spark.sql(f"select * from values {URL_RULES} as rules(host, path, verdict)")
     return filter_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
@@ -79,7 +84,7 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as token ids in ORC files, read back."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    path = f"{ensure_checkpoint_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    path = scratch_folder(spark, "token-files")
     write_token_files(docs, path, public_tokenizers.path(TOKENIZER), end_id=2)
     return with_crc(read_token_files(spark, path))
 
@@ -210,8 +215,7 @@ with u as (
     translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host,
     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) path
   from u
-), r(h, q, v) as (values ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')
-), m as (
+), r(h, q, v) as (values """ + URL_RULES + r"""), m as (
   select page_id, host, path, max(struct_pack(n := length(h || q), rule := h || q, v := v)) best
   from p left join r on (host = h or ends_with(host, '.' || h)) and starts_with(path, q)
   group by page_id, host, path

@@ -8,7 +8,8 @@ segment, probed with its own key and with the keys one bit away (in earlier
 quarters, from 0 to 1 only, as the other fingerprint probes the other way),
 meets every such pair; the complete distance is then verified.
 
-Equal fingerprints are one entry.  A 48-bit key has at most 2^16 entries
+Equal fingerprints are one entry, and the rows of a frequent one are dealt out
+when they get their component.  A 48-bit key has at most 2^16 entries
 however often a text is copied, and a fingerprint has at most 2,080 others
 within two bits, so the number of links stays in proportion to the entries.
 """
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import checkpointed, quoted, text_buffers, without
+from .common import checkpointed, dealt_join, fair_share, hot_keys, quoted, text_buffers, without
 from .components import connected_components
 
 
@@ -114,9 +115,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     added one give way; an empty table gives no rows.
     """
     marked = checkpointed(simhash(without(docs, "component_id"), text_col, words, columns))
-    classes = checkpointed(marked.groupBy("fp").agg(F.min(quoted(id_col)).alias("least")))
+    classes = checkpointed(marked.groupBy("fp").agg(F.min(quoted(id_col)).alias("least"), F.count(F.lit(1)).alias("n")))
     roots = connected_components(links(classes.select("fp")))
-    rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("_code"), "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least.withColumnRenamed("root", "group"), F.col("root") == F.col("group")).select("_code", "component_id")
-    return marked.join(named, F.col("fp") == F.col("_code")).select(*[quoted(c) for c in marked.columns], "component_id")
+    rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    share = fair_share(classes.agg(F.sum("n")).first()[0] or 0, docs.sparkSession)
+    # Few components have many fingerprints, but one may have most of them.
+    sizes = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    named = dealt_join(rooted.select("fp", "root"), sizes.select("root", "component_id"), ["root"], hot_keys(sizes, ["root"], share)).select("fp", "component_id")
+    return dealt_join(marked, named, ["fp"], hot_keys(classes, ["fp"], share)).select(*[quoted(c) for c in marked.columns], "component_id")

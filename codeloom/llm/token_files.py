@@ -3,8 +3,8 @@
 ORC's integer run-length encoding packs the ids; each stripe has a row index
 and a Bloom filter on the document id, so a reader skips stripes that a
 predicate on doc_id rules out, and reads stripes in parallel.  A row knows
-where its ids start in its file; file totals, summed in file order, give where
-they start in the corpus.
+where its ids start among those that its task wrote; the tasks' totals, summed
+in the order of their numbers, give where they start in the corpus.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from .encoding import encoder
 
 #: Bytes of Arrow data that a worker encodes at once.
 STEP_BYTES = 4 << 20
-#: Files up to this many get their starts by a broadcast of one row for each.
-BROADCAST_FILES = 100_000
+#: Tasks up to this many get their starts by a broadcast of one row for each.
+BROADCAST_TASKS = 100_000
 
 ROW = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("at", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
@@ -43,10 +43,10 @@ def _encode(batches, tokenizer: str, end_id: int):
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", n_files: int | None = None, stripe_bytes: int = 16 << 20) -> None:
     """Encode each whole text, append ``end_id`` and write ORC files under
-    ``path``: doc_id, at (the file's ids before it), n_tokens and ids.
+    ``path``: doc_id, at (the task's ids before it), n_tokens and ids.
 
-    Files hold ascending ranges of ids in the order of their names, rows
-    ascending ids.  Null ids come first; rows with one id follow each other by
+    Tasks hold ascending ranges of ids in the order of the numbers in their
+    files' names, rows ascending ids.  Null ids come first; rows with one id follow each other by
     a hash of their texts.  A null or empty text has just ``end_id``.  Other
     columns are not written; an empty table gives files without rows.
     """
@@ -63,13 +63,14 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids.  A
     filter on doc_id reaches the files' indexes and Bloom filters."""
     rows = spark.read.schema(ROW).orc(path)
-    named = rows.select("*", F.col("_metadata.file_name").alias("file"))
-    totals = named.groupBy("file").agg(F.sum("n_tokens").alias("total"))
-    before = F.coalesce(F.sum("total").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bases = totals.select("file", before.alias("base"))
-    if len(rows.inputFiles()) <= BROADCAST_FILES:
+    # By number: names with more than five digits aren't in the order of text.
+    named = rows.select("*", F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1).cast("long").alias("task"))
+    totals = named.groupBy("task").agg(F.sum("n_tokens").alias("total"))
+    before = F.coalesce(F.sum("total").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = totals.select("task", before.alias("base"))
+    if len(rows.inputFiles()) <= BROADCAST_TASKS:
         bases = F.broadcast(bases)
-    return named.join(bases, "file").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids")
+    return named.join(bases, "task").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids")
 
 
 def _digest(batches, schema: pa.Schema):

@@ -1,17 +1,17 @@
 """Operator 3: URL filters as a sort-merge range join, in DataFrame functions.
 
 A rule is a host and a path prefix; it fits the host and all subdomains.  The
-canonical key of a host and path is the reversed host, a zero byte, and the
-path, so the rules of a host are intervals of keys that nest or are disjoint.
-A URL has a key for each suffix of its host that some rule names.  Rule starts,
-rule ends and URL keys of a host are sorted together and swept: a start puts
-its rule on the stack, an end takes it off, which leaves the rule around it;
-each URL key gets the top of the stack, its longest rule.  The longest over
-the host suffixes wins.
-
-Hosts are dealt out with salts in proportion to their share of the URLs, and
-rules follow to each salt of their host, so the copies of rules stay below the
-number of URLs.
+rules of a host are intervals of paths that nest or are disjoint: from the
+prefix itself to the prefix with a byte behind it that is in no UTF-8 text.  A
+URL is a point for each suffix of its host.  Starts, ends and points of one
+host are sorted together by the canonical key (the reversed host, a zero byte,
+the path) and swept with a stack: a start puts its rule on it, an end takes one
+off.  A running sum of both is the stack's height; the slot of each height
+holds the last rule that was put there, so the slot at a point's own height is
+the innermost rule around it.  The longest rule over the suffixes wins.
+
+Points of one host (``com`` may have a third of all) are dealt out to salts in
+proportion to their share, and its rules follow to each salt.
 """
 
 from __future__ import annotations
@@ -19,47 +19,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import quoted, shuffle_partitions, without
+from .common import dealt_join, fair_share, hot_keys, quoted, without
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Salted groups for each shuffle partition.
-GROUPS_PER_PARTITION = 4
+#: Rules up to this many are sent to all tasks, so that points without a rule's
+#: host needn't be sorted; with more, all points are.
+SENT_RULES = 100_000
 
 
-def host_of(url: Column) -> Column:
-    """After the first :// up to /, ?, # or the end, A-Z lower-cased; else empty."""
-    rest = F.coalesce(F.regexp_extract(url, r"(?s)^.*?://(.*)$", 1), F.lit(""))
-    return F.translate(F.regexp_extract(rest, r"^[^/?#]*", 0), _UPPER, _LOWER)
+def parsed(pages: DataFrame, url_col: str) -> DataFrame:
+    """``pages`` with host (after the first :// up to /, ?, # or the end, A-Z
+    lower-cased) and path (what follows, up to ?, # or the end); both are empty
+    without ://.  Each step reads the one before it, so nothing is cut twice."""
+    url = quoted(url_col)
+    at = F.locate("://", url)
+    rest = F.when(at > 0, F.split(F.substr(url, at + 3), "[?#]", 2)[0]).otherwise("")
+    host = F.substring_index("path", "/", 1)
+    cut = pages.withColumns({"host": F.lit(""), "path": F.coalesce(rest, F.lit(""))}).withColumn("host", host)
+    return cut.withColumns({"host": F.translate("host", _UPPER, _LOWER), "path": F.substr("path", F.char_length("host") + 1)})
 
 
-def path_of(url: Column) -> Column:
-    """What follows the host, up to ?, # or the end."""
-    rest = F.coalesce(F.regexp_extract(url, r"(?s)^.*?://(.*)$", 1), F.lit(""))
-    return F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
+def _labels(host: Column) -> Column:
+    return F.reverse(F.split(host, r"\.", -1))
 
 
-def _reversed(host: Column) -> Column:
-    return F.array_join(F.reverse(F.split(host, r"\.", -1)), ".")
-
-
-def _key(host: Column, path: Column) -> Column:
-    """The interval of a rule starts here; ``_after`` is its end."""
-    return F.concat(F.encode(host, "UTF-8"), F.lit(b"\x00"), F.encode(path, "UTF-8"))
-
-
-def _after(key: Column) -> Column:
-    """Above every key that starts with ``key``: UTF-8 has no byte 0xFF."""
-    return F.concat(key, F.lit(b"\xff"))
-
-
-def _nested(rules: DataFrame) -> DataFrame:
-    """Rules with the one around each: the longest rule of the same host whose
-    path is a proper prefix (joined by the prefixes themselves)."""
-    inner = rules.select("at", "path", F.explode_outer(F.expr("transform(sequence(0, char_length(path)), i -> left(path, i))")).alias("prefix")).filter("prefix != path")
-    outer = rules.select(F.col("at").alias("o_at"), F.col("path").alias("o_path"), F.col("top").alias("o_top"))
-    around = inner.join(outer, (F.col("at") == F.col("o_at")) & (F.col("prefix") == F.col("o_path")))
-    around = around.groupBy("at", "path").agg(F.max_by("o_top", F.char_length("o_path")).alias("around"))
-    return rules.join(around.select(F.col("at").alias("i_at"), F.col("path").alias("i_path"), "around"), (F.col("at") == F.col("i_at")) & (F.col("path") == F.col("i_path")), "left").select("at", "path", "top", "around")
+def _key(at: Column, path: Column) -> Column:
+    return F.concat(F.encode(at, "UTF-8"), F.lit(b"\x00"), F.encode(path, "UTF-8"))
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow") -> DataFrame:
@@ -70,34 +55,36 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", defaul
     out; of rules alike in host and path the one with the greater verdict
     ("block" over "allow") counts; of two that tie in length the one with the
     longer host wins.  A null url or one without :// has an empty host and
-    path, which no rule fits.  Repeated rows are judged alike; columns named
-    like an added one give way; an empty table gives no rows.
+    path, which no rule fits unless its host and path are empty too.  Repeated
+    rows are judged alike; columns named like an added one give way; an empty
+    table gives no rows.
     """
-    pages = without(pages, "host", "path", "rule", "verdict").withColumns({"host": host_of(quoted(url_col)), "path": path_of(quoted(url_col))})
+    pages = parsed(without(pages, "host", "path", "rule", "verdict"), url_col)
     clean = rules.filter("host is not null and path is not null and verdict is not null")
     clean = clean.groupBy(F.translate("host", _UPPER, _LOWER).alias("host"), "path").agg(F.max("verdict").alias("verdict"))
-    clean = clean.select(_reversed(F.col("host")).alias("at"), "path", F.struct((F.char_length("host") + F.char_length("path")).alias("size"), F.char_length("host").alias("host_size"), F.concat("host", "path").alias("rule"), "verdict").alias("top"))
-
-    urls = pages.select("host", "path").distinct()
-    labels = F.reverse(F.split("host", r"\.", -1))
-    levels = urls.withColumn("labels", labels).select("host", "path", F.explode(F.expr("transform(sequence(1, size(labels)), n -> array_join(slice(labels, 1, n), '.'))")).alias("at"))
-    named = levels.join(clean.select(F.col("at").alias("r_at")).distinct(), F.col("at") == F.col("r_at")).drop("r_at")
-    share = max(1, pages.count() // (GROUPS_PER_PARTITION * shuffle_partitions(pages.sparkSession)))
-    salts = named.groupBy("at").agg(F.ceil(F.count(F.lit(1)) / F.lit(share)).cast("int").alias("salts")).withColumnRenamed("at", "s_at")
-
-    dealt = named.join(salts, F.col("at") == F.col("s_at"))
-    points = dealt.select("at", F.pmod(F.xxhash64("host", "path"), F.col("salts")).cast("int").alias("salt"), _key(F.col("at"), F.col("path")).alias("key"), F.lit(1).alias("kind"), F.lit(None).cast(clean.schema["top"].dataType).alias("top"), "host", "path")
-    every = _nested(clean).join(salts, F.col("at") == F.col("s_at")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    none = F.lit(None).cast("string")
-    start = _key(F.col("at"), F.col("path"))
-    # The bottom of the stack is a struct without a rule, so that it isn't null.
-    bottom = F.struct(F.lit(0).alias("size"), F.lit(0).alias("host_size"), none.alias("rule"), none.alias("verdict"))
-    starts = every.select("at", "salt", start.alias("key"), F.lit(0).alias("kind"), "top", none.alias("host"), none.alias("path"))
-    ends = every.select("at", "salt", _after(start).alias("key"), F.lit(0).alias("kind"), F.coalesce("around", bottom).alias("top"), none.alias("host"), none.alias("path"))
-
-    sweep = Window.partitionBy("at", "salt").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    swept = points.unionByName(starts).unionByName(ends).withColumn("top", F.last("top", ignorenulls=True).over(sweep))
-    best = swept.filter("kind = 1 and top.rule is not null").groupBy("host", "path").agg(F.max("top").alias("top"))
-    best = best.select(F.col("host").alias("_best_host"), F.col("path").alias("_best_path"), F.col("top.rule").alias("rule"), F.col("top.verdict").alias("verdict"))
-    judged = pages.join(best, (F.col("host") == F.col("_best_host")) & (F.col("path") == F.col("_best_path")), "left")
-    return judged.select(*[quoted(c) for c in pages.columns], "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    top = F.struct((F.char_length("host") + F.char_length("path")).alias("size"), F.char_length("host").alias("host_size"), F.concat("host", "path").alias("rule"), "verdict")
+    clean = clean.select(F.array_join(_labels(F.col("host")), ".").alias("at"), "path", top.alias("top"))
+
+    share = fair_share(pages.count(), pages.sparkSession)
+    urls = pages.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"))
+    suffixes = F.expr("transform(sequence(1, size(labels)), n -> array_join(slice(labels, 1, n), '.'))")
+    points = urls.withColumn("labels", _labels(F.col("host"))).select("host", "path", F.explode(suffixes).alias("at"))
+    if clean.count() <= SENT_RULES:
+        points = points.join(F.broadcast(clean.select("at").distinct()), "at", "left_semi")
+    hot = F.broadcast(hot_keys(points.groupBy("at").agg(F.count(F.lit(1)).alias("n")), ["at"], share))
+
+    none, no_rule = F.lit(None).cast("string"), F.lit(None).cast(clean.schema["top"].dataType)
+    salt = F.pmod(F.xxhash64("host", "path"), F.coalesce("salts", F.lit(1))).cast("int")
+    points = points.join(hot, "at", "left").select("at", salt.alias("salt"), _key(F.col("at"), F.col("path")).alias("key"), F.lit(0).alias("step"), no_rule.alias("top"), "host", "path")
+    every = clean.join(hot, "at", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
+    starts = every.select("at", "salt", _key(F.col("at"), F.col("path")).alias("key"), F.lit(1).alias("step"), "top", none.alias("host"), none.alias("path"))
+    ends = every.select("at", "salt", F.concat(_key(F.col("at"), F.col("path")), F.lit(b"\xff")).alias("key"), F.lit(-1).alias("step"), no_rule.alias("top"), none.alias("host"), none.alias("path"))
+
+    # A start comes before the points with its key; no point has an end's key.
+    so_far = Window.partitionBy("at", "salt").orderBy("key", F.desc("step")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    slot = Window.partitionBy("at", "salt", "height").orderBy("key", F.desc("step")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = starts.unionByName(ends).unionByName(points).withColumn("height", F.sum("step").over(so_far))
+    found = swept.filter("step >= 0 and height > 0").withColumn("top", F.last("top", ignorenulls=True).over(slot)).filter("step = 0")
+    best = found.groupBy("host", "path").agg(F.max("top").alias("_best"))
+    judged = dealt_join(pages, best, ["host", "path"], hot_keys(urls, ["host", "path"], share), "left")
+    return judged.select(*[quoted(c) for c in pages.columns], F.col("_best.rule").alias("rule"), F.coalesce("_best.verdict", F.lit(default)).alias("verdict"))

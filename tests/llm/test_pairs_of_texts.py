@@ -6,7 +6,7 @@ import re
 from collections import defaultdict
 
 import xxhash
-from codeloom.llm import queries
+from codeloom.llm import common, components, queries
 from codeloom.llm.similar import keep_one_of_each
 from codeloom.llm.simhash import near_duplicates
 from codeloom.llm.substrings import cover_for, dedup_substrings
@@ -105,6 +105,31 @@ def test_fingerprints_and_components(spark):
     assert near_duplicates(odd).columns == ["doc_id", "text", "code", "root", "least", "fp", "component_id"]
 
 
+def test_components_with_a_hub_and_a_chain(spark, monkeypatch):
+    rng = random.Random(21)
+    edges = [(5000, k) for k in range(2000)] + [(k, k + 1) for k in range(6000, 6200)] + [(7000, 7000), (None, 3), (7001, 7002)]
+    rng.shuffle(edges)
+    frame = spark.createDataFrame(edges, "x long, y long")
+    want = {k: 0 for k in [*range(2000), 5000]} | {k: 6000 for k in range(6000, 6201)} | {7001: 7001, 7002: 7001}
+    for least in (components.DEALT_FROM, 1):
+        monkeypatch.setattr(components, "DEALT_FROM", least)
+        got = [(r.node, r.root) for r in components.connected_components(frame, "x", "y").collect()]
+        assert len(got) == len(want) and dict(got) == want
+
+
+def test_rows_of_a_frequent_text_are_dealt_out(spark):
+    left = spark.createDataFrame([(k % 7 if k % 3 else 1, k % 5, {"a": 1}) for k in range(3000)], "k long, salt long, m map<string,int>").repartition(6)
+    right = spark.createDataFrame([(k, f"r{k}") for k in range(6)], "k long, SALTS string")
+    counts = left.groupBy("k").agg({"*": "count"}).toDF("k", "n")
+    hot = common.hot_keys(counts, ["k"], 200)
+    assert sorted((r.k, r.salts) for r in hot.collect()) == [(k, -(-n // 200)) for k, n in sorted(counts.collect()) if n > 200]
+    for how in ("inner", "left"):
+        got = common.dealt_join(left, right, ["k"], hot, how)
+        plain = left.join(right, "k", how)
+        assert got.columns == plain.columns
+        assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
+
+
 def test_one_of_each_similar_group_stays(spark):
     rng = random.Random(4)
     rows = []

@@ -217,6 +217,20 @@ def test_urls_match_the_plain_version(spark):
     assert {r.verdict for r in urls.filter_urls(frame, table.limit(0)).collect()} == {"allow"}
 
 
+def test_hot_hosts_and_urls_are_dealt_out(spark, monkeypatch):
+    rng = random.Random(31)
+    made = ["http://www.example.com/en/hot"] * 500 + [None] * 300 + [f"http://h{rng.randrange(300)}.example.com/{rng.choice(['en', 'de'])}/{k}" for k in range(700)]
+    rules = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("example.com", "/en/1", "allow"), ("example.com", "/en/12", "block"), ("h7.example.com", "", "block")]
+    frame = spark.createDataFrame([(k % 100, u, {"a": k % 3}) for k, u in enumerate(made)], "page_id long, url string, salt map<string,int>").repartition(4)
+    table = spark.createDataFrame(rules, "host string, path string, verdict string")
+    want = sorted((k % 100, str(plain_verdict(u, rules))) for k, u in enumerate(made))
+    for sent in (urls.SENT_RULES, 0):
+        monkeypatch.setattr(urls, "SENT_RULES", sent)
+        got = urls.filter_urls(frame, table)
+        assert got.columns == ["page_id", "url", "salt", "host", "path", "rule", "verdict"]
+        assert sorted((r.page_id, str((r.host, r.path, r.rule, r.verdict))) for r in got.collect()) == want
+
+
 def test_preferences(spark):
     t = "pair_id long, turn long, role string, text string, extra int"
     chosen = [(1, 0, "user", "hi", 0), (1, 1, "assistant", "good", 0), (1, 2, "user", "more", 0), (2, 0, "user", "é", 0), (3, 5, None, None, 0), (None, 0, "user", "x", 0), (4, 0, "user", "a", 0), (4, 0, "user", "a", 0)]

@@ -121,6 +121,40 @@ def test_token_files_round_trip(spark, tmp_path):
     assert token_files.read_token_files(spark, empty).count() == 0
 
 
+def test_starts_follow_the_numbers_of_the_tasks(spark, tmp_path):
+    path = tmp_path / "tokens"
+    rows = [(k, f"word {'x ' * k}", None) for k in range(40)]
+    token_files.write_token_files(spark.createDataFrame(rows, DOCS), str(path), PATH, n_files=3)
+    for f in path.glob(".*.crc"):
+        f.unlink()
+    for f in path.glob("part-*"):
+        f.rename(path / f.name.replace(f.name[:10], f"part-{int(f.name[5:10]) + 99_998:05d}"))
+    assert sorted(f.name.split("-")[1] for f in path.glob("part-*")) == ["100000", "99998", "99999"]
+    at = 0
+    for r in token_files.read_token_files(spark, str(path)).orderBy("doc_id").collect():
+        assert r.start == at
+        at += r.n_tokens
+
+
+def test_files_have_stripes_row_indexes_and_bloom_filters(spark, tmp_path):
+    from pyarrow import orc
+
+    path = tmp_path / "tokens"
+    rng = random.Random(2)
+    rows = [(k, " ".join(str(rng.randrange(10**9)) for _ in range(60)), None) for k in range(8000)]
+    token_files.write_token_files(spark.createDataFrame(rows, DOCS), str(path), PATH, n_files=1, stripe_bytes=1 << 18)
+    (file,) = path.glob("part-*.orc")
+    got = orc.ORCFile(str(file))
+    assert got.nstripes > 1 and got.row_index_stride == 1000 and got.nrows == 8000
+    jvm = spark.sparkContext._jvm
+    options = jvm.org.apache.orc.OrcFile.readerOptions(spark.sparkContext._jsc.hadoopConfiguration())
+    reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(str(file)), options)
+    streams = reader.rows().readStripeFooter(reader.getStripes().get(0)).getStreamsList()
+    kinds = [(s.getColumn(), s.getKind().toString()) for s in streams]
+    bloom = {c for c, k in kinds if k.startswith("BLOOM_FILTER")}
+    assert bloom == {1} and {c for c, k in kinds if k == "ROW_INDEX"} >= {1, 2, 3, 4}
+
+
 def test_pipeline_stages(spark, sf):
     import corpus_pipeline
 
