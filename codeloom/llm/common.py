@@ -18,16 +18,19 @@ group that grows with a key's frequency.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import shared_folder
 
@@ -38,9 +41,9 @@ BLOCK_BYTES = 8 << 20
 BLOCK_LEVEL = 9
 #: Hash parts for each shuffle partition, to even out how parts are dealt.
 PARTS_PER_PARTITION = 4
-#: Bytes of blocks whose keys one answering task holds at most: with more
-#: blocks there are more tasks than the session's shuffle partitions.
-TASK_BYTES = 256 << 20
+#: Compressed bytes of blocks whose keys one answering task holds at most: with
+#: more of them there are more tasks than the session's shuffle partitions.
+TASK_BYTES = 64 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -60,10 +63,29 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def exchange_tasks(blocks: DataFrame, block_bytes: int) -> int:
+def checkpoint_path(df: DataFrame):
+    """Where a checkpointed frame lies, and its file system."""
+    file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get()
+    sc = df.sparkSession.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(file)
+    return path, path.getFileSystem(sc._jsc.hadoopConfiguration())
+
+
+def exchange_tasks(blocks: DataFrame) -> int:
     """Tasks of an exchange between blocks: enough that one holds the keys of
     ``TASK_BYTES`` at most, whatever the session's setting."""
-    return max(shuffle_partitions(blocks.sparkSession), -(-blocks.count() * block_bytes // TASK_BYTES))
+    path, fs = checkpoint_path(blocks)
+    return max(shuffle_partitions(blocks.sparkSession), -(-fs.getContentSummary(path).getLength() // TASK_BYTES))
+
+
+def release(spark: SparkSession, *frames: DataFrame) -> None:
+    """Remove checkpoints that nothing will read any more, and let Spark's
+    cleaner find the shuffles that went out of use."""
+    for df in frames:
+        path, fs = checkpoint_path(df)
+        fs.delete(path, True)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 # ---------------------------------------------------------------- columns
@@ -193,6 +215,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_SMALL = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+
+
+def lower_hashes(distinct: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words, A-Z in lower case."""
+    return np.fromiter((xxhash.xxh3_64_intdigest(w.translate(_SMALL)) for w in distinct), np.uint64, len(distinct))
+
+
 def window_hash(word_hash: np.ndarray, width: int, seed: int) -> np.ndarray:
     """Hash of each run of ``width`` words, by the place of its first word;
     runs across texts are the caller's to leave out."""
@@ -241,7 +271,11 @@ BLOCK_ARROW = pa.schema([("block", pa.int64()), ("payload", pa.binary())])
 def blocks_of(df: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``df`` in blocks (block long, payload binary), written to the shared
     folder so that their numbers hold.  A row is never split; a longer row is
-    a block of its own."""
+    a block of its own.
+
+    They are dealt out by their numbers and sorted once; Spark keeps this in
+    mind for the checkpoint, so that only answers are shuffled to them later.
+    (It does so for a plan that isn't adaptive.)"""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, number, held, size = TaskContext.get().partitionId() << 32, 0, [], 0
@@ -261,7 +295,13 @@ def blocks_of(df: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         if held:
             yield flush()
 
-    return checkpointed(df.mapInArrow(pack, BLOCK_TYPE))
+    spark = df.sparkSession
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return checkpointed(df.mapInArrow(pack, BLOCK_TYPE).repartition(shuffle_partitions(spark), "block").sortWithinPartitions("block"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
 def _pieces(batch: pa.RecordBatch, block_bytes: int) -> Iterator[pa.RecordBatch]:
@@ -352,7 +392,7 @@ def ask(blocks: DataFrame, question: Callable[[pa.Table, list[bytes]], tuple[np.
 
         return blocks.mapInArrow(run, ASK_TYPE)
 
-    return _beside(blocks, answers, lambda block, table, bodies: [rows(block, question(table, bodies))], ASK_TYPE)
+    return _beside(blocks, answers, lambda block, table, bodies: pa.Table.from_batches([rows(block, question(table, bodies))]), ASK_TYPE)
 
 
 def answer(asked: DataFrame, reduce: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], dtype: np.dtype, tasks: int) -> DataFrame:
@@ -415,34 +455,19 @@ def answer_each(asked: DataFrame, reduce: Callable[[np.ndarray], np.ndarray], dt
 
 def _beside(blocks: DataFrame, answers: DataFrame, fn: Callable, schema: T.StructType) -> DataFrame:
     """``fn(block, table, bodies)`` for each block with the bodies of all its
-    answers; gives record batches.  One shuffle brings them together; a sort
-    puts a block's answers before it, so a task holds one block at a time."""
-    n = shuffle_partitions(blocks.sparkSession)
-    both = blocks.select("block", F.lit(1).alias("kind"), F.col("payload").alias("body"))
-    both = both.unionByName(answers.select("block", F.lit(0).alias("kind"), "body"))
-    both = both.repartition(n, "block").sortWithinPartitions("block", "kind")
+    answers; gives a table.  A task holds one block at a time."""
+    arrow = to_arrow_schema(schema)
 
-    def run(batches):
-        now, bodies = None, []
-        for b in batches:
-            ids, kinds, body = b["block"].to_numpy(), b["kind"].to_numpy(), b["body"]
-            for k in range(b.num_rows):
-                if ids[k] != now:
-                    now, bodies = ids[k], []
-                if kinds[k] == 0:
-                    bodies.append(body[k].as_py())
-                else:
-                    yield from fn(int(now), unpack(body[k].as_buffer()), bodies)
-                    bodies = []
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return arrow.empty_table()
+        bodies = [x.as_py() for x in right["body"]]
+        return fn(left["block"][0].as_py(), unpack(left["payload"][0].as_buffer()), bodies)
 
-    return both.mapInArrow(run, schema)
+    return blocks.groupBy("block").cogroup(answers.select("block", "body").groupBy("block")).applyInArrow(run, schema)
 
 
 def with_answers(blocks: DataFrame, answers: DataFrame, fn: Callable[[pa.Table, list[bytes]], pa.Table], schema: T.StructType) -> DataFrame:
     """The rows ``fn(table, bodies)`` makes of each block and its answers."""
 
-    def run(block, table, bodies):
-        out = fn(table, bodies)
-        return out.to_batches() if isinstance(out, pa.Table) else [out]
-
-    return _beside(blocks, answers, run, schema)
+    return _beside(blocks, answers, lambda block, table, bodies: fn(table, bodies), schema)

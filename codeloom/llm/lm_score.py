@@ -22,13 +22,12 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import BLOCK_BYTES, PARTS_PER_PARTITION, answer_each, ask, blocks_of, by_range, checkpointed, exchange_tasks, from_planes, from_sorted, mix64, squeezed, to_planes, to_sorted, unpack, unsqueezed, with_answers, without, words_of
+from .common import BLOCK_BYTES, PARTS_PER_PARTITION, answer_each, ask, blocks_of, by_range, checkpointed, exchange_tasks, from_planes, from_sorted, lower_hashes, mix64, squeezed, to_planes, to_sorted, unpack, unsqueezed, with_answers, without, words_of
 
 L2, L1, L0 = 0.6, 0.35, 0.05
 _ASK = np.dtype([("h", "<u8"), ("t", "<u2"), ("b", "<u2")])
@@ -36,11 +35,6 @@ _TOLD = np.dtype([("t", "<i8"), ("b", "<i8")])
 _NARROW = np.dtype([("t", "<u4"), ("b", "<u4")])
 _WORD = np.dtype([("h", "<u8")])
 _MOST = 65_535
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-
-
-def _word_hashes(distinct: list[bytes]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh3_64_intdigest(w.translate(_LOWER)) for w in distinct), np.uint64, len(distinct))
 
 
 class _Counted:
@@ -49,7 +43,7 @@ class _Counted:
     def __init__(self, table: pa.Table, text_col: str, target: np.ndarray):
         words = words_of(table[text_col])
         codes, distinct = words.coded()
-        h = _word_hashes(distinct)[codes]
+        h = lower_hashes(distinct)[codes]
         n = len(h)
         self.owner, self.first, self.n = words.owner, words.first, n
         pair = mix64(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) if n else h
@@ -165,7 +159,7 @@ def _sizes(batches, text_col: str, id_col: str):
 
 
 def _ask_words(table: pa.Table, _: list[bytes], text_col: str, parts: int):
-    h = np.unique(_word_hashes(words_of(table[text_col]).coded()[1]))
+    h = np.unique(lower_hashes(words_of(table[text_col]).coded()[1]))
     out = np.zeros(len(h), _WORD)
     out["h"] = h
     return by_range(h, parts), out
@@ -216,7 +210,7 @@ def score_documents(docs: DataFrame, target: DataFrame, id_col: str = "doc_id",
     docs = without(docs, *added)
     schema = T.StructType([*docs.schema.fields, *[T.StructField(a, T.LongType() if a == "n_tokens" else T.DoubleType()) for a in added]])
     blocks = blocks_of(docs, block_bytes)
-    tasks = exchange_tasks(blocks, block_bytes)
+    tasks = exchange_tasks(blocks)
     rows = checkpointed(blocks.mapInArrow(partial(_sizes, text_col=text_col, id_col=id_col), ROWS))
     ids = target.select(F.col(target.columns[0]).cast("long").alias("target_id")).filter("target_id is not null").distinct()
     chosen = checkpointed(rows.join(ids, F.col("id") == F.col("target_id"), "left_semi").select("block", "row", "n"))

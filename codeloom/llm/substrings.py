@@ -227,7 +227,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     arrow = to_arrow_schema(schema)
 
     blocks = blocks_of(docs, block_bytes)
-    tasks = exchange_tasks(blocks, block_bytes)
+    tasks = exchange_tasks(blocks)
     parts = PARTS_PER_PARTITION * tasks
     anchors = ask(blocks, partial(_ask_anchors, text_col=text_col, window=window, parts=parts))
     shared = answer(anchors, _shared, _ANCHOR, tasks)
