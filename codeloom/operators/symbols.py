@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,26 +26,37 @@ PATTERNS = {
 NOT_NAMES = ["if", "for", "while", "switch", "catch", "constructor"]
 
 
+#: Text without which a line declares nothing, by language.
+MARKS = {"TypeScript": ["function", "const", "let", "var", "interface", "type", "class", "("], "Python": ["def", "class"], "Rust": ["fn", "struct", "enum", "trait"], "Go": ["func", "type"]}
+
+
+def _any(text: Column, parts: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(x)) for x in parts])
+
+
+def _by_language(language: Column, of) -> Column:
+    out = of("TypeScript")
+    for name in ("Python", "Rust", "Go"):
+        out = F.when(language == name, of(name)).otherwise(out)
+    return out
+
+
 def declared(line: Column, language: Column) -> Column:
     """The name a trimmed line declares: of the first pattern that fits with a
-    name that is none of the control words."""
-    def of(patterns: list[str]) -> Column:
-        name = F.lit(None).cast("string")
-        for p in reversed(patterns):
-            got = F.regexp_extract(line, p, 1)
-            name = F.when((got != "") & ~got.isin(NOT_NAMES), got).otherwise(name)
-        return name
-
-    out = of(PATTERNS["TypeScript"])
-    for language_name in ("Python", "Rust", "Go"):
-        out = F.when(language == language_name, of(PATTERNS[language_name])).otherwise(out)
-    return out
+    name that is none of the control words.  Each pattern is tried once."""
+    def of(name: str) -> Column:
+        found = F.array(*[F.regexp_extract(line, p, 1) for p in PATTERNS[name]])
+        return F.get(F.filter(found, lambda x: (x != "") & ~x.isin(NOT_NAMES)), F.lit(0))
+
+    return _by_language(language, of)
 
 
 def line_symbols(files: DataFrame) -> DataFrame:
-    """(file_path, name, line_no, signature): the first line for each name."""
+    """(file_path, name, line_no, signature): the first line for each name.
+    Most lines are passed over by a search for plain text."""
     each = files.select("file_path", language_of(F.col("file_path")).alias("language"), F.posexplode(F.split("content", "\n", -1)).alias("at", "line"))
-    each = each.withColumn("signature", trim(F.col("line")))
+    each = each.filter(_by_language(F.col("language"), lambda name: _any(F.col("line"), MARKS[name])))
+    each = each.select("file_path", "language", "at", trim(F.col("line")).alias("signature"))
     found = each.select("file_path", declared(F.col("signature"), F.col("language")).alias("name"), (F.col("at") + 1).alias("line_no"), "signature").filter("name is not null")
     best = found.groupBy("file_path", "name").agg(F.min(F.struct("line_no", "signature")).alias("r"))
     return best.select("file_path", "name", "r.line_no", "r.signature")
@@ -52,6 +65,7 @@ def line_symbols(files: DataFrame) -> DataFrame:
 def function_nodes(files: DataFrame, repository: str) -> DataFrame:
     """Graph nodes of the functions that lines declare."""
     each = files.select("file_path", F.posexplode(lines(F.col("content"))).alias("at", "line"))
+    each = each.filter(_any(F.col("line"), ["function ", "def ", "fn "]))
     named = each.withColumn("name", function_name(F.col("line"))).filter("name is not null")
     line_no = F.col("at") + 1
     return named.select(F.concat(F.lit(f"repo://{repository}/"), "file_path", F.lit("#"), "name").alias("id"), F.col("name").alias("symbol_name"), F.lit("Function").alias("kind"), language_of(F.col("file_path")).alias("language"), "file_path", line_no.alias("start_line"), line_no.alias("end_line"), F.octet_length("line").alias("end_col"))
