@@ -6,6 +6,7 @@ All are column expressions.  ``trim`` below strips Unicode-blind white space
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import Column
@@ -126,12 +127,21 @@ def idempotency_key(repository: Column, branch: Column, sha: Column) -> Column:
     return F.sha2(F.concat_ws(":", repository, branch, sha), 256)
 
 
-def signature(payload: Column, secret: Column) -> Column:
-    """Keyed hash: the key is the hash of the secret."""
-    return F.sha2(F.concat(F.sha2(secret, 256), payload), 256)
+def hmac_pads(secret: str) -> tuple[bytes, bytes]:
+    """What HMAC-SHA-256 puts before a message and before its hash; the key is
+    the SHA-256 of the secret."""
+    key = hashlib.sha256(secret.encode()).digest().ljust(64, b"\0")
+    return bytes(b ^ 0x36 for b in key), bytes(b ^ 0x5C for b in key)
 
 
-def signature_matches(header: Column, payload: Column, secret: Column) -> Column:
+def signature(payload: Column, secret: str) -> Column:
+    """HMAC-SHA-256 of a payload, in hex."""
+    inner, outer = hmac_pads(secret)
+    once = F.sha2(F.concat(F.lit(inner), F.encode(payload, "UTF-8")), 256)
+    return F.sha2(F.concat(F.lit(outer), F.unhex(once)), 256)
+
+
+def signature_matches(header: Column, payload: Column, secret: str) -> Column:
     """Equal to the header, or what the header ends with."""
     s = signature(payload, secret)
     return (trim(header) == s) | F.endswith(trim(header), s)
@@ -166,6 +176,31 @@ def github_parts(url: Column) -> Column:
     )
 
 
+def argument(arguments: Column, name: str, default: str | None = "") -> Column:
+    """A text argument of a tool (variant); the default if it is no text."""
+    value = F.try_variant_get(arguments, f"$.{name}", "variant")
+    return F.when(F.schema_of_variant(value) == "STRING", value.cast("string")).otherwise(F.lit(default))
+
+
+def argument_list(arguments: Column, name: str) -> Column:
+    """The text items of an argument that is an array; none if it isn't one."""
+    items = F.try_variant_get(arguments, f"$.{name}", "array<variant>")
+    texts = F.transform(F.filter(items, lambda x: F.schema_of_variant(x) == "STRING"), lambda x: x.cast("string"))
+    return F.coalesce(texts, F.array().cast("array<string>"))
+
+
+def is_fresh(checked_at: Column, now_s: Column, hours: int = 12) -> Column:
+    """Whether a cached answer of an update check still holds; none never does."""
+    return F.coalesce((now_s >= checked_at) & (now_s - checked_at < hours * 3600), F.lit(False))
+
+
+def gutter(at: Column, line: Column, width: int = 4) -> Column:
+    """A line behind its right-aligned number, as an editor shows it; signs of
+    markup are written out."""
+    safe = F.replace(F.replace(F.replace(line, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    return F.concat(F.lpad(at.cast("string"), width, " "), F.lit(" | "), safe)
+
+
 def progress_bar(ratio: Column, width: int = 24) -> Column:
     n = F.round(ratio * width).cast("int")
     return F.concat(F.repeat(F.lit("█"), n), F.repeat(F.lit("░"), F.greatest(F.lit(width) - n, F.lit(0))))

@@ -134,6 +134,7 @@ def outside_ignored(path: Column, directories: list[str] = IGNORED_DIRECTORIES)
 def file_imports(files: DataFrame) -> DataFrame:
     """Imports of ``files`` (file_path, content), with their lines."""
     each = files.select("file_path", F.posexplode(lines(F.col("content"))).alias("at", "line"))
+    each = each.filter(F.contains("line", F.lit("from ")) | F.contains("line", F.lit("import ")))
     found = each.select(F.col("file_path").alias("source_file"), (F.col("at") + 1).alias("line_no"), imported_module(trim(F.col("line"))).alias("imported_module"))
     return found.filter("imported_module is not null")
 
@@ -170,11 +171,11 @@ def markdown_rows(violations: DataFrame) -> DataFrame:
 
 def markdown(total_files: int, latency_ms: float, rows: list[str]) -> str:
     """A report around the rows of its table."""
-    status = "❌ **Status: Architectural Violations Detected**" if rows else "✅ **Status: Clean & Protected**"
-    facts = f"- **Files Inspected:** `{total_files}` changed file(s)\n- **Evaluation Latency:** `{latency_ms:.2f}ms`\n- **Violations Detected:** `{len(rows)}`"
-    table = ["| Rule Violated | Source File | Illegal Import | Policy Description |", "| :--- | :--- | :--- | :--- |", *rows]
-    note = "> 💡 **Remediation:** Route dependencies through domain service interfaces instead of importing lower tiers directly." if rows else "> All imports satisfy the layer rules."
-    return "\n\n".join(["### Architecture & Layer Boundary Report", status, facts, *(["\n".join(table)] if rows else []), note]) + "\n"
+    verdict = f"{len(rows)} import(s) cross a layer" if rows else "no import crosses a layer"
+    head = f"## Import check: {verdict}\n\n{total_files} file(s) in {latency_ms:.2f} ms.\n"
+    if not rows:
+        return head
+    return "\n".join([head, "| Rule | File | Import | Why not |", "|---|---|---|---|", *rows]) + "\n"
 
 
 def inferred_preset(repo_files: DataFrame) -> DataFrame:
@@ -183,3 +184,16 @@ def inferred_preset(repo_files: DataFrame) -> DataFrame:
     has = lambda *names: F.max(F.col("path").isin(*names).cast("int")) == 1
     name = F.when(has("next.config.js", "next.config.mjs", "next.config.ts"), "nextjs-app").when(has("pyproject.toml", "requirements.txt", "Pipfile"), "fastapi").when(has("Cargo.toml"), "rust").otherwise("clean-architecture")
     return repo_files.groupBy("repo").agg(name.alias("preset"))
+
+
+def boundaries(rules: list[Rule]) -> list[tuple[int, str, str, int, str, str]]:
+    """Rules as rows of ``schemas.RULES``: one for each thing a rule forbids."""
+    return [(k, name, origin, j, to, message) for k, (name, origin, forbidden, message) in enumerate(rules) for j, to in enumerate(forbidden)]
+
+
+def rules_file(name: str | None) -> str:
+    """The YAML text of a preset, as a new workspace gets it."""
+    import yaml
+
+    listed = [{"name": n, "from": o, "cannot_import": f, "message": m} for n, o, f, m in preset(name)]
+    return yaml.safe_dump({"version": "1", "preset": name or "clean-architecture", "boundaries": listed}, sort_keys=False, allow_unicode=True)

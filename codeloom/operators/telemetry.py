@@ -102,6 +102,19 @@ def sync_batch(events: DataFrame, limit: int = 500) -> tuple[DataFrame, DataFram
     return zero_pii(batch), mark_synced(events, batch.select("id"))
 
 
+def sync_report(events: DataFrame, org_id: str, limit: int = 500) -> DataFrame:
+    """What syncing one batch does: events sent, events still waiting."""
+    n = F.sum(F.when(F.col("synced") == 0, 1).otherwise(0)).cast("long")
+    sent = F.least(F.coalesce(n, F.lit(0).cast("long")), F.lit(limit).cast("long"))
+    message = F.when(F.col("total_synced") == 0, "nothing to sync").otherwise(F.concat(F.col("total_synced").cast("string"), F.lit(" events synced")))
+    return events.agg(sent.alias("total_synced"), (F.coalesce(n, F.lit(0).cast("long")) - sent).alias("pending_remaining")).withColumn("org_id", F.lit(org_id)).withColumn("message", message)
+
+
+def status(events: DataFrame, org_id: str | None) -> DataFrame:
+    """Events, events that wait, and the organisation, if any."""
+    return sync_counts(events).withColumn("org_id", F.lit(org_id).cast("string"))
+
+
 def new_slice(slices: DataFrame, client_id: str, now_ms: int) -> DataFrame:
     """A telemetry event for each slice (file_path, target_symbol, tokens)."""
     saved = F.greatest(F.col("original_file_tokens") - F.col("estimated_tokens"), F.lit(0).cast("long"))
@@ -115,21 +128,26 @@ def new_guard_checks(reports: DataFrame, client_id: str, now_ms: int) -> DataFra
     return reports.select(F.uuid().alias("id"), F.lit(now_ms).alias("timestamp"), F.lit(client_id).alias("client_id"), F.lit("guard_check").alias("event_type"), F.lit(None).cast("string").alias("file_path"), F.lit(None).cast("string").alias("symbol_name"), zero.alias("raw_tokens"), zero.alias("sliced_tokens"), zero.alias("tokens_saved"), zero.alias("latency_us"), F.when(n == 0, "passed").otherwise("violation").alias("status"), F.lit(0).alias("synced"), F.to_json(F.struct(n.alias("violations_count"))).alias("extra_json"))
 
 
+#: Newest events of an export, unless it asks for another number or for all.
 EXPORT_LIMIT = 100_000
 CSV_COLUMNS = ["id", "timestamp", "client_id", "event_type", "file_path", "symbol_name", "raw_tokens", "sliced_tokens", "tokens_saved", "latency_us", "status"]
 _PLAIN = {"id", "timestamp", "raw_tokens", "sliced_tokens", "tokens_saved", "latency_us"}
 
 
-def csv_lines(events: DataFrame) -> DataFrame:
-    """CSV lines of the newest events: text in quotes (its quotes doubled),
-    null as empty text."""
+def _exported(events: DataFrame, limit: int | None) -> DataFrame:
+    return events if limit is None else recent(events, limit)
+
+
+def csv_lines(events: DataFrame, limit: int | None = EXPORT_LIMIT) -> DataFrame:
+    """CSV lines of the newest events (all, if there is no limit): text in
+    quotes (its quotes doubled), null as empty text."""
     field = lambda c: F.col(c).cast("string") if c in _PLAIN else F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
-    return recent(events, EXPORT_LIMIT).select("id", F.concat_ws(",", *[field(c) for c in CSV_COLUMNS]).alias("line"))
+    return _exported(events, limit).select("id", F.concat_ws(",", *[field(c) for c in CSV_COLUMNS]).alias("line"))
 
 
-def json_lines(events: DataFrame) -> DataFrame:
+def json_lines(events: DataFrame, limit: int | None = EXPORT_LIMIT) -> DataFrame:
     columns = [*CSV_COLUMNS, "extra_json"]
-    return recent(events, EXPORT_LIMIT).select("id", F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("line"))
+    return _exported(events, limit).select("id", F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("line"))
 
 
 def event_rows(events: DataFrame, limit: int) -> DataFrame:

@@ -29,8 +29,14 @@ def cached_ast(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.CACHED_AST).json(path)
 
 
-def events(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.TELEMETRY).parquet(path)
+def events(spark: SparkSession, path: str, since_ms: int | None = None) -> DataFrame:
+    """The events of a store; from a moment on, only those days are read."""
+    from ..operators.telemetry import utc_date
+
+    rows = spark.read.schema(f"{schemas.TELEMETRY}, day STRING").parquet(path)
+    if since_ms is not None:
+        rows = rows.filter(F.col("day") >= utc_date(F.lit(since_ms))).filter(F.col("timestamp") >= since_ms)
+    return rows.drop("day")
 
 
 def append_events(rows: DataFrame, path: str) -> None:
@@ -52,3 +58,15 @@ def changed_paths(*sources: DataFrame) -> DataFrame:
         if not s.isEmpty():
             return s
     return sources[-1]
+
+
+#: Small code bases to try things on: name -> (path, content).
+SAMPLES = {
+    "shop": [("src/cart.ts", "export interface Item { id: string; price: number }\nexport function total(items: Item[]): number {\n  return items.length;\n}\n"), ("src/db/client.ts", "export class Client {\n  query(sql: string): void {\n  }\n}\n")],
+    "ledger": [("app/ledger.py", "class Entry:\n    pass\n\n\ndef post(entry: Entry) -> bool:\n    return True\n"), ("app/report.py", "from app.ledger import post\n")],
+}
+
+
+def sample(spark: SparkSession, name: str) -> DataFrame:
+    """(file_path, content) of a sample; no rows for an unknown name."""
+    return spark.createDataFrame(SAMPLES.get(name, []), "file_path string, content string")

@@ -8,9 +8,11 @@ can be in any store that Spark reaches.
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 class VersionedTable:
@@ -66,3 +68,48 @@ class VersionedTable:
             if k != winner:
                 self.rollback(name)
         return version
+
+    def fork(self, count: int, change) -> list[str]:
+        """Branches 1 to ``count``: ``change(rows, k)`` of the table's rows."""
+        return [self.stage(change(self.read(), k)) for k in range(1, count + 1)]
+
+    def copied_into(self, name: str, key: str, value: str) -> str:
+        """A branch with the table's rows of one key put beside the branch's
+        own, if the branch has none with it; the branch's place."""
+        own = self.staged(name)
+        rows = self.read().filter(F.col(key) == value)
+        if rows.isEmpty() or not own.filter(F.col(key) == value).isEmpty():
+            return name
+        merged = self.stage(own.unionByName(rows))
+        self.rollback(name)
+        return merged
+
+    def verified(self, name: str, check: str) -> dict:
+        """How many rows of a branch fail a condition (null fails too), and
+        whether that is none.  An unknown branch is an error."""
+        if not re.fullmatch(r"[0-9a-f]{32}", name.rpartition("/")[2]):
+            raise ValueError(f"no branch id: {name}")
+        if not self._fs.exists(self._path(name)):
+            raise FileNotFoundError(f"no branch {name}")
+        failed = self.staged(name).filter(~F.coalesce(F.expr(check), F.lit(False))).count()
+        return {"success": failed == 0, "failed_rows": failed}
+
+    def run(self, rows: DataFrame, check: str, commit_on_success: bool = True) -> dict:
+        """Stage rows, verify them, and commit or roll back."""
+        name = self.stage(rows)
+        found = self.verified(name, check)
+        if found["success"] and commit_on_success:
+            self.commit(name)
+            return {**found, "rolled_back": False}
+        self.rollback(name)
+        return {**found, "rolled_back": True}
+
+    def purge(self) -> int:
+        """Drop all branches that were left behind; how many."""
+        root = self._path(f"{self.path}/_staging")
+        if not self._fs.exists(root):
+            return 0
+        left = [s.getPath() for s in self._fs.listStatus(root)]
+        for p in left:
+            self._fs.delete(p, True)
+        return len(left)
