@@ -24,6 +24,12 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
+def hmac(secret: str, payload: str) -> str:
+    """SQL of the keyed hash of a payload."""
+    inner, outer = (x.hex() for x in X.hmac_pads(secret))
+    return f"sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || encode({payload}))))"
+
+
 def query(name: str, text: str | None = None):
     def add(fn: Query) -> Query:
         QUERIES[name] = fn
@@ -208,12 +214,12 @@ def _(s, d):
 
 @query("webhook_verify", """select o_orderkey, header = sig or ends_with(header, sig) is_valid from (
   select o_orderkey, sig, case o_orderkey % 3 when 0 then sig when 1 then 'sha256=' || sig else 'sha256=' || upper(sig) end header
-  from (select o_orderkey, sha256(sha256('secret') || o_orderpriority || o_orderkey) sig from orders))""")
+  from (select o_orderkey, """ + hmac("secret", "o_orderpriority || o_orderkey") + """ sig from orders))""")
 def _(s, d):
     o = V.read(s, d, "orders").withColumn("payload", F.concat("o_orderpriority", F.col("o_orderkey").cast("string")))
-    sig = X.signature(F.col("payload"), F.lit("secret"))
+    sig = X.signature(F.col("payload"), "secret")
     header = F.when(F.col("o_orderkey") % 3 == 0, sig).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("sha256="), sig)).otherwise(F.concat(F.lit("sha256="), F.upper(sig)))
-    return o.select("o_orderkey", X.signature_matches(header, F.col("payload"), F.lit("secret")).alias("is_valid"))
+    return o.select("o_orderkey", X.signature_matches(header, F.col("payload"), "secret").alias("is_valid"))
 
 
 @query("org_slugs", "select c_custkey, 'org_' || replace(lower(c_mktsegment || ' ' || c_name), ' ', '_') slug from customer")
@@ -447,11 +453,42 @@ def _(s, d):
     return search.named_in(V.read(s, d, "benchmark").select("item_id", F.col("text").alias("question")), ["zebra", "erBle", "Tion"]).select("item_id", "symbol")
 
 
-@query("ast_slice")
-def _(s, d):
-    files = _code(s, d).withColumn("content", F.concat(F.lit("interface Shape { a: number }\nclass Other:\n  pass\n"), "content"))
-    targets = V.source_files(s, d).filter("doc_id % 3 = 0").select("file_path", F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("symbol"))
-    return slicer.slices(files, targets)
+# Of a file in each language: what is before its text, the line mark of a
+# comment, and the lines (from, to) of the function and of the contract.
+_HEADS = {
+    "ts": ("interface Shape {\\n  a: string\\n}\\ninterface Idle { b: number }\\nexport function f@(x: Shape) {\\n  return '{ Idle'; // Idle }\\n}\\n", "// ", (5, 7), (1, 3)),
+    "py": ("class Shape:\\n    a = 1\\n\\n\\nclass Idle:\\n    pass\\n\\n\\ndef f@(x: Shape):\\n    # Idle\\n    return 'Idle'\\n\\n\\n", "# ", (9, 11), (1, 2)),
+    "rs": ("pub struct Shape {\\n    a: u32,\\n}\\nstruct Idle;\\npub fn f@(x: Shape) -> u32 {\\n    x.Idle + 1 // Idle }\\n}\\n", "// ", (5, 7), (1, 3)),
+    "go": ("type Shape struct {\\n\\ta int\\n}\\ntype Idle struct {\\n}\\nfunc f@(x Shape) string {\\n\\treturn x.Idle + \"{ Idle\"\\n}\\n", "// ", (6, 8), (1, 3)),
+}
+
+
+def _sliced_sql() -> str:
+    """Function and contract of every file, or the lines around ``the`` in the
+    third of the files that is asked for that word."""
+    heads = ", ".join("('{}', '{}', '{}', {}, {}, {}, {})".format(e, h.replace("'", "''"), mark, *body, *contract) for e, (h, mark, body, contract) in _HEADS.items())
+    return rf"""+h(e, head, mark, f1, f2, c1, c2) as (values {heads}),
+t as (select file_path, doc_id, f1, f2, c1, c2, replace(replace(replace(head, '\n', chr(10)), '\t', chr(9)), '@', cast(doc_id as varchar)) || mark || replace(replace(replace(content, chr(13), ' '), chr(10), chr(10) || mark), chr(11), ' ') as content
+  from source_files join h on e = regexp_extract(file_path, '\.([^./]*)$', 1)),
+l as (select *, case when ls[len(ls)] = '' then ls[1:len(ls) - 1] else ls end ls2 from (select *, string_split(content, chr(10)) ls from t)),
+r as (
+  select file_path, 'f' || doc_id as target_symbol, f1 first_line, ls2[f1:f2] body, array_to_string(ls2[c1:c2], chr(10)) contract, content, false syntax_degraded from l where doc_id % 3 <> 1
+  union all select file_path, 'the', greatest(p - 2, 1), ls2[greatest(p - 2, 1):p + 24], null, content, true from (select *, list_position(list_transform(ls2, lambda x: contains(x, 'the')), true) p from l where doc_id % 3 = 1) where p > 0
+), k as (select *, cast(ceil(strlen(coalesce(contract || chr(10), '') || array_to_string(body, chr(10)) || chr(10)) / 3.8::double) as bigint) s, cast(ceil(strlen(content) / 3.8::double) as bigint) o from r)
+select file_path, target_symbol, cast(first_line as integer) first_line, array_to_string(body, chr(10)) body, coalesce(contract, '') contracts, s estimated_tokens, o original_file_tokens,
+  case when o = 0 or s >= o then 0::float else 1::float - s::float / o::float end compression_ratio, syntax_degraded from k"""
+
+
+@query("ast_slice", sql("source_files", _sliced_sql()))
+def _(s, d):
+    """A slice of every file: two thirds by a function, the others by a word."""
+    f = V.source_files(s, d).withColumn("ext", X.extension(F.col("file_path")))
+    of = lambda k: F.create_map(*[F.lit(x) for e, h in _HEADS.items() for x in (e, h[k].replace("\\n", "\n").replace("\\t", "\t"))])[F.col("ext")]
+    text = F.replace(F.replace(F.replace("content", F.lit("\r"), F.lit(" ")), F.lit("\n"), F.concat(F.lit("\n"), of(1))), F.lit("\v"), F.lit(" "))
+    files = f.select("file_path", "doc_id", F.concat(F.replace(of(0), F.lit("@"), F.col("doc_id").cast("string")), of(1), text).alias("content"))
+    targets = files.select("file_path", F.when(F.col("doc_id") % 3 != 1, F.concat(F.lit("f"), F.col("doc_id").cast("string"))).otherwise("the").alias("symbol"))
+    made = slicer.slices(files.select("file_path", "content"), targets)
+    return made.select("file_path", "target_symbol", F.get("sparse_code_lines", F.lit(0))["line_no"].alias("first_line"), F.array_join("sparse_code_lines.line", "\n").alias("body"), F.array_join("type_contracts", "\n").alias("contracts"), "estimated_tokens", "original_file_tokens", "compression_ratio", "syntax_degraded")
 
 
 # ---------------------------------------------------------------- graph
@@ -565,7 +602,7 @@ def _(s, d):
 
 
 @query("proof_sign", f"""with {_RUNS}, p as (select *, case when violations = 0 and resilience >= 0.95 then 'VERIFIED_GREEN' else 'QUARANTINED' end status from runs),
-g as (select *, sha256(sha256('key') || concat_ws(':', commit_sha, "timestamp", status, violations, printf('%.3f', ratio), printf('%.3f', resilience))) signature from p)
+g as (select *, {hmac("key", "concat_ws(':', commit_sha, \"timestamp\", status, violations, printf('%.3f', ratio), printf('%.3f', resilience))")} signature from p)
 select commit_sha, status, signature, 'proof_' || signature[1:16] proof_id, true is_valid from g""")
 def _(s, d):
     return proof.verified(proof.signed(_runs(s, d), "key"), "key").select("commit_sha", "status", "signature", "proof_id", "is_valid")
