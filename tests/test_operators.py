@@ -1,15 +1,20 @@
 """Operators on small tables with known outcomes."""
 
+import json
+import os
+
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from codeloom import api, schemas
+from codeloom import api, config, schemas
 from codeloom.functions import text as X
+from codeloom.functions.bpe import count_tokens_bpe
 from codeloom.operators import graph, guard, index, outbox, proof, search, slicer, symbols, telemetry
 from codeloom.sources import scans
 from codeloom.streaming import outbox as outbox_stream
+from codeloom.streaming.channel import Channel, Lagged
 from codeloom.streaming.reindex import Indexer
 from codeloom.streaming.tables import VersionedTable
 
@@ -411,3 +416,140 @@ def test_tools(spark, events):
     assert size.first()[0] == 2 and {r.agent_id: r.files for r in held.collect()} == {"x": ["g"], "y": []}
     with pytest.raises(KeyError):
         tools.call("nope")
+
+
+# ---------------------------------------------------------------- tools, files, channels, branches
+
+
+def test_requests_are_answered(spark, events):
+    kept = []
+    files = spark.createDataFrame([("src/a.ts", TS)], "file_path string, content string")
+    tools = api.Tools(spark, files, events, record=lambda rows: kept.extend(rows.collect()))
+    ask = lambda **request: json.loads(tools.answer(json.dumps(request)))
+    assert tools.answer("  ") is None and tools.answer('{"method":"notifications/initialized"}') is None
+    assert json.loads(tools.answer("{"))["error"]["code"] == -32700 == json.loads(tools.answer('{"id":1}'))["error"]["code"]
+    assert ask(id=3, method="nope")["error"] == {"code": -32601, "message": "Method not found: nope"}
+    assert ask(id=1, method="initialize")["result"]["protocolVersion"] == "2024-11-05" and ask(id=1, method="ping")["result"] == {}
+    assert len(ask(id=1, method="tools/list")["result"]["tools"]) == 7
+    call = lambda name, **a: ask(id=9, method="tools/call", params={"name": name, "arguments": a})["result"]
+    text = lambda result: json.loads(result["content"][0]["text"])
+    assert text(call("get_context_slice", file_path="src/a.ts", symbol_name="charge"))["token_reduction_pct"].endswith("%")
+    assert call("get_context_slice", file_path=4)["isError"] and call("zzz")["isError"]
+    assert text(call("verify_architecture", source_file="src/ui/a.ts", proposed_imports=["src/db/x", 4, None]))["violations_count"] == 1
+    assert [(r.event_type, r.client_id, r.status) for r in kept] == [("slice", "mcp", "success"), ("guard_check", "mcp", "violation")]
+    assert text(call("a2a_handshake", files_to_lock=["a", 1])) == {"status": "registered", "agent_id": "unknown_agent", "role": "worker", "locked_files": ["a"], "swarm_peers_count": 1}
+    assert text(call("a2a_handshake", agent_id="b", role=3))["swarm_peers_count"] == 2
+    assert text(call("a2a_transfer_context", to_agent="b", file_path="src/a.ts", symbol_name="charge"))["transferred_to"] == "b"
+    assert text(call("get_lifetime_stats"))["lifetime_summary"][0]["total_events"] == 4
+
+
+def test_branches_are_verified(spark, tmp_path):
+    t = VersionedTable(spark, str(tmp_path / "t"), "x int, f string")
+    t.write(spark.createDataFrame([(1, "a"), (2, "b")], t.schema), 0)
+    tools = api.Tools(spark, None, None, [], t)
+    bad, good = t.stage(spark.createDataFrame([(None, "a")], t.schema)), t.stage(spark.createDataFrame([(5, "a")], t.schema))
+    assert tools.call("a2a_verify_peer_patch", reviewer_agent="r", branch=good, check="x > 2") == {"reviewer_agent": "r", "tx_id": good, "verified": True, "failed_rows": 0}
+    with pytest.raises(ValueError):
+        t.verified("not a branch", "true")
+    with pytest.raises(FileNotFoundError):
+        t.verified(good[:-32] + "0" * 32, "true")
+    assert tools.call("execute_sandboxed", branch=bad, check="x > 2") == {"success": False, "failed_rows": 1, "rolled_back": True}
+    copied = t.copied_into(good, "f", "b")
+    assert sorted(r.f for r in t.staged(copied).collect()) == ["a", "b"] and t.copied_into(copied, "f", "zz") == copied
+    assert tools.call("execute_sandboxed", branch=copied, check="x > 1")["rolled_back"] is False
+    assert sorted(r.x for r in t.read().collect()) == [2, 5]
+    t.fork(3, lambda rows, k: rows)
+    assert (t.purge(), t.purge()) == (3, 0)
+    assert t.run(t.read(), "x > 100") == {"success": False, "failed_rows": 2, "rolled_back": True}
+
+
+def test_small_files(tmp_path):
+    path = str(tmp_path / "c" / "credentials.json")
+    assert config.load_credentials(path) is None and not config.clear_credentials(path)
+    config.save_credentials(path, "org", "token")
+    assert config.load_credentials(path)["org_id"] == "org" and os.stat(path).st_mode & 0o077 == 0
+    assert config.clear_credentials(path) and config.load_credentials(path) is None
+    asked = []
+
+    def ask():
+        asked.append(1)
+        return "2.0"
+
+    cache = str(tmp_path / "update.json")
+    assert [config.newest_version(cache, t, ask) for t in (1000, 1000 + config.UPDATE_TTL - 1, 1000 + config.UPDATE_TTL)] == ["2.0"] * 3 and len(asked) == 2
+    settings = tmp_path / "settings.json"
+    settings.write_text('{"theme": "dark", "mcpServers": {"x": {"command": "y"}}}')
+    assert config.add_server(str(settings), "codeloom", ["python", "-m", "m"]) and not config.add_server(str(settings), "codeloom", ["python", "-m", "m"])
+    found = json.loads(settings.read_text())
+    assert found["theme"] == "dark" and set(found["mcpServers"]) == {"x", "codeloom"}
+    rules = str(tmp_path / "w" / "rules.yaml")
+    assert config.write_rules(rules, "rust") and not config.write_rules(rules, "python")
+    with open(rules, encoding="utf-8") as f:
+        assert guard.load_rules(f.read()) == guard.preset("rust")
+
+
+def test_channel_drops_what_is_not_read():
+    c = Channel(3)
+    c.send("before")
+    quick, slow = c.reader(), c.reader()
+    for k in range(3):
+        c.send(k)
+    assert quick() == [0, 1, 2] and quick() == []
+    c.send(3)
+    assert quick() == [3]
+    with pytest.raises(Lagged):
+        slow()
+
+
+def test_bpe_counts(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["def verify(token): return True", "", None, "é ünï", "<|endoftext|>"]
+    plain = Tokenizer.from_file(path)
+    plain.encode_special_tokens = True
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in rows.select(count_tokens_bpe(F.col("t"), path)).collect()] == [len(plain.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    assert [r[0] for r in rows.select(count_tokens_bpe(F.col("t"), None)).collect()] == [r[0] for r in rows.select(X.count_tokens(F.col("t"))).collect()]
+
+
+def test_signatures_are_hmac(spark):
+    import hashlib
+    import hmac
+
+    key = hashlib.sha256(b"k").digest()
+    assert one(spark, "é payload", lambda c: X.signature(c, "k")) == hmac.new(key, "é payload".encode(), "sha256").hexdigest()
+
+
+MIXED = """// interface Ghost { no: string }
+interface Opts { a: string }
+interface Idle { b: string }
+type Fn = (a: number) => void
+export class Gate {
+  run(o: Opts = {a: "}"}): { ok: boolean } {
+    const s = `${o.a} Idle {`; /* Idle */
+    return { ok: true };
+  }
+  last(): void { }
+}
+"""
+
+
+def test_strings_and_comments_hold_no_code():
+    nodes = {(n[1], n[2]): n for n in slicer.parsed(MIXED, "TypeScript")}
+    assert [(n[1], n[2], n[3], n[4]) for n in slicer.parsed(MIXED, "TypeScript") if n[2] in ("run", "Gate", "Fn", "last")] == [("export_statement", "Gate", 5, 11), ("class_declaration", "Gate", 5, 11), ("method_definition", "last", 10, 10), ("method_definition", "run", 6, 9), ("type_alias_declaration", "Fn", 4, 4)]
+    assert "Ghost" not in {k[1] for k in nodes} and "Idle" not in nodes["method_definition", "run"][8] and "Opts" in nodes["method_definition", "run"][8]
+    first, lines, contracts, degraded = slicer.cut(MIXED, "TypeScript", "run", slicer.parsed(MIXED, "TypeScript"))
+    assert (first, len(lines), contracts, degraded) == (6, 4, ["interface Opts { a: string }"], False)
+    rust = "struct A { n: u32 }\nfn f<'a>(x: &'a B) -> u32 {\n    x.A + '{'.len() // A }\n}\nstruct B;\n"
+    assert [(n[2], n[3], n[4]) for n in slicer.parsed(rust, "Rust")] == [("B", 5, 5), ("f", 2, 4), ("A", 1, 1)]
+    assert slicer.cut(rust, "Rust", "f", slicer.parsed(rust, "Rust"))[2] == ["struct B;"]
+    assert len(slicer.parsed("function f() {\n" * 5000, "TypeScript")) == 5000
+
+
+def test_stored_nodes(spark):
+    nodes = spark.createDataFrame([("1", "f", "a.ts", 3), ("2", 'q"é', "b.ts", 4)], "id string, symbol_name string, file_path string, start_line int")
+    stored = index.payloads(nodes)
+    broken = stored.unionByName(stored.limit(1).withColumn("payload", F.lit("{"))).unionByName(stored.limit(1).withColumn("payload", F.lit(None).cast("string")))
+    assert sorted((r.id, r.symbol_name, r.start_line) for r in index.from_payloads(broken).collect()) == [("1", "f", 3), ("2", 'q"é', 4)]
