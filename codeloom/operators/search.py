@@ -171,8 +171,9 @@ def filtered(symbols: DataFrame, text: str, limit: int = 30) -> DataFrame:
     return kept.orderBy("id").limit(limit)
 
 
-def spiral(hits: DataFrame, order: list) -> DataFrame:
-    """Places on a spiral by rank."""
+def spiral(hits: DataFrame, order: list, limit: int = 1000) -> DataFrame:
+    """Places on a spiral by rank, of so many hits at most as a picture takes."""
+    hits = hits.orderBy(*order).limit(limit)
     i = F.row_number().over(Window.partitionBy().orderBy(*order)) - 1
     angle, radius = F.pmod(i * 0.4, F.lit(2 * math.pi)), 120 + i * 4.0
     return hits.withColumn("place", i).withColumn("x", 400 + F.cos(angle) * radius).withColumn("y", 260 + F.sin(angle) * radius)

@@ -56,9 +56,12 @@ def summary(events: DataFrame, window: TimeWindow = TimeWindow.LIFETIME, now_ms:
 def client_breakdown(events: DataFrame) -> DataFrame:
     """Events and saved tokens of each client with its share of all saved."""
     by = events.groupBy("client_id").agg(F.count(F.lit(1)).alias("events_count"), _total("tokens_saved").alias("tokens_saved"))
-    total = F.sum("tokens_saved").over(Window.partitionBy())
+    # The sum of all, one row, goes to the clients wherever they are.
+    all_of_them = by.agg(F.sum("tokens_saved").alias("total")).withColumn("one", F.lit(1))
+    total = F.col("total")
     share = F.when(total > 0, round_half_away(F.try_divide(F.col("tokens_saved").cast("double"), total.cast("double")) * 100.0, 1)).otherwise(0.0)
-    return by.withColumn("percentage", share).orderBy(F.desc("tokens_saved"), "client_id")
+    both = by.withColumn("one", F.lit(1)).join(F.broadcast(all_of_them), "one")
+    return both.select("client_id", "events_count", "tokens_saved", share.alias("percentage")).orderBy(F.desc("tokens_saved"), "client_id")
 
 
 def utc_date(ms: Column) -> Column:
