@@ -224,3 +224,43 @@ def test_links_do_not_depend_on_the_corpus_size(spark):
     for more in ([], strangers):
         kept = keep_one_of_each(spark.createDataFrame([*rows, *more], DOCS).repartition(4)).collect()
         assert sorted(r.doc_id for r in kept) == want + [r[0] for r in more]
+
+
+def test_no_pair_is_lost_before_it_is_verified():
+    """Candidates without Spark, all labels different: every true pair is there,
+    in groups around a template, among fragments and in short texts."""
+    import numpy as np
+    import pyarrow as pa
+    from codeloom.llm import similar
+
+    rng = random.Random(5)
+    base, texts = words(rng, 200, 5000), []
+    for k in range(250):
+        text = changed(rng, base, rng.randrange(9), f"x{k}")
+        texts.append(" ".join(text[: rng.randrange(120, 200)] if rng.random() < 0.3 else text))
+    for k in range(200):
+        text = words(rng, rng.randrange(3, 300), 5000)
+        texts += [" ".join(text), " ".join(changed(rng, text, rng.randrange(min(5, len(text))), f"y{k}"))]
+    texts = list(dict.fromkeys(texts))
+    h, first = similar.shingle_sets(pa.array(texts), 5)
+    sets = [set(h[a:b].tolist()) for a, b in zip(first[:-1], first[1:])]
+    true = set()
+    for i, a in enumerate(sets):
+        for j in range(i + 1, len(sets)):
+            both = len(a & sets[j])
+            if both >= 0.8 * (len(a) + len(sets[j]) - both) - 1e-9:
+                true.add((i, j))
+    shingle, count = np.unique(h, return_counts=True)
+    frequent = shingle[count > 5][np.argsort(count[count > 5], kind="stable")]
+    named = np.zeros(len(texts), similar._LABEL)
+    named["row"] = named["label"] = np.arange(len(texts))
+    part, entries = similar._entries(pa.table({"text": texts}), [named.tobytes()], "text", 5, 0.8, frequent, 7)
+    order = np.argsort(part, kind="stable")
+    bodies = [similar._to_planes(entries[order][part[order] == p]) for p in range(7)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7), pa.int32()), pa.array([0] * 7, pa.int64()), pa.array(bodies, pa.binary())], names=["part", "block", "body"])
+    found = set()
+    for rest in (False, True):
+        for b in similar._meet([batch], 0.8, rest):
+            found |= {(x, y) for x, y in zip(b["a"].to_pylist(), b["b"].to_pylist()) if x != y}
+    assert len(true) > 2000 and true <= found
+    assert len(found) < 2 * len(true) < len(texts) ** 2 / 20
