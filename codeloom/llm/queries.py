@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chat import format_preferences, swapped_endings
+from .chat import format_pairs, swapped_endings
 from ..session import scratch_folder
 from .common import read_table
 from .decontaminate import find_leaks
@@ -36,7 +36,7 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation against itself with its neighbour's ending."""
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    pairs = format_preferences(turns, swapped_endings(turns), key="conv_id").withColumnRenamed("pair_id", "conv_id")
+    pairs = format_pairs(swapped_endings(turns)).withColumnRenamed("pair_id", "conv_id")
     shown = [F.expr(f"array_join(transform({c}_spans, s -> concat(s.start, '+', s.length)), ',')").alias(f"{c}_spans") for c in ("chosen", "rejected")]
     return pairs.select("conv_id", "n_prompt_turns", "prompt", "chosen", "rejected", *shown)
 
@@ -145,7 +145,7 @@ from d left join k on k.doc_id = d.doc_id left join g on g.doc_id = d.doc_id
 """,
     "op2_preferences": r"""
 with t as (
-  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null
+  select conv_id, turn, replace(coalesce(role, ''), '<|im_', '<|im _') as role, replace(coalesce(text, ''), '<|im_', '<|im _') as text from conversations where conv_id is not null
 ), last as (
   select conv_id, max(struct_pack(turn := turn, text := text)) l from t where role = 'assistant' group by conv_id
 ), rej as (
