@@ -28,6 +28,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .common import _pieces, quoted, text_buffers, without
 
 FEATURES = 1 << 15
+#: Languages that a model takes; the driver holds a row of numbers for each.
+MOST_LANGUAGES = 1000
 STEP_BYTES = 1 << 20
 #: Trigrams that a margin counts for at most, and the gap of two losses below
 #: which a text is ambiguous.
@@ -94,9 +96,12 @@ def codewords(k: int) -> np.ndarray:
 
 
 def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Count trigrams of all rows with a language, and weigh them."""
+    """Count trigrams of all rows with a language, and weigh them.  More than
+    ``MOST_LANGUAGES`` values are an error, told before anything is gathered."""
     labelled = rows.select(quoted(text_col).alias("text"), quoted(lang_col).alias("lang")).filter("lang is not null and text is not null")
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("h", T.IntegerType()), T.StructField("n", T.LongType())])
+    if rows.select(quoted(lang_col).alias("lang")).filter("lang is not null").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     counts = labelled.mapInArrow(partial(_count, text_col="text", lang_col="lang"), schema).groupBy("lang", "h").agg(F.sum("n").alias("n")).toArrow()
     names = counts["lang"].to_pylist()
     langs = sorted(set(names))

@@ -2,8 +2,8 @@
 
 The words of a batch of whole texts get one suffix array, by prefix doubling
 over the suffixes that are still tied; texts never share a prefix, as a word
-counts with its text.  The ranks of each doubling give the longest common
-prefixes of neighbours.  The larger of a suffix's two neighbour values is the
+counts with its text.  The ranks of each doubling (kept for the tied suffixes
+only) give the longest common prefixes of neighbours.  The larger of a suffix's two neighbour values is the
 value of its deepest LCP interval: the longest repeated substring that starts
 there.  The spans of repeats of ``min_repeat`` words or more are united; the
 share of words they cover and the longest of them are limited.
@@ -57,7 +57,7 @@ def longest_repeats(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
     ties = active  # all suffixes that shared a first word with another
     levels, step = [], 1
     while len(active):
-        levels.append((step, rank.copy()))
+        levels.append((step, active, rank[active].astype(np.int32 if n < 1 << 31 else np.int64)))
         after = np.where(active + step < end[active], rank[np.minimum(active + step, n)], -1)
         sort = np.lexsort((after, rank[active]))
         active, after = active[sort], after[sort]
@@ -78,9 +78,10 @@ def longest_repeats(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
     suffix = ties[np.argsort(rank[ties])]
     x, y = suffix[:-1], suffix[1:]
     lcp = np.zeros(len(x), np.int64)
-    for step, ranks in reversed(levels):
+    for step, which, old in reversed(levels):
+        rank[which] = old  # as it was then; the others were final
         a, b = np.minimum(x + lcp, n), np.minimum(y + lcp, n)
-        lcp += np.where(ranks[a] == ranks[b], step, 0)
+        lcp += np.where(rank[a] == rank[b], step, 0)
     best[suffix[:-1]] = lcp
     best[suffix[1:]] = np.maximum(best[suffix[1:]], lcp)
     return best
