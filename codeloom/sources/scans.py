@@ -11,7 +11,7 @@ from ..operators.guard import outside_ignored, supported
 
 def workspace(spark: SparkSession, root: str) -> DataFrame:
     """(file_path, content) of the supported files below ``root``."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.{ts,tsx,js,jsx,py,rs,go}").text(root)
+    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.{ts,tsx,js,jsx,py,rs,go}")
     path = F.col("_metadata.file_path")
     return files.select(path.alias("file_path"), F.col("value").alias("content")).filter(supported(F.col("file_path")) & outside_ignored(F.col("file_path")))
 

@@ -2,6 +2,7 @@
 empty tables' views too."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from codeloom.plans.queries import QUERIES, SQL
@@ -10,6 +11,8 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def plain(v):
+    if v is pd.NA:
+        return None
     if isinstance(v, float):
         return None if v != v else round(v, 9)
     if hasattr(v, "tolist"):
