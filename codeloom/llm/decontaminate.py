@@ -23,13 +23,12 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import _pieces, quoted, window_hash, without, words_of
+from .common import _pieces, mix64, quoted, window_hash, without, words_of
 
 STEP_BYTES = 2 << 20
 #: Bytes of benchmark text in a block that is sent to all tasks.
@@ -37,6 +36,9 @@ BLOCK_BYTES = 4 << 20
 #: Words of windows that are aligned at once.
 CELLS = 1 << 17
 _NO_WORD = re.compile(r"[\W_]+")
+_ASCII = np.array([chr(b).isalnum() and b < 128 for b in range(256)])
+_FOLD = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+_CODES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 @dataclass(frozen=True)
@@ -51,17 +53,41 @@ class Match:
     gap: int = -1
 
 
-def _plain(word: bytes) -> int:
-    """Hash of a word's letters and digits in lower case; 0 if it has none."""
-    kept = word.lower() if word.isalnum() else _NO_WORD.sub("", word.decode("utf-8").lower()).encode("utf-8")
-    return xxhash.xxh64_intdigest(kept, 5) | 1 if kept else 0
+def _hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hash of each run of bytes between two offsets: a sum of the bytes' codes
+    times a random factor for each place, mixed; 0 for an empty one."""
+    size = np.diff(at)
+    if not len(data):
+        return np.zeros(len(size), np.uint64)
+    place = np.arange(1, len(data) + 1) - np.repeat(at[:-1], size)
+    most = int(size.max())
+    factor = mix64(np.arange(most + 1, dtype=np.uint64) + np.uint64(0x5EED)) | np.uint64(1)
+    some = np.flatnonzero(size)
+    out = np.zeros(len(size), np.uint64)
+    out[some] = mix64(np.add.reduceat(_CODES[data] * factor[place], at[:-1][some])) | np.uint64(1)
+    return out
+
+
+def _joined(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(words), np.uint8), np.r_[0, np.cumsum([len(w) for w in words])].astype(np.int64)
 
 
 def plain_words(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts, and where each text's start."""
+    """Hashes of the words of all texts, and where each text's start.  Words
+    of ASCII letters and other signs are cut down byte by byte; others, once
+    for each distinct one."""
     words = words_of(text)
-    codes, distinct = words.coded()
-    h = np.fromiter((_plain(w) for w in distinct), np.uint64, len(distinct))[codes]
+    kept = _ASCII[words.data]
+    upto = np.r_[0, np.cumsum(kept)]
+    at = np.r_[upto[words.start], upto[-1]] if len(words) else np.zeros(1, np.int64)
+    h = _hashes(_FOLD[words.data[kept]], at)
+    odd = np.r_[0, np.cumsum(words.data >= 128)]
+    other = np.flatnonzero(odd[words.end] > odd[words.start])
+    if len(other):
+        raw = words.data.tobytes()
+        coded = pa.array([raw[i:j] for i, j in zip(words.start[other].tolist(), words.end[other].tolist(), strict=True)], pa.binary()).dictionary_encode()
+        plain = [_NO_WORD.sub("", w.decode("utf-8").lower()).encode("utf-8") for w in coded.dictionary.to_pylist()]
+        h[other] = _hashes(*_joined(plain))[coded.indices.to_numpy()]
     keep = h != 0
     return h[keep], np.r_[0, np.cumsum(keep)][words.first]
 
@@ -92,27 +118,39 @@ class Finder:
         return at[ok], to[ok]
 
 
-def align(items: np.ndarray, windows: np.ndarray, m: Match) -> tuple[np.ndarray, np.ndarray]:
-    """Best local score of each row's item and window (0: padding), and the
-    window's word where it ends."""
+def align(items: np.ndarray, windows: np.ndarray, m: Match) -> np.ndarray:
+    """Best local score of each row's item and window (0: padding).
+
+    Cells hold their score and what gaps from the window's start would cost, so
+    that gaps along the window are a running maximum."""
     n, width = windows.shape
     kind = np.int16 if m.equal * items.shape[1] - m.gap * (width + 1) < 32_000 else np.int32
-    row, best, end = np.zeros((n, width + 1), kind), np.zeros(n, np.int32), np.zeros(n, np.int32)
     ramp = (np.arange(width + 1) * -m.gap).astype(kind)
+    row, best = np.tile(ramp, (n, 1)), np.tile(ramp, (n, 1))
+    new, step = np.empty_like(row), np.empty((n, width), kind)
+    # A word that isn't the item's, and the way to the next place.
+    other, more = kind(m.other - m.gap), kind(m.equal - m.other)
+    for i in range(items.shape[1]):
+        word = items[:, i : i + 1]
+        np.multiply((windows == word) & (word != 0), more, out=step)
+        step += other
+        np.add(row[:, :-1], step, out=new[:, 1:])
+        new[:, 0] = 0
+        np.add(row, kind(m.gap), out=row)
+        np.maximum(new, row, out=new)
+        np.maximum(new, ramp, out=new)
+        np.maximum.accumulate(new, axis=1, out=row)
+        np.maximum(best, row, out=best)
+    return (best - ramp).max(1).astype(np.int64)
+
+
+def equal_words(items: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """How many words of each row's item are in its window, at any place."""
+    found = np.zeros(len(items), np.int64)
     for i in range(items.shape[1]):
         word = items[:, i : i + 1]
-        step = np.where((windows == word) & (word != 0), kind(m.equal), kind(m.other))
-        new = np.zeros_like(row)
-        np.maximum(row[:, :-1] + step, row[:, 1:] + kind(m.gap), out=new[:, 1:])
-        np.maximum(new, 0, out=new)
-        # Gaps along the window: the best earlier score less the way from it.
-        new = np.maximum.accumulate(new + ramp, axis=1) - ramp
-        row = new
-        top = row.argmax(1)
-        value = row[np.arange(n), top]
-        better = value > best
-        best[better], end[better] = value[better], top[better]
-    return best, end
+        found += ((windows == word) & (word != 0)).any(1)
+    return found
 
 
 @dataclass
@@ -140,7 +178,8 @@ class Seeds:
     """A block of the benchmark."""
 
     ids: list[int | None]
-    words: list[np.ndarray]
+    words: Finder  # of all items
+    items: list[np.ndarray]  # the items, as places in these, from 1
     need: np.ndarray  # hits of each item that a leak has at least
     tables: list[Grams]
 
@@ -188,9 +227,11 @@ def _portions(todo: np.ndarray):
 
 
 def _leaks(batches, text_col: str, seeds: Seeds, m: Match, schema: pa.Schema):
-    sizes = np.array([len(w) for w in seeds.words], np.int64)
+    sizes = np.array([len(w) for w in seeds.items], np.int64)
+    kind = np.uint16 if len(seeds.words.known) < 65_535 else np.uint32
     # Words that a passage which leaks has at most beside the item's.
-    gaps = np.maximum(0, (m.equal * sizes - least_score(sizes, m)) // -m.gap)
+    least = least_score(sizes, m)
+    gaps = np.maximum(0, (m.equal * sizes - least) // -m.gap)
     for batch in batches:
         for b in _pieces(batch, 4 * STEP_BYTES):
             h, first = plain_words(b[text_col])
@@ -200,15 +241,22 @@ def _leaks(batches, text_col: str, seeds: Seeds, m: Match, schema: pa.Schema):
             # Alike in length, so that little is padding.
             todo = todo[np.argsort(todo[:, 3] - todo[:, 2], kind="stable")]
             found: dict[tuple[int, int], float] = {}
+            code, (at, to) = np.zeros(len(h) + 1, kind), seeds.words(h)
+            code[at] = to + 1
             for part in _portions(todo):
                 d, t, start, stop = part.T
                 cols = start[:, None] + np.arange(int((stop - start).max()))
                 inside = (cols >= first[d][:, None]) & (cols < np.minimum(first[d + 1], stop)[:, None])
-                windows = np.where(inside, h[np.clip(cols, 0, len(h) - 1)], np.uint64(0))
-                items = np.zeros((len(part), int(sizes[t].max())), np.uint64)
+                windows = code[np.where(inside, cols, len(h))]
+                items = np.zeros((len(part), int(sizes[t].max())), kind)
                 for r, x in enumerate(t):
-                    items[r, : sizes[x]] = seeds.words[x]
-                score, _ = align(items, windows, m)
+                    items[r, : sizes[x]] = seeds.items[x]
+                # No alignment has more equal words than the window has of the item's.
+                able = m.equal * equal_words(items, windows) >= least[t]
+                d, t, items, windows = d[able], t[able], items[able], windows[able]
+                if not len(d):
+                    continue
+                score = align(items, windows, m)
                 for r in np.flatnonzero((score >= m.similarity * m.equal * sizes[t]) | (score >= m.equal * m.words)):
                     key = (int(d[r]), int(t[r]))
                     found[key] = max(found.get(key, 0.0), float(score[r]) / (m.equal * sizes[t[r]]))
@@ -258,4 +306,5 @@ def seeds_of(block: pa.Table, match: Match) -> Seeds | None:
             tables.append(Grams(width, Finder(few), np.r_[begin, len(chosen)], item[chosen], at[chosen] - first[item[chosen]]))
     if not tables:
         return None
-    return Seeds(block["id"].to_pylist(), [h[a:b] for a, b in zip(first[:-1], first[1:], strict=True)], need, tables)
+    known, code = np.unique(h, return_inverse=True)
+    return Seeds(block["id"].to_pylist(), Finder(known), [code[a:b] + 1 for a, b in zip(first[:-1], first[1:], strict=True)], need, tables)

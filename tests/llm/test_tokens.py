@@ -169,3 +169,64 @@ def test_pipeline_stages(spark, sf):
     rows = {r.doc_id: r.text for r in docs.collect()}
     # Clean documents stay; each text is there once at most.
     assert len(kept) >= 0.6 * len(rows) and len({rows[i] for i in kept}) == len(kept)
+
+
+def test_stages_match_their_plain_versions(spark, tmp_path):
+    """Each stage on what the one before kept, against a plain version."""
+    import corpus_pipeline
+    from codeloom.llm import decontaminate
+    from pyspark.sql import types as T
+
+    from .helpers import split, words
+    from .test_pairs_of_texts import changed, plain_groups, plain_substrings
+    from .test_scores import leaks_of_all_pairs, plain_repeats
+
+    rng = random.Random(51)
+    items = [(k, " ".join(words(rng, 25 + k, 3000))) for k in range(6)]
+    shared = words(rng, 55, 3000)
+    texts = [words(rng, rng.randrange(15, 160), 3000) for _ in range(60)]
+    texts += [t[:40] + shared + t[40:] for t in (words(rng, 90, 3000) for _ in range(6))]
+    texts += [t[:9] + items[k % 6][1].split() + t[9:] for k, t in enumerate(words(rng, 60, 3000) for _ in range(8))]
+    texts += [changed(rng, texts[k], rng.randrange(1, 4), f"n{k}") for k in range(25)] + [list(texts[3])] * 3
+    texts += [["again", "and"] * 40, [], words(rng, 30, 3000) * 3]
+    columns = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType())])
+    rows = [(k, " ".join(t), "en", "s", len(" ".join(t))) for k, t in enumerate(texts)] + [(500, None, None, None, None)]
+    rng.shuffle(rows)
+    folder = str(tmp_path)
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    docs = spark.createDataFrame(rows, columns).repartition(3)
+
+    def kept(stage, frame):
+        out = stage(spark, frame, folder)
+        assert out.columns == columns.names
+        found = out.collect()
+        return sorted((r.doc_id, r.text) for r in found), spark.createDataFrame(found, columns).repartition(2)
+
+    def good(text):
+        w = split(text)
+        best = plain_repeats(w)
+        base = {k + j for k, b in enumerate(best) if b >= 8 for j in range(8)}
+        mine = {k + j for k, b in enumerate(best) if b >= 5 for j in range(b)}
+        return len(w) >= 20 and 100 * len(base) <= 30 * len(w) and len(mine) <= 0.4 * len(w) and max(best) <= 100
+
+    got, docs = kept(corpus_pipeline.quality, docs)
+    assert got == sorted((i, t) for i, t, *_ in rows if t and good(t)) and 80 < len(got) < len(rows)
+    before = got
+    got, docs = kept(corpus_pipeline.near_duplicates, docs)
+    assert [i for i, _ in got] == plain_groups(before) and len(got) < len(before)
+    before = [(i, t, None) for i, t in got]
+    got, docs = kept(corpus_pipeline.repeated_passages, docs)
+    plain = [(i, rest) for i, n, gone, rest in plain_substrings(before) if gone < n]
+    assert [(i, b" ".join(split(t))) for i, t in got] == sorted(plain) and any(len(a[1]) != len(b[1]) for a, b in zip(before, got))
+    before = got
+    got, docs = kept(corpus_pipeline.decontamination, docs)
+    bad = {i for i, _ in leaks_of_all_pairs(before, items, decontaminate.Match())}
+    assert got == [r for r in before if r[0] not in bad] and len(bad) >= 6
+    packed = corpus_pipeline.packing(spark, docs, folder).collect()
+    ids = dict(zip([i for i, _ in got], reference_ids([t for _, t in got])))
+    assert sorted((r.doc_id, r.length) for r in packed) == sorted((i, len(x) + 1) for i, x in ids.items())
+    assert {r.doc_id: r.ids_crc32 for r in packed} == {i: zlib.crc32(np.array([*x, 1], "<u4").tobytes()) for i, x in ids.items()}
+    by = defaultdict(list)
+    for r in packed:
+        by[r.sequence_id].append((r.offset, r.length))
+    assert all(sum(n for _, n in s) <= corpus_pipeline.CAPACITY and sorted(s)[0][0] == 0 for s in by.values())
