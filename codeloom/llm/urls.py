@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import dealt_join, fair_share, hot_keys, quoted, without
+from .common import checkpointed, dealt_join, fair_share, hot_keys, quoted, without
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rules up to this many are sent to all tasks, so that points without a rule's
@@ -65,8 +65,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", defaul
     top = F.struct((F.char_length("host") + F.char_length("path")).alias("size"), F.char_length("host").alias("host_size"), F.concat("host", "path").alias("rule"), "verdict")
     clean = clean.select(F.array_join(_labels(F.col("host")), ".").alias("at"), "path", top.alias("top"))
 
-    share = fair_share(pages.count(), pages.sparkSession)
-    urls = pages.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"))
+    # Written once: points, their counts and hot URLs come from it.
+    urls = checkpointed(pages.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n")))
+    share = fair_share(urls.agg(F.sum("n")).first()[0] or 0, pages.sparkSession)
     suffixes = F.expr("transform(sequence(1, size(labels)), n -> array_join(slice(labels, 1, n), '.'))")
     points = urls.withColumn("labels", _labels(F.col("host"))).select("host", "path", F.explode(suffixes).alias("at"))
     if clean.count() <= SENT_RULES:
