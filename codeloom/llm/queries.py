@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from .chat import format_pairs, swapped_endings
 from ..session import scratch_folder
+from .codes import code_vectors, with_label_error
 from .common import read_table
 from .decontaminate import find_leaks
 from .language import fit, predict
+from .lines import dedup_lines
 from .lm_score import labelled_good, score_documents
 from .packing import pack, token_pieces
 from .quality import quality_rules
@@ -113,6 +115,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the lines that three of them have."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = dedup_lines(docs, min_chars=20, min_docs=3)
+    return cut.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embeddings' codes, and the errors of each label."""
+    coded = code_vectors(read_table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4)
+    return with_label_error(coded.rows).select("vec_id", "code", "error", "label_error", F.lit(coded.sha256).alias("codebooks_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""
     return corpus_pipeline.run(spark, sf_dir)
@@ -130,6 +145,8 @@ QUERIES = {
     "op8_lm_score": op8_lm_score,
     "op9_simhash": op9_simhash,
     "op10_language_id": op10_language_id,
+    "op11_line_dedup": op11_line_dedup,
+    "op13_vector_codes": op13_vector_codes,
 }
 SQL: dict[str, str] = {
     "op6_substring_dedup": r"""
@@ -251,5 +268,42 @@ select doc_id, cast(n_words as bigint) n_words, cast(word_chars as bigint) word_
   not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and 10 * covered_words <= 4 * n_words and not too_long as kept,
   cast(covered_words as bigint) covered_words
 from m
+""",
+    "op11_line_dedup": r"""
+with l as (
+  select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) i from documents
+), k as (
+  select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') k from l
+), often as (
+  select k, max(doc_id) last from k where length(k) >= 20 group by k having count(distinct doc_id) >= 3
+), m as (
+  select k.*, often.k is not null and doc_id <> last gone from k left join often on often.k = k.k
+)
+select doc_id, count(*) n_lines, count(*) filter (where gone) n_dropped, sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '')) kept_sha256
+from m group by doc_id
 """,
 }
+
+
+def _code_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """The rounds of op13 one after the other."""
+    steps = [f"""
+with e as materialized (select vec_id, label, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+x as materialized (select vec_id, i, (i - 1) // (len(v) // {parts}) p, v[i] x from (select vec_id, v, unnest(range(1, len(v) + 1)) i from e)),
+c0 as materialized (select dense_rank() over (order by vec_id) - 1 entry, p, i, x c from x where vec_id in (select vec_id from e order by vec_id limit {entries}))"""]
+    for k in range(rounds + 1):
+        steps.append(f"""d{k} as materialized (select vec_id, x.p, entry, sum((x - c) * (x - c)) far from x join c{k} using (i) group by vec_id, x.p, entry),
+a{k} as materialized (select vec_id, p, arg_min(entry, (far, entry)) entry, min(far) far from d{k} group by vec_id, p)""")
+        if k < rounds:
+            steps.append(f"""s{k} as (select a{k}.entry, i, cast(sum(x) as bigint) s, count(*) n from x join a{k} using (vec_id, p) group by a{k}.entry, i),
+c{k + 1} as materialized (select c{k}.entry, p, i, case when n is null then c else (s - ((s % n) + n) % n) // n end c from c{k} left join s{k} using (entry, i))""")
+    return ",\n".join(steps) + f""",
+f as (select vec_id, string_agg(printf('%02x', entry), '' order by p) code, cast(sum(far) as bigint) error from a{rounds} group by vec_id),
+l as (select label, cast(sum(error) as bigint) label_error from e join f using (vec_id) group by label),
+h as (select sha256(string_agg(cast(c as varchar), ',' order by p, entry, i)) codebooks_sha256 from c{rounds})
+select e.vec_id, code, error, label_error, codebooks_sha256 from e join f using (vec_id) join l on l.label is not distinct from e.label cross join h
+"""
+
+
+SQL["op13_vector_codes"] = _code_sql()
