@@ -16,6 +16,7 @@ from .language import fit, predict
 from .lines import dedup_lines
 from .lm_score import labelled_good, score_documents
 from .packing import pack, token_pieces
+from .phrases import best_phrases, find_phrases
 from .quality import quality_rules
 from .simhash import near_duplicates
 from .substrings import dedup_substrings
@@ -122,6 +123,12 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 collocations of each language."""
+    docs = read_table(spark, sf_dir, "documents").select("lang", "text")
+    return best_phrases(find_phrases(docs, least=100, longest=5)).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The embeddings' codes, and the errors of each label."""
     coded = code_vectors(read_table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4)
@@ -146,6 +153,7 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_language_id": op10_language_id,
     "op11_line_dedup": op11_line_dedup,
+    "op12_phrases": op12_phrases,
     "op13_vector_codes": op13_vector_codes,
 }
 SQL: dict[str, str] = {
@@ -281,6 +289,28 @@ with l as (
 )
 select doc_id, count(*) n_lines, count(*) filter (where gone) n_dropped, sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '')) kept_sha256
 from m group by doc_id
+""",
+    "op12_phrases": r"""
+with p as (
+  select coalesce(lang, 'und') lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) piece from documents
+), w as (select lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') ws from p),
+g as (select lang, k, array_to_string(ws[i:i + k - 1], ' ') phrase from (select lang, ws, unnest(range(1, len(ws) + 1)) i from w), unnest([1, 2, 3, 4, 5]) t(k) where i + k - 1 <= len(ws)),
+f as materialized (select lang, k, phrase, count(*) a from g group by lang, k, phrase having count(*) >= 100),
+size as (select lang, count(*) n from g where k = 1 group by lang),
+c as materialized (select lang, k, phrase, a, string_split(phrase, ' ') ws from f where k > 1),
+gone as (
+  select distinct s.lang, s.phrase from c s join (
+    select lang, k, a, array_to_string(ws[i:i + m - 1], ' ') part from (select *, unnest(range(1, k + 1)) i from c), unnest([2, 3, 4]) t(m) where m < k and i + m - 1 <= k
+  ) q on q.lang = s.lang and q.part = s.phrase and 100 * q.a >= 100 * s.a
+),
+cut as (select lang, k, phrase, a, i, array_to_string(ws[1:i], ' ') x, array_to_string(ws[i + 1:k], ' ') y from (select *, unnest(range(1, k)) i from c)),
+scored as (
+  select cut.lang, cut.phrase, cut.a, i, x.a l, y.a r, n, (1000::hugeint * cut.a * n) // (x.a::hugeint * y.a) score
+  from cut join f x on x.lang = cut.lang and x.phrase = cut.x join f y on y.lang = cut.lang and y.phrase = cut.y join size on size.lang = cut.lang
+),
+best as (select * from scored qualify row_number() over (partition by lang, phrase order by score, i) = 1),
+ranked as (select best.*, row_number() over (partition by best.lang order by score desc, a desc, best.phrase) as rank from best left join gone on gone.lang = best.lang and gone.phrase = best.phrase where gone.phrase is null)
+select lang, cast(rank as bigint) as rank, phrase, a, l, r, n, cast(score as bigint) score from ranked where rank <= 2000
 """,
 }
 
