@@ -55,8 +55,10 @@ def _rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 
 def _asked(block: int, part: np.ndarray, keys: np.ndarray) -> list[tuple[int, int, bytes]]:
     """Messages with the keys, which are in the order of parts."""
-    cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, int)
-    return [(int(part[a]), block, to_sorted(keys[a:b])) for a, b in zip(cut, np.r_[cut[1:], len(part)], strict=True)]
+    if not len(part):
+        return []
+    cut = np.r_[np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), len(part)]
+    return [(int(part[a]), block, to_sorted(keys[a:b])) for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
 def _keys(h: np.ndarray, g: np.ndarray, n: np.ndarray, part: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
