@@ -27,11 +27,12 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASK_ARROW, ASK_TYPE, BLOCK_BYTES, PARTS_PER_PARTITION, blocks_of, checkpointed, dealt_join, exchange_tasks, fair_share, from_sorted, hot_keys, mix64, quoted, release, squeezed, text_buffers, to_sorted, unpack, unsqueezed, words_of
+from .common import ASK_ARROW, ASK_TYPE, BLOCK_BYTES, _pieces, checkpointed, dealt_join, fair_share, from_sorted, hot_keys, mix64, quoted, release, shuffle_partitions, squeezed, text_buffers, to_sorted, unsqueezed, words_of
 
 #: Rows beside the messages to parts: a block's state, its counts of words by
 #: language, the words it names, and the frequent pairs of a part.
@@ -44,8 +45,11 @@ _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[65:91] += 32
 _PLAIN[_ENDS] = 0x20
 _ONE = np.uint64(1)
-#: Answering tasks for each one that other exchanges would take: pairs are many.
-MORE_TASKS = 4
+#: Bytes of text for each part of the words and pairs, which are about as large
+#: as the text; parts of small corpora, and parts that one task sums.
+PART_BYTES = 8 << 20
+LEAST_PARTS = 32
+PARTS_OF_A_TASK = 2
 
 
 def _rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -88,26 +92,36 @@ def pieces_of(text: pa.Array | pa.ChunkedArray):
     return words, owner, follows
 
 
-def _first(batches, parts: int):
-    """A block's words: state, counts by language, and messages by word."""
+def _first(batches, parts: int, block_bytes: int):
+    """Blocks of texts: the state, counts by language, and messages by word."""
+    base, number, held, size = TaskContext.get().partitionId() << 32, 0, [], 0
     for batch in batches:
-        for block, payload in zip(batch["block"].to_pylist(), batch["payload"], strict=True):
-            table = unpack(payload.as_buffer())
-            words, owner, follows = pieces_of(table["text"])
-            codes, distinct = words.coded()
-            coded = table["lang"].combine_chunks().dictionary_encode()
-            langs = coded.dictionary.to_pylist()
-            lang = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)[owner]
-            each, of, n = np.unique(lang * max(1, len(distinct)) + codes, return_inverse=True, return_counts=True)
-            lang_of, word_of = each // max(1, len(distinct)), each % max(1, len(distinct))
-            heads = [len(x).to_bytes(4, "little") + x for x in (x.encode() for x in langs)]
-            digests = [xxhash.xxh3_128_digest(heads[a] + distinct[b]) for a, b in zip(lang_of.tolist(), word_of.tolist(), strict=True)]
-            both = np.frombuffer(b"".join(digests), "<u8").reshape(-1, 2)
-            part = ((both[:, 0] >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
-            keys, part, order, codes = _keys(both[:, 0], both[:, 1], n, part, of)
-            state = {"codes": codes, "follows": np.packbits(follows), "langs": langs, "lang": lang_of[order].astype(np.int32), "words": [distinct[w] for w in word_of[order]]}
-            tally = dict(zip(langs, np.bincount(lang, minlength=len(langs)).tolist(), strict=True))
-            yield _rows([(STATE, block, _pack(state)), (TALLY, block, _pack(tally)), *_asked(block, part, keys)])
+        for piece in _pieces(batch, block_bytes):
+            if held and size + piece.nbytes > block_bytes:
+                yield _rows(_words_of_block(base + number, pa.Table.from_batches(held), parts))
+                number, held, size = number + 1, [], 0
+            held.append(piece)
+            size += piece.nbytes
+    if held:
+        yield _rows(_words_of_block(base + number, pa.Table.from_batches(held), parts))
+
+
+def _words_of_block(block: int, table: pa.Table, parts: int) -> list[tuple[int, int, bytes]]:
+    words, owner, follows = pieces_of(table["text"])
+    codes, distinct = words.coded()
+    coded = table["lang"].combine_chunks().dictionary_encode()
+    langs = coded.dictionary.to_pylist()
+    lang = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)[owner]
+    each, of, n = np.unique(lang * max(1, len(distinct)) + codes, return_inverse=True, return_counts=True)
+    lang_of, word_of = each // max(1, len(distinct)), each % max(1, len(distinct))
+    heads = [len(x).to_bytes(4, "little") + x for x in (x.encode() for x in langs)]
+    digests = [xxhash.xxh3_128_digest(heads[a] + distinct[b]) for a, b in zip(lang_of.tolist(), word_of.tolist(), strict=True)]
+    both = np.frombuffer(b"".join(digests), "<u8").reshape(-1, 2)
+    part = ((both[:, 0] >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+    keys, part, order, codes = _keys(both[:, 0], both[:, 1], n, part, of)
+    state = {"codes": codes, "follows": np.packbits(follows), "langs": langs, "lang": lang_of[order].astype(np.int32), "words": [distinct[w] for w in word_of[order]]}
+    tally = dict(zip(langs, np.bincount(lang, minlength=len(langs)).tolist(), strict=True))
+    return [(STATE, block, _pack(state)), (TALLY, block, _pack(tally)), *_asked(block, part, keys)]
 
 
 def _name(batches, least: int):
@@ -192,47 +206,40 @@ def _pairs(batches):
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in pickle.loads(unsqueezed(body.as_buffer()))["rows"]], names=["id", "left", "right", "f"])
 
 
-def _joined(rows: DataFrame, to: DataFrame, key: str) -> DataFrame:
-    """``rows`` with the one row of ``to`` for their key; a frequent key's rows
-    are dealt out."""
-    counts = checkpointed(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")))
-    share = fair_share(counts.agg(F.sum("n")).first()[0] or 0, rows.sparkSession)
-    return dealt_join(rows, to, [key], hot_keys(counts, [key], share))
-
-
 def _levels(docs: DataFrame, least: int, longest: int, block_bytes: int) -> list[DataFrame]:
     """The frequent phrases of each number of words: id, left and right (the
     parents), lang, n, phrase, last (its last word), f, and the counts of its
     proper beginnings (pre) and ends (suf) by their number of words."""
     spark = docs.sparkSession
-    blocks = blocks_of(docs, block_bytes)
-    tasks = MORE_TASKS * exchange_tasks(blocks)
-    parts = PARTS_PER_PARTITION * tasks
-    now = checkpointed(blocks.mapInArrow(partial(_first, parts=parts), ASK_TYPE))
-    release(spark, blocks)
-    totals = now.filter(F.col("part") == TALLY).mapInArrow(_tallies, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n"))
-    totals = checkpointed(totals)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(LEAST_PARTS, -(-size // PART_BYTES))
+    tasks = max(shuffle_partitions(spark), parts // PARTS_OF_A_TASK)
+    now = checkpointed(docs.mapInArrow(partial(_first, parts=parts, block_bytes=block_bytes), ASK_TYPE))
+    totals = checkpointed(now.filter(F.col("part") == TALLY).mapInArrow(_tallies, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n")))
     out: list[DataFrame] = []
     for k in range(1, longest + 1):
         named = checkpointed(now.filter("part >= 0").repartition(tasks, "part").mapInArrow(partial(_name, least=least), ASK_TYPE))
-        pairs = checkpointed(named.filter(F.col("part") == PAIRS).mapInArrow(_pairs, "id long, left long, right long, f long"))
+        pairs = named.filter(F.col("part") == PAIRS).mapInArrow(_pairs, "id long, left long, right long, f long")
         before = now
         if k < longest:
             states, answers = now.filter(F.col("part") == STATE), named.filter("part >= 0")
             now = checkpointed(states.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(partial(_next, parts=parts), ASK_TYPE))
         if k == 1:
             words = (now if longest > 1 else before).filter(F.col("part") == NAMES).mapInArrow(_names, "id long, lang string, word string")
-            level = _joined(pairs.select("id", "f").join(words, "id"), totals, "lang")
+            level = checkpointed(pairs.select("id", "f").join(words, "id"))
+            counts = level.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+            share = fair_share(counts.agg(F.sum("n")).first()[0] or 0, spark)
+            level = dealt_join(level, totals, ["lang"], hot_keys(counts, ["lang"], share))
             none = F.array().cast("array<bigint>")
             level = level.select("id", F.lit(0).cast("long").alias("left"), F.lit(0).cast("long").alias("right"), "lang", "n", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", none.alias("pre"), none.alias("suf"))
         else:
             one = lambda side, *columns: out[-1].select(F.col("id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in columns])
-            level = _joined(pairs, one("left", "lang", "n", "phrase", "f", "pre"), "left")
-            level = _joined(level, one("right", "last", "f", "suf"), "right")
+            # A word that begins many phrases is split by the adaptive plan.
+            level = pairs.join(one("left", "lang", "n", "phrase", "f", "pre"), "left").join(one("right", "last", "f", "suf"), "right")
             more = lambda side, c: F.concat(f"{side}_{c}", F.array(f"{side}_f")).alias(c)
             level = level.select("id", "left", "right", F.col("left_lang").alias("lang"), F.col("left_n").alias("n"), F.concat_ws(" ", "left_phrase", "right_last").alias("phrase"), F.col("right_last").alias("last"), "f", more("left", "pre"), more("right", "suf"))
         out.append(checkpointed(level))
-        release(spark, before, named, pairs)
+        release(spark, before, named)
     if longest > 1:
         release(spark, now)
     return out
