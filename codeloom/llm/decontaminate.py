@@ -1,14 +1,20 @@
 """Operator 5: benchmark decontamination by n-gram seeds and alignment.
 
-Words are compared in lower case without anything but letters and digits.  All
-pairs of neighbouring words of an item are seeds, whatever their frequency; the
-limits of score and size tell how many of them an edited copy has at least
-(``least_hits``), and where a document has so many, the passage around them is
-aligned with the item (Smith-Waterman on words).  Items so long that a leak
-need not have a pair are sought by their single words.  So edits, insertions
-and left-out words lower the score but don't hide a copy.  A passage has room
-on both sides for all the words that a leak can have beside the item's;
-passages that overlap are aligned as one.
+Words are compared in lower case without anything but letters and digits.  The
+limits of score and size tell how many pairs of neighbouring words an edited
+copy has in common with an item at least (``least_hits``); items so long or
+short that a leak need not have a pair are sought by their single words.  If a
+leak has at least h of an item's p n-grams, it has at least s of any p - h + s
+of them: the item's rarest ones are its seeds, its most frequent ones are none.
+Where a document has s seeds of an item as near to each other as a leak allows,
+the passage around them is aligned with the item (Smith-Waterman on words).  So
+edits, insertions and left-out words lower the score but don't hide a copy.  A
+passage has room on both sides for all the words that a leak can have beside
+the item's; passages that overlap are aligned as one.
+
+A place of a document is one hit for each item that has its n-gram as a seed,
+however often either repeats it.  Hits are counted by item first, and made in
+portions of items with a bounded number of them.
 
 The benchmark is the query set: it is taken in blocks of bounded size, each of
 which goes to all tasks and is held against all documents.
@@ -35,6 +41,8 @@ STEP_BYTES = 2 << 20
 BLOCK_BYTES = 4 << 20
 #: Words of windows that are aligned at once.
 CELLS = 1 << 17
+#: Places of seeds that are looked at at once.
+HITS = 1 << 20
 _NO_WORD = re.compile(r"[\W_]+")
 _ASCII = np.array([chr(b).isalnum() and b < 128 for b in range(256)])
 _FOLD = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
@@ -153,26 +161,6 @@ def equal_words(items: np.ndarray, windows: np.ndarray) -> np.ndarray:
     return found
 
 
-@dataclass
-class Grams:
-    """The n-grams of one width."""
-
-    width: int
-    find: Finder
-    begin: np.ndarray  # of each known hash in item and offset
-    item: np.ndarray
-    offset: np.ndarray
-
-    def __call__(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Document, item, place and offset of each hit."""
-        at, g = _grams(h, first, self.width)
-        hit, to = self.find(g)
-        n = self.begin[to + 1] - self.begin[to]
-        pick = np.repeat(self.begin[to] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        place = np.repeat(at[hit], n)
-        return np.searchsorted(first, place, side="right") - 1, self.item[pick], place, self.offset[pick]
-
-
 @dataclass
 class Seeds:
     """A block of the benchmark."""
@@ -180,8 +168,11 @@ class Seeds:
     ids: list[int | None]
     words: Finder  # of all items
     items: list[np.ndarray]  # the items, as places in these, from 1
-    need: np.ndarray  # hits of each item that a leak has at least
-    tables: list[Grams]
+    need: np.ndarray  # seeds of each item that a leak has at least
+    widths: list[int]  # of the seeds
+    grams: Finder  # all seeds
+    item: np.ndarray  # of each item's seeds: the item, ascending,
+    gram: np.ndarray  # and the place in grams
 
 
 def least_score(sizes: np.ndarray, m: Match) -> np.ndarray:
@@ -201,65 +192,111 @@ def least_hits(sizes: np.ndarray, m: Match) -> tuple[np.ndarray, np.ndarray]:
     return pairs > 0, np.where(pairs > 0, pairs, few)
 
 
-def windows_of(doc: np.ndarray, item: np.ndarray, offset: np.ndarray, start: np.ndarray, stop: np.ndarray, need: np.ndarray) -> np.ndarray:
-    """Rows (doc, item, start, stop): the windows of a document and item, those
-    that overlap as one, where they have as many offsets as the item needs."""
-    if not len(doc):
-        return np.zeros((0, 4), np.int64)
-    order = np.lexsort((start, item, doc))
-    doc, item, offset, start, stop = doc[order], item[order], offset[order], start[order], stop[order]
-    # Windows of one item are equally long, so the last one ends last.
-    new = np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (start[1:] > stop[:-1])]
-    begin, of = np.flatnonzero(new), np.cumsum(new) - 1
-    distinct = np.unique(of * (int(offset.max()) + 1) + offset) // (int(offset.max()) + 1)
-    enough = np.bincount(distinct, minlength=len(begin)) >= need[item[begin]]
-    return np.stack([doc[begin], item[begin], start[begin], stop[np.r_[begin[1:], len(doc)] - 1]], 1)[enough]
+def hits_of(h: np.ndarray, first: np.ndarray, seeds: Seeds):
+    """Items and the places of their seeds in the texts, by both: a portion of
+    items at a time, with about ``HITS`` hits, or one item's."""
+    found = []
+    for width in seeds.widths:
+        at, g = _grams(h, first, width)
+        hit, to = seeds.grams(g)
+        found.append((at[hit], to))
+    place, gram = (np.concatenate(x) for x in zip(*found, strict=True))
+    often = np.bincount(gram, minlength=len(seeds.grams.known))
+    by_gram, begin = place[np.argsort(gram, kind="stable")], np.cumsum(often) - often
+    n = often[seeds.gram]
+    total = np.bincount(seeds.item, weights=n, minlength=len(seeds.items)).astype(np.int64)
+    todo = np.flatnonzero((n > 0) & (total >= seeds.need)[seeds.item])
+    upto = np.cumsum(n[todo])
+    at = 0
+    while at < len(todo):
+        # Whole items: to the one with which the portion is full.
+        last = seeds.item[todo[min(int(np.searchsorted(upto, upto[at] + HITS)), len(todo) - 1)]]
+        end = int(np.searchsorted(seeds.item[todo], last, side="left"))
+        end = end if end > at else int(np.searchsorted(seeds.item[todo], last, side="right"))
+        part = todo[at:end]
+        size = n[part]
+        pick = np.repeat(begin[seeds.gram[part]] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        key = np.sort(np.repeat(seeds.item[part], size) * (len(h) + 1) + by_gram[pick])
+        yield key // (len(h) + 1), key % (len(h) + 1)
+        at = end
+
+
+def windows_of(item: np.ndarray, place: np.ndarray, first: np.ndarray, need: np.ndarray, span: np.ndarray) -> np.ndarray:
+    """Rows (item, doc, start, stop): where as many seeds as an item needs lie
+    within its span, all that a leak with them can cover."""
+    to = np.arange(len(item)) + need[item] - 1
+    inside = to < len(item)
+    to = np.minimum(to, len(item) - 1)
+    at = np.flatnonzero(inside & (item[to] == item) & (place[to] - place <= span[item]))
+    to, item = place[to[at]], item[at]
+    doc = np.searchsorted(first, place[at], side="right") - 1
+    rows = np.stack([item, doc, np.maximum(to - span[item], first[doc]), np.minimum(place[at] + span[item] + 2, first[doc + 1])], 1)
+    return _merged(rows[to < first[doc + 1]])
+
+
+def _merged(rows: np.ndarray) -> np.ndarray:
+    """Windows by item, document and start, those that overlap as one."""
+    if not len(rows):
+        return rows
+    rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+    # Windows of one item and document begin and end in one order.
+    new = np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(1) | (rows[1:, 2] > rows[:-1, 3])]
+    begin = np.flatnonzero(new)
+    out = rows[begin]
+    out[:, 3] = rows[np.r_[begin[1:], len(rows)] - 1, 3]
+    return out
 
 
-def _portions(todo: np.ndarray):
-    """Rows of ``todo``, by length, as many as have ``CELLS`` words of windows."""
+def _portions(todo: np.ndarray, sizes: np.ndarray):
+    """Rows of ``todo`` with items about as long (to a power of two) and windows
+    alike, so that little is padding: as many as have ``CELLS`` words."""
+    kind = np.ceil(np.log2(sizes[todo[:, 0]])).astype(np.int64)
+    span = todo[:, 3] - todo[:, 2]
+    order = np.lexsort((span, kind))
+    todo, kind, span = todo[order], kind[order], span[order]
     k = 0
     while k < len(todo):
-        span = todo[k:, 3] - todo[k:, 2]
-        n = max(1, int(np.searchsorted(span * np.arange(1, len(span) + 1), CELLS)))
+        upto = int(np.searchsorted(kind, kind[k], side="right"))
+        words = np.maximum(span[k:upto], 1 << int(kind[k])) * np.arange(1, upto - k + 1)
+        n = max(1, int(np.searchsorted(words, CELLS)))
         yield todo[k : k + n]
         k += n
 
 
+def _judge(todo: np.ndarray, code: np.ndarray, seeds: Seeds, sizes: np.ndarray, m: Match):
+    """Document, item and similarity of each window that leaks; code: the word
+    at each place, with 0 at the end."""
+    least = least_score(sizes, m)
+    for part in _portions(todo, sizes):
+        t, d, start, stop = part.T
+        cols = start[:, None] + np.arange(int((stop - start).max()))
+        windows = code[np.where(cols < stop[:, None], cols, len(code) - 1)]
+        items = np.zeros((len(part), int(sizes[t].max())), code.dtype)
+        for r, x in enumerate(t):
+            items[r, : sizes[x]] = seeds.items[x]
+        # No alignment has more equal words than the window has of the item's.
+        able = m.equal * equal_words(items, windows) >= least[t]
+        d, t, items, windows = d[able], t[able], items[able], windows[able]
+        if len(d):
+            score = align(items, windows, m)
+            for r in np.flatnonzero((score >= m.similarity * m.equal * sizes[t]) | (score >= m.equal * m.words)):
+                yield int(d[r]), int(t[r]), float(score[r]) / (m.equal * sizes[t[r]])
+
+
 def _leaks(batches, text_col: str, seeds: Seeds, m: Match, schema: pa.Schema):
     sizes = np.array([len(w) for w in seeds.items], np.int64)
     kind = np.uint16 if len(seeds.words.known) < 65_535 else np.uint32
-    # Words that a passage which leaks has at most beside the item's.
-    least = least_score(sizes, m)
-    gaps = np.maximum(0, (m.equal * sizes - least) // -m.gap)
+    # Words of a passage that leaks, with those that it has beside the item's.
+    span = sizes + np.maximum(0, (m.equal * sizes - least_score(sizes, m)) // -m.gap)
     for batch in batches:
         for b in _pieces(batch, 4 * STEP_BYTES):
             h, first = plain_words(b[text_col])
-            doc, item, place, offset = (np.concatenate(x) for x in zip(*[t(h, first) for t in seeds.tables], strict=True))
-            start = place - offset - gaps[item]
-            todo = windows_of(doc, item, offset, start, start + sizes[item] + 2 * gaps[item], seeds.need)
-            # Alike in length, so that little is padding.
-            todo = todo[np.argsort(todo[:, 3] - todo[:, 2], kind="stable")]
-            found: dict[tuple[int, int], float] = {}
             code, (at, to) = np.zeros(len(h) + 1, kind), seeds.words(h)
             code[at] = to + 1
-            for part in _portions(todo):
-                d, t, start, stop = part.T
-                cols = start[:, None] + np.arange(int((stop - start).max()))
-                inside = (cols >= first[d][:, None]) & (cols < np.minimum(first[d + 1], stop)[:, None])
-                windows = code[np.where(inside, cols, len(h))]
-                items = np.zeros((len(part), int(sizes[t].max())), kind)
-                for r, x in enumerate(t):
-                    items[r, : sizes[x]] = seeds.items[x]
-                # No alignment has more equal words than the window has of the item's.
-                able = m.equal * equal_words(items, windows) >= least[t]
-                d, t, items, windows = d[able], t[able], items[able], windows[able]
-                if not len(d):
-                    continue
-                score = align(items, windows, m)
-                for r in np.flatnonzero((score >= m.similarity * m.equal * sizes[t]) | (score >= m.equal * m.words)):
-                    key = (int(d[r]), int(t[r]))
-                    found[key] = max(found.get(key, 0.0), float(score[r]) / (m.equal * sizes[t[r]]))
+            found: dict[tuple[int, int], float] = {}
+            for item, place in hits_of(h, first, seeds):
+                for d, t, share in _judge(windows_of(item, place, first, seeds.need, span), code, seeds, sizes, m):
+                    found[d, t] = max(found.get((d, t), 0.0), share)
             old = b["leaks"].to_pylist()
             for (d, t), share in sorted(found.items()):
                 old[d] = [*(old[d] or []), {"item_id": seeds.ids[t], "similarity": share}]
@@ -292,19 +329,33 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
 
 
 def seeds_of(block: pa.Table, match: Match) -> Seeds | None:
+    """The rarest n-grams of each item, by how often the block has them: as many
+    as make sure that a leak has a third of what it has of all of them."""
     h, first = plain_words(block["text"])
     sizes = np.diff(first)
-    pairs, need = least_hits(sizes, match)
-    tables = []
+    pairs, least = least_hits(sizes, match)
+    # Where a leak has a few pairs only, single words say more.
+    pairs &= least >= 6
+    least = np.where(pairs, least, -(-least_score(sizes, match) // match.equal))
+    need = np.maximum(np.where(least >= 4, 2, 1), least // 3)
+    chosen = []
     for width in (1, 2):
         at, g = _grams(h, first, width)
         item = np.searchsorted(first, at, side="right") - 1
-        chosen = np.flatnonzero((sizes[item] >= match.width) & (pairs[item] == (width == 2)))
-        chosen = chosen[np.argsort(g[chosen], kind="stable")]
-        if len(chosen):
-            few, begin = np.unique(g[chosen], return_index=True)
-            tables.append(Grams(width, Finder(few), np.r_[begin, len(chosen)], item[chosen], at[chosen] - first[item[chosen]]))
-    if not tables:
+        own = np.flatnonzero((sizes[item] >= match.width) & (pairs[item] == (width == 2)))
+        if len(own):
+            g, item = g[own], item[own]
+            _, of, n = np.unique(g, return_inverse=True, return_counts=True)
+            order = np.lexsort((g, n[of], item))
+            g, item = g[order], item[order]
+            rank = np.arange(len(g)) - np.searchsorted(item, item, side="left")
+            kept = rank < (sizes - width + 1 - least + need)[item]
+            chosen.append((width, item[kept], g[kept]))
+    if not chosen:
         return None
-    known, code = np.unique(h, return_inverse=True)
-    return Seeds(block["id"].to_pylist(), Finder(known), [code[a:b] + 1 for a, b in zip(first[:-1], first[1:], strict=True)], need, tables)
+    item, g = np.concatenate([x[1] for x in chosen]), np.concatenate([x[2] for x in chosen])
+    known, gram = np.unique(g, return_inverse=True)
+    both = np.unique(item * len(known) + gram)
+    words, code = np.unique(h, return_inverse=True)
+    items = [code[a:b] + 1 for a, b in zip(first[:-1], first[1:], strict=True)]
+    return Seeds(block["id"].to_pylist(), Finder(words), items, need, [x[0] for x in chosen], Finder(known), both // len(known), both % len(known))

@@ -439,3 +439,51 @@ def test_counts_beyond_32_bits_are_exact():
     got = lm_score._told(bodies)
     assert set(got["b"][:-1].tolist()) == {70_000 * 65_535} and set(got["t"][:-1].tolist()) == {70_000 * 65_000}
     assert got[-1].tolist() == (0, 3)
+
+
+def test_leaks_among_frequent_words(spark):
+    rng = random.Random(44)
+    items = [(k, " ".join(words(rng, n, 12))) for k, n in enumerate((4, 5, 6, 9, 14, 20, 34, 35, 40, 50, 53, 54, 58, 59, 66))] + [(90, "ha " * 30), (91, "ha ho " * 40)]
+    rows = []
+    for k, item in items:
+        for c in range(8):
+            copy = item.split()
+            for at in rng.sample(range(len(copy)), c * len(copy) // 16):
+                copy[at] = f"edit{at}" if rng.random() < 0.5 else ""
+            rows.append((len(rows), " ".join(words(rng, 20, 500) + copy + words(rng, 20, 500)), "en"))
+    rows += [(len(rows) + k, " ".join(words(rng, 60, 40)), "en") for k in range(40)] + [(999, "ha " * 300, "en")]
+    want = leaks_of_all_pairs(rows, items, decontaminate.Match())
+    assert 0 < len(want) < len(rows) * len(items) / 2
+    assert found_leaks(spark, rows, items) == want
+
+
+def in_one_process(items, texts):
+    """Leaks of a benchmark block in texts, and the most hits held at once."""
+    block = pa.table({"id": pa.array(range(len(items)), pa.int64()), "text": pa.array(items, pa.string())})
+    seeds, m = decontaminate.seeds_of(block, decontaminate.Match()), decontaminate.Match()
+    h, first = decontaminate.plain_words(pa.array(texts, pa.string()))
+    held = [len(item) for item, _ in decontaminate.hits_of(h, first, seeds)]
+    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64())]))
+    schema = pa.schema([("text", pa.string()), ("leaks", kind)])
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array([None] * len(texts), kind)], schema=schema)
+    found = [x for b in decontaminate._leaks(iter([batch]), "text", seeds, m, schema) for x in b["leaks"].to_pylist()]
+    return found, max(held, default=0)
+
+
+def test_repetitive_items_and_texts_stay_small():
+    found, held = in_one_process(["ha " * 2000, "ha " * 1999 + "ho"], ["ha " * 20_000, "ho " * 20_000])
+    # A place is a hit once for an item, however often the item has its word.
+    assert held <= 2 * 20_000
+    assert [(x["item_id"], x["similarity"]) for x in found[0]] == [(0, 1.0), (1, 1999 / 2000)] and not found[1]
+
+
+def test_portions_of_hits_change_nothing(monkeypatch):
+    rng = random.Random(45)
+    items = [" ".join(words(rng, rng.randrange(4, 70), 60)) for _ in range(300)]
+    texts = [" ".join(words(rng, 200, 60) + items[k].split() + words(rng, 50, 60)) for k in range(40)]
+    whole, _ = in_one_process(items, texts)
+    monkeypatch.setattr(decontaminate, "HITS", 500)
+    parts, held = in_one_process(items, texts)
+    assert parts == whole and all(any(x["item_id"] == k for x in whole[k]) for k in range(40))
+    # About a portion, or one item's: at most its words' places.
+    assert held <= sum(len(t.split()) for t in texts)
