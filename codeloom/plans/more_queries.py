@@ -12,7 +12,8 @@ from ..session import scratch_folder
 from ..sources import scans
 from ..sources import tables as V
 from ..sources.tables import NOW_MS
-from ..streaming.outbox import apply_graph_changes, once, to_table
+from ..streaming.feed import GraphFeed
+from ..streaming.outbox import OutboxStore
 from ..streaming.tables import VersionedTable
 from .queries import RULES, _violations, _VIOLATIONS, query
 from .views_sql import sql
@@ -374,29 +375,111 @@ def _(s, d):
 # ---------------------------------------------------------------- streams
 
 
-@query("graph_feed", """select 'order/' || o_orderkey id, 'order ' || o_orderpriority as name, cast(1 as integer) as version from orders where o_orderkey % 5 <> 0""")
-def _(s, d):
-    """Nodes from a feed of changes that adds all orders and deletes some."""
+_FEED = """feed as (
+  select 'node' op, 'order/' || o_orderkey id, 'order ' || o_orderpriority as name, null source_id, null edge_type, null target_id, 1 + o_orderkey % 3 as version from orders
+  union all select 'node', 'customer/' || c_custkey, c_mktsegment, null, null, null, 1 from customer
+  union all select 'delete', 'order/' || o_orderkey, null, null, null, null, 2 + o_orderkey % 4 from orders where o_orderkey % 5 = 0
+  union all select 'node', 'order/' || o_orderkey, 'again', null, null, null, 9 from orders where o_orderkey % 10 = 0
+  union all select 'delete', 'customer/' || c_custkey, null, null, null, null, 3 from customer where c_custkey % 4 = 0
+  union all select 'edge', null, null, 'customer/' || o_custkey, 'CALLS', 'order/' || o_orderkey, 1 + o_orderkey % 8 from orders
+  union all select 'edge', null, null, 'customer/' || o_custkey, 'IMPORTS', 'order/' || o_orderkey, 5 from orders where o_orderkey % 3 = 0
+  union all select 'unlink', null, null, 'customer/' || o_custkey, 'IMPORTS', 'order/' || o_orderkey, 4 + o_orderkey % 3 from orders where o_orderkey % 2 = 0
+), n as (
+  select id, max(struct_pack(v := version, name := name)) filter (where op = 'node') best, max(version) filter (where op = 'delete') gone from feed where id is not null group by id
+), alive as (select id, best.name as name, best.v as version, gone from n where best.v > coalesce(gone, best.v - 1)),
+e as (
+  select source_id, edge_type, target_id, max(version) filter (where op = 'edge') as version, max(version) filter (where op = 'unlink') gone from feed where source_id is not null group by 1, 2, 3
+), linked as (
+  select e.* from e join alive a on a.id = e.source_id join alive b on b.id = e.target_id
+  where e.version > coalesce(e.gone, e.version - 1) and e.version > coalesce(a.gone, e.version - 1) and e.version > coalesce(b.gone, e.version - 1)
+)"""
+
+
+def _feed(s, d):
+    """Changes of a graph of customers and orders: nodes made, renamed, deleted
+    and made again, edges set and unlinked, at versions of many kinds."""
+    o, c = V.read(s, d, "orders"), V.read(s, d, "customer")
+    k, none = F.col("o_orderkey"), F.lit(None).cast("string")
+    order, customer, of = F.concat(F.lit("order/"), k.cast("string")), F.concat(F.lit("customer/"), F.col("o_custkey").cast("string")), F.concat(F.lit("customer/"), F.col("c_custkey").cast("string"))
+
+    def node(rows, op, id, name, version):
+        return rows.select(F.lit(op).alias("op"), id.alias("id"), name.alias("name"), none.alias("source_id"), none.alias("edge_type"), none.alias("target_id"), version.cast("long").alias("version"))
+
+    def edge(rows, op, kind, version):
+        return rows.select(F.lit(op).alias("op"), none.alias("id"), none.alias("name"), customer.alias("source_id"), F.lit(kind).alias("edge_type"), order.alias("target_id"), version.cast("long").alias("version"))
+
+    parts = [
+        node(o, "node", order, F.concat(F.lit("order "), "o_orderpriority"), 1 + k % 3),
+        node(c, "node", of, F.col("c_mktsegment"), F.lit(1)),
+        node(o.filter("o_orderkey % 5 = 0"), "delete", order, none, 2 + k % 4),
+        node(o.filter("o_orderkey % 10 = 0"), "node", order, F.lit("again"), F.lit(9)),
+        node(c.filter("c_custkey % 4 = 0"), "delete", of, none, F.lit(3)),
+        edge(o, "edge", "CALLS", 1 + k % 8),
+        edge(o.filter("o_orderkey % 3 = 0"), "edge", "IMPORTS", F.lit(5)),
+        edge(o.filter("o_orderkey % 2 = 0"), "unlink", "IMPORTS", 4 + k % 3),
+    ]
+    rows = parts[0]
+    for more in parts[1:]:
+        rows = rows.unionByName(more)
+    return rows
+
+
+def _streamed(s, rows, folder: str, batches: int):
+    """``rows`` as a stream of so many batches, shuffled among them."""
+    at = F.pmod(F.xxhash64(*rows.columns), F.lit(batches)).cast("int")
+    rows.withColumn("_at", at).repartitionByRange(batches, "_at").drop("_at").write.parquet(folder)
+    return s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def _fed(s, d, batches: int) -> GraphFeed:
     folder = scratch_folder(s, "feed")
-    schema = "op string, id string, name string, source_id string, target_id string, edge_type string, version int"
-    o = V.read(s, d, "orders")
-    none = F.lit(None).cast("string")
-    row = lambda op, name, version: [F.lit(op).alias("op"), F.concat(F.lit("order/"), F.col("o_orderkey").cast("string")).alias("id"), name.alias("name"), none.alias("source_id"), none.alias("target_id"), none.alias("edge_type"), F.lit(version).alias("version")]
-    nodes, edges = VersionedTable(s, f"{folder}/nodes", "id string, name string, version int"), VersionedTable(s, f"{folder}/edges", "source_id string, target_id string, edge_type string, version int")
-    for part in (o.select(*row("node", F.concat(F.lit("order "), "o_orderpriority"), 1)), o.filter("o_orderkey % 5 = 0").select(*row("delete", none, 2))):
-        part.write.mode("append").parquet(f"{folder}/log")
-        apply_graph_changes(s.readStream.schema(schema).parquet(f"{folder}/log"), nodes, edges, f"{folder}/checkpoint").awaitTermination()
-    return nodes.read()
+    graph = GraphFeed(s, f"{folder}/graph", "name STRING")
+    graph.start(_streamed(s, _feed(s, d), f"{folder}/log", batches), f"{folder}/checkpoint").awaitTermination()
+    return graph
+
+
+@query("graph_feed", f"with {_FEED} select id, name, version from alive")
+def _(s, d):
+    """Nodes from a shuffled feed in three batches."""
+    return _fed(s, d, 3).nodes()
+
+
+@query("graph_feed_edges", f"with {_FEED} select source_id, edge_type, target_id, version from linked")
+def _(s, d):
+    return _fed(s, d, 2).edges()
 
 
 @query("outbox_stream", sql("outbox", "select idempotency_key from outbox group by 1"))
 def _(s, d):
-    """Each key of a stream of pushes once."""
+    """Each key of a stream of pushes once, however late it comes: a batch has
+    times of all years."""
     folder = scratch_folder(s, "outbox")
-    V.outbox(s, d).select("idempotency_key", F.lit("2024-01-01 00:00:00").cast("timestamp").alias("created_at")).write.parquet(f"{folder}/in")
-    stream = once(s.readStream.schema("idempotency_key string, created_at timestamp").parquet(f"{folder}/in"))
-    to_table(stream, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
-    return s.read.parquet(f"{folder}/out").select("idempotency_key")
+    store = OutboxStore(s, folder)
+    rows = V.outbox(s, d).select("idempotency_key", F.col("aggregate_id").cast("string").alias("aggregate_id"), F.lit("{}").alias("payload"), F.pmod(F.xxhash64("idempotency_key", "aggregate_id"), F.lit(10**12)).alias("created_at"))
+    store.start_adding(_streamed(s, rows, f"{folder}/in", 3), f"{folder}/checkpoint").awaitTermination()
+    return store.table.read().select("idempotency_key")
+
+
+@query("outbox_states", """with a as (
+  select l_orderkey k, l_linenumber i, l_shipdate < date '1996-01-01' ok, row_number() over (partition by l_orderkey order by l_linenumber, l_shipdate < date '1996-01-01') p from lineitem
+), r as (
+  select 'push/' || o_orderkey idempotency_key, count(p) n, min(p) filter (where ok) done, list(i order by p) times from orders left join a on k = o_orderkey group by 1
+)
+select idempotency_key, case when done <= 3 then 'PROCESSED' when n >= 3 then 'FAILED' else 'PENDING' end status,
+  cast(case when done <= 3 then done - 1 else least(n, 3) end as integer) retry_count,
+  cast(case when done <= 3 or n >= 3 then null when n = 0 then 1 else times[n] * 1000 + 60000 * pow(2, n - 1) end as bigint) next_try_at,
+  case when done <= 3 then times[done] * 1000 end processed_at from r""")
+def _(s, d):
+    """Orders as events and their items as tries, three at most: processed,
+    failed, or waiting for the next one."""
+    folder = scratch_folder(s, "outbox-states")
+    store = OutboxStore(s, folder, tries=3)
+    key = lambda c: F.concat(F.lit("push/"), F.col(c).cast("string")).alias("idempotency_key")
+    store.add(V.read(s, d, "orders").select(key("o_orderkey"), F.col("o_orderstatus").alias("aggregate_id"), F.lit("{}").alias("payload"), F.lit(1).cast("long").alias("created_at")), 0, "orders")
+    tried = V.read(s, d, "lineitem").select(key("l_orderkey"), "l_linenumber", (F.col("l_linenumber") * 1000).cast("long").alias("at"), (F.col("l_shipdate") < F.lit("1996-01-01").cast("date")).alias("ok"))
+    for batch, some in enumerate(("l_linenumber <= 2", "l_linenumber = 3", "l_linenumber > 3")):
+        store.settle(tried.filter(some), batch, "tries")
+    return store.table.read().select("idempotency_key", "status", "retry_count", "next_try_at", "processed_at")
 
 
 # ---------------------------------------------------------------- tools

@@ -40,6 +40,25 @@ class VersionedTable:
         if version not in self.versions():
             rows.write.mode("overwrite").parquet(f"{self.path}/v{version}")
 
+    def write_batch(self, rows: DataFrame, source: str, batch: int) -> int | None:
+        """``rows`` as the next version, or nothing if a version is there that
+        the source's batch made: whatever other versions there are, it isn't
+        lost.  The version's folder carries the batch as a mark."""
+        marks = [s.getPath().getName() for v in self.versions() for s in self._fs.listStatus(self._path(f"{self.path}/v{v}"))]
+        mark = f"_batch-{source}-{batch}"
+        if mark in marks:
+            return None
+        name = self.stage(rows)
+        self._fs.create(self._path(f"{name}/{mark}"), True).close()
+        return self.commit(name)
+
+    def keep(self, last: int) -> int:
+        """Drop all but the last versions; how many."""
+        old = self.versions()[:-last]
+        for v in old:
+            self._fs.delete(self._path(f"{self.path}/v{v}"), True)
+        return len(old)
+
     def stage(self, rows: DataFrame) -> str:
         """Write rows aside; readers don't see them."""
         name = f"{self.path}/_staging/{uuid.uuid4().hex}"
