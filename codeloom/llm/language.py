@@ -8,8 +8,12 @@ codeword, the logistic losses of its bits, weighted by how well each
 classifier parts its two sides; the codeword with the least loss wins, and a
 second one close by flags ambiguity.
 
-Trigram counts come from all labelled rows; the model has at most ``FEATURES``
-numbers for each language, so what the driver gets doesn't grow with the rows.
+Trigram counts come from all labelled rows and stay in Spark as rows (language,
+trigram, count): a classifier's two sides are sums over them by trigram, its
+trust one over languages.  What the driver gets are ``FEATURES`` numbers for
+each classifier, of which there are some ten for each doubling of the
+languages, and the languages' names and codewords; any number of languages will
+do.
 """
 
 from __future__ import annotations
@@ -25,11 +29,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import _pieces, quoted, text_buffers, without
+from .common import _pieces, checkpointed, quoted, text_buffers, without
 
 FEATURES = 1 << 15
-#: Languages that a model takes; the driver holds a row of numbers for each.
-MOST_LANGUAGES = 1000
+#: Languages whose losses are held at once.
+CODES_AT_ONCE = 1024
 STEP_BYTES = 1 << 20
 #: Trigrams that a margin counts for at most, and the gap of two losses below
 #: which a text is ambiguous.
@@ -95,29 +99,85 @@ def codewords(k: int) -> np.ndarray:
             return code
 
 
+SIDES = T.StructType([T.StructField("h", T.IntegerType()), T.StructField("up", T.ArrayType(T.DoubleType())), T.StructField("every", T.DoubleType())])
+HEIGHTS = T.StructType([T.StructField("least", T.ArrayType(T.DoubleType()))])
+
+
+def _sides(batches, code: np.ndarray):
+    """For each trigram of the task: the languages' shares of it, summed over
+    those whose bit is 1 for each bit, and over all."""
+    up, every = np.zeros((FEATURES, code.shape[1])), np.zeros(FEATURES)
+    for b in batches:
+        h, share, place = (b[c].to_numpy() for c in ("h", "share", "place"))
+        for bit in range(code.shape[1]):
+            up[:, bit] += np.bincount(h, weights=share * (code[place, bit] > 0), minlength=FEATURES)
+        every += np.bincount(h, weights=share, minlength=FEATURES)
+    at = np.flatnonzero(every)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(list(up[at]), pa.list_(pa.float64())), pa.array(every[at])], schema=to_arrow_schema(SIDES))
+
+
+def _heights(batches, code: np.ndarray, weights: np.ndarray, flat: np.ndarray):
+    """How far on its side the least language of the task lies, for each bit;
+    ``flat``: of each language, what its unseen trigrams share."""
+    sums: dict[int, np.ndarray] = {}
+    whole = weights.sum(1)
+    for b in batches:
+        h, share, place = (b[c].to_numpy() for c in ("h", "share", "place"))
+        for k in np.unique(place):
+            own = place == k
+            sums[k] = sums.get(k, 0) + weights[:, h[own]] @ share[own]
+    if sums:
+        least = np.min([code[k] * (flat[k] * whole + x) for k, x in sums.items()], axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array([least.tolist()], pa.list_(pa.float64()))], schema=to_arrow_schema(HEIGHTS))
+
+
 def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Count trigrams of all rows with a language, and weigh them.  More than
-    ``MOST_LANGUAGES`` values are an error, told before anything is gathered."""
+    """Count trigrams of all rows with a language and a text, and weigh them.
+    A language whose texts have no trigram isn't learned."""
     labelled = rows.select(quoted(text_col).alias("text"), quoted(lang_col).alias("lang")).filter("lang is not null and text is not null")
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("h", T.IntegerType()), T.StructField("n", T.LongType())])
-    if rows.select(quoted(lang_col).alias("lang")).filter("lang is not null").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    counts = labelled.mapInArrow(partial(_count, text_col="text", lang_col="lang"), schema).groupBy("lang", "h").agg(F.sum("n").alias("n")).toArrow()
-    names = counts["lang"].to_pylist()
-    langs = sorted(set(names))
-    n = np.zeros((len(langs), FEATURES))
-    place = {x: k for k, x in enumerate(langs)}
-    n[[place[x] for x in names], counts["h"].to_numpy()] = counts["n"].to_numpy()
-    share = (n + 0.5) / (n.sum(1, keepdims=True) + 0.5 * FEATURES) if len(langs) else n
+    counts = checkpointed(labelled.mapInArrow(partial(_count, text_col="text", lang_col="lang"), schema).groupBy("lang", "h").agg(F.sum("n").alias("n")))
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
+    sizes = dict(totals.toArrow().select(["lang", "total"]).to_pandas().itertuples(index=False, name=None))
+    langs = sorted(sizes)
     code = codewords(len(langs))
-    weights, trust = np.zeros((code.shape[1], FEATURES), np.float32), np.zeros(code.shape[1])
-    for b in range(code.shape[1]):
-        up, down = share[code[:, b] > 0].mean(0), share[code[:, b] < 0].mean(0)
-        w = np.log(up / down)
-        weights[b] = w
-        # How far the least of the languages lies on its side on average.
-        trust[b] = max((code[:, b] * (share @ w)).min(), 1e-3)
-    return Model(langs, code, weights, trust / trust.sum() if len(trust) else trust)
+    if not code.shape[1]:
+        return Model(langs, code, np.zeros((0, FEATURES), np.float32), np.zeros(0))
+    # A share is (n + 0.5) / (total + 0.5 FEATURES): a flat part, and n's.
+    whole = np.array([sizes[x] for x in langs]) + 0.5 * FEATURES
+    place = rows.sparkSession.createDataFrame(pa.table({"lang": langs, "place": np.arange(len(langs)), "whole": whole}))
+    shares = checkpointed(counts.join(place, "lang").select("h", "place", (F.col("n") / F.col("whole")).alias("share")))
+    sides = shares.repartition("h").mapInArrow(partial(_sides, code=code), SIDES).toArrow()
+    up, every = np.zeros((FEATURES, code.shape[1])), np.zeros(FEATURES)
+    at = sides["h"].to_numpy()
+    up[at], every[at] = np.array(sides["up"].to_pylist()).reshape(-1, code.shape[1]), sides["every"].to_numpy()
+    ones, flat = (code > 0).sum(0), 0.5 / whole
+    up_mean = (up + flat @ (code > 0)) / ones
+    down_mean = (every[:, None] - up + flat @ (code < 0)) / (len(langs) - ones)
+    weights = np.log(up_mean / down_mean).T
+    heights = shares.repartition("place").mapInArrow(partial(_heights, code=code, weights=weights, flat=flat), HEIGHTS)
+    least = heights.select(*[F.min(F.col("least")[k]) for k in range(code.shape[1])]).first()
+    trust = np.maximum(np.array(list(least), float), 1e-3)
+    return Model(langs, code, weights.astype(np.float32), trust / trust.sum())
+
+
+def _decoded(margin: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The language with the least loss for each row of margins, its chance,
+    and how much more the next one loses; a portion of codewords at a time."""
+    right, wrong = np.logaddexp(0, -margin) * model.trust, np.logaddexp(0, margin) * model.trust
+    best, least, second = np.zeros(len(margin), np.int64), np.full(len(margin), np.inf), np.full(len(margin), np.inf)
+    others = np.zeros(len(margin))  # sum of exp(least - loss)
+    for k in range(0, len(model.langs), CODES_AT_ONCE):
+        ones = (model.code[k : k + CODES_AT_ONCE] > 0).astype(float)
+        loss = wrong.sum(1, keepdims=True) + (right - wrong) @ ones.T
+        two = np.sort(loss, 1)[:, :2]
+        now, at = two[:, 0], loss.argmin(1)
+        lower = np.minimum(least, now)
+        others = others * np.exp(lower - least) + np.exp(lower[:, None] - loss).sum(1)
+        second = np.sort(np.stack([least, second, *two.T], 1), 1)[:, 1]
+        best = np.where(now < least, k + at, best)
+        least = lower
+    return best, 1 / others, second - least
 
 
 def _predict(batches, model: Model, text_col: str, schema: pa.Schema):
@@ -133,15 +193,12 @@ def _predict(batches, model: Model, text_col: str, schema: pa.Schema):
             for k, w in enumerate(model.weights):
                 margin[:, k] = np.diff(np.r_[0.0, np.cumsum(np.where(good, w[code], 0), dtype=np.float64)][at]) / np.maximum(n, 1)
             margin *= np.minimum(n, EVIDENCE)[:, None]
-            loss = np.stack([(np.logaddexp(0, -c * margin) * model.trust).sum(1) for c in model.code.astype(float)], 1) if model.langs else np.zeros((b.num_rows, 0))
             letters = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False)
             pred, score, close = ["und"] * b.num_rows, np.zeros(b.num_rows), np.ones(b.num_rows, bool)
             if model.langs:
-                best = loss.argmin(1)
-                chance = np.exp(loss.min(1, keepdims=True) - loss)
-                score = np.where(letters, 1 / chance.sum(1), 0.0)
-                rest = np.sort(loss, 1)
-                close = ~letters | (rest[:, 1] - rest[:, 0] < CLOSE if loss.shape[1] > 1 else False)
+                best, chance, gap = _decoded(margin, model)
+                score = np.where(letters, chance, 0.0)
+                close = ~letters | (gap < CLOSE)
                 pred = [model.langs[k] if ok else "und" for k, ok in zip(best, letters, strict=True)]
             made = {"lang_pred": pa.array(pred, pa.string()), "score": pa.array(score, pa.float64()), "ambiguous": pa.array(close)}
             yield pa.RecordBatch.from_arrays([made[f.name] if f.name in made else b[f.name] for f in schema], schema=schema)

@@ -24,6 +24,8 @@ from .encoding import encoder
 
 #: Bytes of Arrow data that a worker encodes at once.
 STEP_BYTES = 4 << 20
+#: Bytes of input for each file, as far as the plan tells.
+FILE_BYTES = 128 << 20
 #: Tasks up to this many get their starts by a broadcast of one row for each.
 BROADCAST_TASKS = 100_000
 
@@ -41,19 +43,28 @@ def _encode(batches, tokenizer: str, end_id: int):
             before += int(at[-1])
 
 
+def files_for(docs: DataFrame) -> int:
+    """Files by the input's size in the plan's statistics (of file scans: what
+    is read), and at least as many as the session's shuffle partitions."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    # An unknown size counts as beyond all bounds.
+    return max(shuffle_partitions(docs.sparkSession), -(-size // FILE_BYTES) if size < 1 << 60 else 0)
+
+
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", n_files: int | None = None, stripe_bytes: int = 16 << 20) -> None:
     """Encode each whole text, append ``end_id`` and write ORC files under
     ``path``: doc_id, at (the task's ids before it), n_tokens and ids.
 
     Tasks hold ascending ranges of ids in the order of the numbers in their
-    files' names, rows ascending ids.  Null ids come first; rows with one id follow each other by
-    a hash of their texts.  A null or empty text has just ``end_id``.  Other
+    files' names, rows ascending ids.  Null ids come first; rows with one id follow
+    each other by a hash of their texts, and many alike in both are dealt out to
+    more than one task.  A null or empty text has just ``end_id``.  Other
     columns are not written; an empty table gives files without rows.
     """
-    spark = docs.sparkSession
     rows = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).alias("text"))
-    rows = rows.withColumn("tie", F.xxhash64("text"))
-    rows = rows.repartitionByRange(n_files or shuffle_partitions(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    n_files = n_files or files_for(rows)
+    rows = rows.withColumn("tie", F.xxhash64("text")).withColumn("number", F.monotonically_increasing_id())
+    rows = rows.repartitionByRange(n_files, "doc_id", "tie", "number").sortWithinPartitions("doc_id", "tie")
     encoded = rows.select("doc_id", "text").mapInArrow(partial(_encode, tokenizer=tokenizer, end_id=end_id), ROW)
     options = {"compression": "zstd", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(stripe_bytes), "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}
     encoded.write.options(**options).orc(path)

@@ -68,7 +68,11 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", defaul
     # Written once: points, their counts and hot URLs come from it.
     urls = checkpointed(pages.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n")))
     share = fair_share(urls.agg(F.sum("n")).first()[0] or 0, pages.sparkSession)
-    suffixes = F.expr("transform(sequence(1, size(labels)), n -> array_join(slice(labels, 1, n), '.'))")
+    # Only suffixes with as many labels as a rule's host can be one.  There are
+    # few such numbers: k of them take at least k * k / 2 labels of rules.
+    depths = sorted(r[0] for r in clean.select(F.size(F.split("at", r"\.", -1))).distinct().collect())
+    depths = F.filter(F.array(*[F.lit(n) for n in depths]).cast("array<int>"), lambda n: n <= F.size("labels"))
+    suffixes = F.transform(depths, lambda n: F.array_join(F.slice("labels", F.lit(1), n), "."))
     points = urls.withColumn("labels", _labels(F.col("host"))).select("host", "path", F.explode(suffixes).alias("at"))
     if clean.count() <= SENT_RULES:
         points = points.join(F.broadcast(clean.select("at").distinct()), "at", "left_semi")

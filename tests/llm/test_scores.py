@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 from codeloom.llm import chat, decontaminate, language, lm_score, quality, urls
@@ -253,12 +254,29 @@ def test_languages_match_the_plain_version(spark, sf):
     assert language.predict(spark.createDataFrame([], DOCS), model).count() == 0
 
 
-def test_too_many_languages_are_told(spark, monkeypatch):
-    import pytest
+def test_any_number_of_languages(spark):
+    rng = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    spoken = {f"l{k:04}": ["".join(rng.choice(letters) for _ in range(8)) for _ in range(4)] for k in range(1200)}
+    rows = [(k, " ".join(rng.choice(w) for _ in range(30)), lang) for k, (lang, w) in enumerate(spoken.items())]
+    model = language.fit(spark.createDataFrame(rows, DOCS).repartition(3))
+    assert len(model.langs) == 1200 and model.code.shape == (1200, 103)
+    asked = [(k, " ".join(spoken[lang]), lang) for k, _, lang in rows[::40]]
+    got = language.predict(spark.createDataFrame(asked, DOCS), model).collect()
+    assert sum(r.lang_pred == r.lang for r in got) >= 0.9 * len(asked)
 
-    monkeypatch.setattr(language, "MOST_LANGUAGES", 3)
-    with pytest.raises(ValueError):
-        language.fit(spark.createDataFrame([(k, "text", f"l{k}") for k in range(4)], DOCS))
+
+def test_codewords_in_portions_decode_alike(monkeypatch):
+    rng = np.random.default_rng(6)
+    code = language.codewords(50)
+    model = language.Model([f"l{k}" for k in range(50)], code, np.zeros((code.shape[1], 1)), np.full(code.shape[1], 1 / code.shape[1]))
+    margin = rng.normal(0, 3, (200, code.shape[1]))
+    whole = language._decoded(margin, model)
+    monkeypatch.setattr(language, "CODES_AT_ONCE", 7)
+    parts = language._decoded(margin, model)
+    assert (whole[0] == parts[0]).all() and np.allclose(whole[1], parts[1]) and np.allclose(whole[2], parts[2])
+    loss = (np.logaddexp(0, -code[None] * margin[:, None]) * model.trust).sum(2)
+    assert (whole[0] == loss.argmin(1)).all() and np.allclose(whole[2], np.sort(loss, 1)[:, 1] - loss.min(1))
 
 
 def test_very_long_texts(spark):
@@ -487,3 +505,11 @@ def test_portions_of_hits_change_nothing(monkeypatch):
     assert parts == whole and all(any(x["item_id"] == k for x in whole[k]) for k in range(40))
     # About a portion, or one item's: at most its words' places.
     assert held <= sum(len(t.split()) for t in texts)
+
+
+def test_a_host_of_very_many_labels(spark):
+    host = ".".join(["a"] * 49_998 + ["example", "com"])
+    pages = spark.createDataFrame([(1, f"http://{host}/en/x"), (2, "http://example.com/en/x"), (3, f"http://{'.' * 30_000}/x")], "page_id long, url string")
+    rules = spark.createDataFrame([("com", "/", "allow"), ("example.com", "/en/", "block"), ("b.a.a.example.com", "/", "allow")], "host string, path string, verdict string")
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.filter_urls(pages, rules).collect()}
+    assert got == {1: ("example.com/en/", "block"), 2: ("example.com/en/", "block"), 3: (None, "allow")}

@@ -230,3 +230,17 @@ def test_stages_match_their_plain_versions(spark, tmp_path):
     for r in packed:
         by[r.sequence_id].append((r.offset, r.length))
     assert all(sum(n for _, n in s) <= corpus_pipeline.CAPACITY and sorted(s)[0][0] == 0 for s in by.values())
+
+
+def test_rows_alike_are_dealt_out_to_files(spark, tmp_path):
+    from codeloom.llm import token_files
+
+    docs = spark.range(6000).selectExpr("if(id < 2000, 7, id) as doc_id", "if(id < 2000, 'the same text', concat('text ', id)) as text").repartition(5)
+    path = str(tmp_path / "files")
+    token_files.write_token_files(docs, path, public_tokenizers.path("word_bpe_49k.json"), n_files=12)
+    sizes = [r["count"] for r in spark.read.orc(path).groupBy("_metadata.file_name").count().collect()]
+    assert sum(sizes) == 6000 and max(sizes) < 1200
+    rows = sorted(token_files.read_token_files(spark, path).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == sorted(r.doc_id for r in docs.collect())
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(rows, rows[1:]))
+    assert token_files.files_for(spark.range(10)) == 4
