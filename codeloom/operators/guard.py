@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import SUPPORTED_EXTENSIONS, extension, imported_module, lines, trim
 
@@ -120,6 +122,61 @@ def check_imports(imports: DataFrame, rules: list[Rule]) -> DataFrame:
     return marked.select(*[c for c in imports.columns], "_v.rule_name", "_v.message")
 
 
+@F.pandas_udf(T.StringType())
+def _regex(globs: pd.Series) -> pd.Series:
+    return globs.map(lambda g: None if g is None else glob_to_regex(g))
+
+
+def _literal(glob: Column) -> Column:
+    """What a string that fits the glob begins with."""
+    return F.regexp_extract(glob, r"^[^*?\[]*", 0)
+
+
+def _prefixes(text: Column, sizes: Column) -> Column:
+    """The beginnings of a text that are as long as one of the sizes."""
+    return F.transform(F.filter(sizes, lambda n: n <= F.char_length(text)), lambda n: F.substring(text, F.lit(1), n))
+
+
+def _with_sizes(rows: DataFrame, starts: DataFrame, column: str) -> DataFrame:
+    """``rows`` with the distinct lengths of a column of ``starts``: one small
+    array (k lengths take k * k / 2 characters of rules), sent to all tasks."""
+    sizes = starts.agg(F.sort_array(F.collect_set(F.char_length(column))).alias("_sizes"))
+    return rows.join(F.broadcast(sizes.withColumn("_one", F.lit(1))), F.lit(1) == F.col("_one")).drop("_one")
+
+
+def check_imports_by(imports: DataFrame, rules: DataFrame) -> DataFrame:
+    """As ``check_imports``, with the rules as a table (of ``schemas.RULES``)
+    of any size.
+
+    No import meets all rules.  A glob only fits what begins as it does up to
+    its first special character.  So source files meet the distinct globs by
+    equal beginnings, and are then tried by expression; (glob, module) meets
+    the rules with that glob by equal beginnings of what they forbid.  The
+    first rule of each import counts.  Distinct imports are judged once.
+
+    Rules of one glob and beginning are few beside the imports; the adaptive
+    plan splits an import that very many files have.
+    """
+    clean = rules.select("rule_ord", "name", "from_glob", "forbid", "message").withColumns({"from_regex": _regex("from_glob"), "to_regex": _regex("forbid")})
+    clean = clean.filter("from_regex is not null and to_regex is not null")
+    globs = clean.select("from_glob", "from_regex").distinct().withColumn("begin", _literal(F.col("from_glob")))
+    pairs = imports.select("source_file", "imported_module").filter("source_file is not null and imported_module is not null").distinct()
+
+    files = _with_sizes(pairs.select("source_file").distinct(), globs, "begin")
+    files = files.select("source_file", F.explode(_prefixes(F.col("source_file"), F.col("_sizes"))).alias("begin"))
+    fits = files.join(globs, "begin").filter(F.expr("source_file rlike from_regex")).select("source_file", "from_glob")
+
+    # By the plain beginning without /**, or by the expression.
+    plain = clean.select("rule_ord", "name", "message", "from_glob", F.regexp_replace("forbid", r"(/\*\*)+$", "").alias("to"), F.lit(None).cast("string").alias("to_regex"))
+    special = clean.filter(F.col("forbid").rlike(r"[*?\[]")).select("rule_ord", "name", "message", "from_glob", _literal(F.col("forbid")).alias("to"), "to_regex")
+    forbidden = plain.unionByName(special)
+    met = _with_sizes(pairs.join(fits, "source_file"), forbidden, "to")
+    met = met.select("source_file", "imported_module", "from_glob", F.explode(_prefixes(F.col("imported_module"), F.col("_sizes"))).alias("to"))
+    broken = met.join(forbidden, ["from_glob", "to"]).filter(F.expr("to_regex is null or imported_module rlike to_regex"))
+    first = broken.groupBy("source_file", "imported_module").agg(F.min(F.struct("rule_ord", "name", "message")).alias("_v"))
+    return imports.join(first, ["source_file", "imported_module"]).select(*imports.columns, F.col("_v")["name"].alias("rule_name"), F.col("_v")["message"].alias("message"))
+
+
 def supported(path: Column) -> Column:
     return extension(path).isin(SUPPORTED_EXTENSIONS)
 

@@ -304,38 +304,3 @@ def slices_of_failures(files: DataFrame, failures: DataFrame, multi_rubric: bool
 def tier(name: str) -> bool:
     """Whether a tier's name asks for stripped contracts."""
     return "multi" in name or "lamr" in name
-
-
-def browser_slice(code: str, symbol: str, python: bool = False, tier_name: str = "standard") -> dict:
-    """The block around the first line with the symbol, by brace depth (Python:
-    each colon opens one), 35 lines if it doesn't close, the middle third's 25
-    lines if there is no such line; and the contracts outside of it."""
-    rows = code.split("\n")
-    start = next((k for k, r in enumerate(rows) if symbol and symbol in r), -1)
-    if start < 0:
-        start = len(rows) // 3
-        end = min(len(rows), start + 25)
-    else:
-        end, depth, opened = min(len(rows), start + 35), 0, False
-        for k in range(start, len(rows)):
-            for c in rows[k]:
-                if c == "{" or (python and c == ":"):
-                    depth, opened = depth + 1, True
-                elif c == "}":
-                    depth -= 1
-            if opened and depth <= 0 and k > start:
-                end = k + 1
-                break
-    heads = ("export interface ", "interface ", "export type ", "type ", "@dataclass", "pub struct ", "struct ", "pub enum ", "enum ")
-    hoisted = []
-    for k, r in enumerate(rows):
-        if not start <= k < end and r.strip().startswith(heads):
-            block, depth, j = [r], r.count("{") - r.count("}"), k + 1
-            while j < len(rows) and (depth > 0 or (python and rows[j].startswith("    "))):
-                block.append(rows[j])
-                depth += rows[j].count("{") - rows[j].count("}")
-                j += 1
-            hoisted.append("\n".join(block))
-    if tier_name == "multi-rubric":
-        hoisted = [strip_comments(h) for h in hoisted]
-    return {"start": start + 1, "end": end, "contracts": hoisted[:3], "hoisted": len(hoisted), "body": "\n".join(rows[start:end]), "pruned": max(0, len(rows) - (end - start))}

@@ -87,3 +87,73 @@ def lexical_slices(files: DataFrame, symbol: Column) -> DataFrame:
 
 def hashed(files: DataFrame) -> DataFrame:
     return files.select("file_path", content_hash(F.col("content")).alias("hash"))
+
+
+# What a declaration that others depend on starts with, the lines
+# of a block that doesn't close, and those shown without the symbol.
+CONTRACT_HEADS = ["export interface ", "interface ", "export type ", "type ", "@dataclass", "pub struct ", "struct ", "pub enum ", "enum "]
+OPEN_BLOCK_LINES, MIDDLE_LINES, MOST_CONTRACTS = 35, 25, 3
+
+
+def _count(line: Column, text: str) -> Column:
+    return F.char_length(line) - F.char_length(F.replace(line, F.lit(text), F.lit("")))
+
+
+def block_slices(files: DataFrame, symbol: Column) -> DataFrame:
+    """For each of ``files`` (file_path, content) the block at the first line
+    that holds its symbol, and what is declared outside of it.
+
+    The block ends with the first later line at which the depth of braces is
+    back at 0 (in Python files a colon opens one, too).  Without such a line it
+    has 35 lines; without a line that holds the symbol the 25 lines after the
+    first third of the file are shown.  (first_line, last_line, lines, pruned:
+    the number of other lines, hoisted: the number of contracts, contracts: the
+    first three.)  A contract begins outside the block and ends where its own
+    depth is back at 0, in Python files with the last line that is indented.
+    All of it is expressions over the file's lines; nothing is shuffled.
+    """
+    python = F.col("_python")
+    opens = lambda line: _count(line, "{") + F.when(python, _count(line, ":")).otherwise(0)
+    braces = lambda line: _count(line, "{") - _count(line, "}")
+    texts = files.withColumns({"_symbol": symbol, "_lines": F.split("content", "\n", -1), "_python": language_of(F.col("file_path")) == "Python"}).withColumn("_python", F.coalesce("_python", F.lit(False)))
+    n = F.size("_lines")
+    hit = F.when(F.col("_symbol") != "", F.array_position(F.transform("_lines", lambda line: F.contains(line, F.col("_symbol"))), True).cast("int"))
+    texts = texts.withColumns({"_n": n, "_hit": F.coalesce(hit, F.lit(0))})
+
+    start = F.struct(F.lit(0).alias("seen"), F.lit(0).alias("depth"), F.lit(False).alias("opened"), F.lit(0).alias("size"))
+
+    def step(s: Column, line: Column) -> Column:
+        seen, depth, opened = s["seen"] + 1, s["depth"] + opens(line) - _count(line, "}"), s["opened"] | (opens(line) > 0)
+        size = F.when(s["size"] > 0, s["size"]).when(opened & (depth <= 0) & (seen > 1), seen).otherwise(0)
+        return F.struct(seen.alias("seen"), depth.alias("depth"), opened.alias("opened"), size.alias("size"))
+
+    closed = F.aggregate(F.slice("_lines", F.greatest("_hit", F.lit(1)), F.col("_n")), start, step, lambda s: s["size"])
+    texts = texts.withColumn("_size", closed)
+    third = F.floor(F.col("_n") / 3).cast("int")
+    first = F.when(F.col("_hit") > 0, F.col("_hit")).otherwise(third + 1)
+    last = F.when(F.col("_hit") == 0, F.least("_n", third + MIDDLE_LINES)).when(F.col("_size") > 0, F.col("_hit") + F.col("_size") - 1).otherwise(F.least("_n", F.col("_hit") - 1 + OPEN_BLOCK_LINES))
+    texts = texts.withColumns({"first_line": first, "last_line": last})
+
+    is_head = lambda line: _any_start(trim(line), CONTRACT_HEADS)
+    heads = F.filter(F.sequence(F.lit(1), F.col("_n")), lambda k: ((k < F.col("first_line")) | (k > F.col("last_line"))) & is_head(F.get("_lines", k - 1)))
+    texts = texts.withColumn("_heads", heads)
+
+    def contract(k: Column) -> Column:
+        begin = F.struct(F.lit(0).alias("size"), F.lit(0).alias("depth"), F.lit(True).alias("inside"))
+
+        def more(s: Column, line: Column) -> Column:
+            on = s["inside"] & ((s["size"] == 0) | (s["depth"] > 0) | (python & F.startswith(line, F.lit("    "))))
+            return F.struct((s["size"] + on.cast("int")).alias("size"), (s["depth"] + F.when(on, braces(line)).otherwise(0)).alias("depth"), on.alias("inside"))
+
+        size = F.aggregate(F.slice("_lines", k, F.col("_n")), begin, more, lambda s: s["size"])
+        return F.array_join(F.slice("_lines", k, size), "\n")
+
+    shown = F.col("last_line") - F.col("first_line") + 1
+    return texts.select("file_path", F.col("_symbol").alias("target_symbol"), "first_line", "last_line", F.slice("_lines", F.col("first_line"), shown).alias("lines"), F.greatest(F.col("_n") - shown, F.lit(0)).alias("pruned"), F.size("_heads").alias("hoisted"), F.transform(F.slice("_heads", 1, MOST_CONTRACTS), contract).alias("contracts"))
+
+
+def _any_start(line: Column, starts: list[str]) -> Column:
+    out = F.lit(False)
+    for x in starts:
+        out = out | F.startswith(line, F.lit(x))
+    return out

@@ -1,6 +1,7 @@
 """Operators on small tables with known outcomes."""
 
 import json
+import random
 import os
 
 import pytest
@@ -289,10 +290,21 @@ def test_comments_are_stripped():
     assert slicer.tier("multi-rubric") and slicer.tier("lamr") and not slicer.tier("standard")
 
 
-def test_browser_slice():
+def test_block_slices(spark):
     code = "interface User { id: string }\nfunction a() {\n  return 1;\n}\nfunction b() {\n  return 2;\n}\n"
-    got = slicer.browser_slice(code, "a(")
-    assert (got["start"], got["end"], got["hoisted"]) == (2, 4, 1)
+    contract = "export type T = {\n  a: { b: 1 }\n}\n"
+    python = "@dataclass\nclass P:\n    x: int\n    y: int\n\ndef go(a):\n    if a:\n        return {}\n"
+    rows = [("a.ts", code, "a("), ("b.ts", contract + code + contract, "b("), ("c.ts", code, "zzz"), ("d.ts", "x(\n" * 60, "x("), ("e.py", python, "go("), ("f.ts", "", "a"), ("g.ts", code, ""), ("h.ts", "one(); {}\n{\n}\n}", "one")]
+    files = spark.createDataFrame(rows, "file_path string, content string, s string")
+    got = {r.file_path: r for r in symbols.block_slices(files, F.col("s")).collect()}
+    where = {k: (r.first_line, r.last_line, r.hoisted, r.pruned) for k, r in got.items()}
+    assert where["a.ts"] == (2, 4, 1, 5) and got["a.ts"].contracts == ["interface User { id: string }"] and got["a.ts"].lines[1] == "  return 1;"
+    assert where["b.ts"][:3] == (8, 10, 3) and got["b.ts"].contracts[0] == contract.rstrip()
+    assert where["c.ts"][:2] == (3, 8) and where["d.ts"][:2] == (1, 35) and where["f.ts"] == (1, 1, 0, 0) and where["g.ts"] == where["c.ts"]
+    # In Python colons open and nothing closes them.
+    assert where["e.py"][:3] == (6, 9, 1) and got["e.py"].contracts == ["@dataclass"]
+    # A line that closes what it opens is no end by itself.
+    assert where["h.ts"][:2] == (1, 3)
 
 
 def test_line_symbols_and_nodes(spark):
@@ -553,3 +565,42 @@ def test_stored_nodes(spark):
     stored = index.payloads(nodes)
     broken = stored.unionByName(stored.limit(1).withColumn("payload", F.lit("{"))).unionByName(stored.limit(1).withColumn("payload", F.lit(None).cast("string")))
     assert sorted((r.id, r.symbol_name, r.start_line) for r in index.from_payloads(broken).collect()) == [("1", "f", 3), ("2", 'q"é', 4)]
+
+
+def test_rules_as_a_table_equal_rules_in_the_plan(spark):
+    rng = random.Random(8)
+    parts = ["src", "ui", "db", "app", "*", "**", "a?", "[sd]*", "[!s]x", "c.ts", "a**b", ""]
+    glob = lambda: "/".join(rng.choice(parts) for _ in range(rng.randrange(1, 4)))
+    rules = [(f"rule {k}", glob(), [glob() for _ in range(rng.randrange(1, 4))], f"message {k % 5}") for k in range(120)]
+    path = lambda: "/".join(rng.choice(["src", "ui", "db", "app", "ab", "sx", "c.ts", "d"]) for _ in range(rng.randrange(1, 5)))
+    rows = [(k, path(), path()) for k in range(400)] + [(900, None, "src"), (901, "src", None), (902, "", ""), (903, "src/ui", "*"), (903, "src/ui", "*")]
+    imports = spark.createDataFrame(rows, "n int, source_file string, imported_module string")
+    table = spark.createDataFrame(guard.boundaries(rules), schemas.RULES).repartition(3)
+    same = lambda frame: sorted((tuple(r) for r in frame.collect()), key=repr)
+    want = same(guard.check_imports(imports, rules))
+    assert same(guard.check_imports_by(imports, table)) == want and len({r[3] for r in want}) > 10
+    assert guard.check_imports_by(imports, table.limit(0)).count() == guard.check_imports_by(imports.limit(0), table).count() == 0
+
+
+def plain_reach(edges, seeds, hops):
+    out = {}
+    for seed in seeds:
+        front = {seed}
+        for depth in range(1, hops + 1):
+            front = {b for a, b, kind in edges if a in front and kind in graph.IMPACT_TYPES}
+            for x in front:
+                out.setdefault((seed, x), depth)
+    return sorted((a, b, d) for (a, b), d in out.items())
+
+
+def test_blast_radius_of_many_seeds_and_a_hub(spark):
+    rng = random.Random(9)
+    edges = [(f"n{rng.randrange(40)}", f"n{rng.randrange(40)}", rng.choice(["CALLS", "IMPORTS", "INHERITS"])) for _ in range(60)]
+    edges += [("hub", f"n{k}", "CALLS") for k in range(40)] + [("n1", "hub", "IMPORTS"), ("hub", "hub", "CALLS")] * 2
+    seeds = [f"n{k}" for k in range(40)] + ["hub", "none"] + [f"lonely{k}" for k in range(100)]
+    frame = spark.createDataFrame(edges, "source_id string, target_id string, edge_type string")
+    asked = spark.createDataFrame([(x,) for x in [*seeds, "hub"]], "id string").repartition(3)
+    for hops in (1, 2, 4):
+        got = sorted(tuple(r) for r in graph.blast_radius(frame, asked, hops, hub_edges=7).collect())
+        assert got == plain_reach(edges, seeds, hops)
+    assert graph.blast_radius(frame.limit(0), asked, 3).count() == 0
