@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import api, schemas
 from ..functions import text as X
 from ..functions.bpe import count_tokens_bpe
-from ..operators import graph, guard, index, outbox, proof, render, slicer, telemetry
+from ..operators import graph, guard, index, outbox, proof, render, slicer, symbols, telemetry
 from ..session import scratch_folder
 from ..sources import scans
 from ..sources import tables as V
@@ -482,6 +482,68 @@ def _(s, d):
     return store.table.read().select("idempotency_key", "status", "retry_count", "next_try_at", "processed_at")
 
 
+# ---------------------------------------------------------------- rule tables, reach, blocks
+
+_FORBIDDEN = ["/the**", "/ein", "/d?e*", "/ci[oó]*", "/men/**", "/in*", "/[!a-m]*", "/que"]
+_FORBIDDEN_SQL = ["null", "'^/ein$'", "'^/d.e.*$'", "'^/ci[oó].*$'", "'^/men/.*$'", "'^/in.*$'", "'^/[^a-m].*$'", "'^/que$'"]
+
+
+@query("guard_by_rule_table", sql("imports", f"""+r as (
+  select c_custkey k, [{", ".join(_FORBIDDEN_SQL)}][c_custkey % 8 + 1] to_rx, [{", ".join("'" + x.removesuffix("/**") + "'" for x in _FORBIDDEN)}][c_custkey % 8 + 1] pre,
+    case c_custkey % 4 when 0 then '^en/' || (c_custkey % 10) || '.*$' when 1 then '^fr/.*$' when 2 then '^.*/' || (c_custkey % 300) || '$' else '^de/.' || (c_custkey % 10) || '$' end from_rx
+  from customer
+), fits as (select source_file, from_rx from (select distinct source_file from imports), (select distinct from_rx from r) where regexp_matches(source_file, from_rx)),
+bad as (select imported_module, to_rx from (select distinct imported_module from imports), (select distinct to_rx, pre from r) where to_rx is not null and (regexp_matches(imported_module, to_rx) or starts_with(imported_module, pre))),
+v as (select page_id, import_ord, min(k) k from imports join fits using (source_file) join bad using (imported_module) join r on r.from_rx = fits.from_rx and r.to_rx = bad.to_rx group by 1, 2)
+select page_id, import_ord, 'rule ' || k rule_name, 'message ' || (k % 7) message from v"""))
+def _(s, d):
+    """Imports against a rule for each customer."""
+    k = F.col("c_custkey")
+    of = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    origin = F.when(k % 4 == 0, of("en/", k % 10, "*")).when(k % 4 == 1, "fr/**").when(k % 4 == 2, of("*/", k % 300)).otherwise(of("de/?", k % 10))
+    rules = V.read(s, d, "customer").select(k.cast("int").alias("rule_ord"), of("rule ", k).alias("name"), origin.alias("from_glob"), F.lit(0).alias("forbid_ord"), F.get(F.array(*[F.lit(x) for x in _FORBIDDEN]), (k % 8).cast("int")).alias("forbid"), of("message ", k % 7).alias("message"))
+    return guard.check_imports_by(V.imports(s, d), rules).select("page_id", "import_ord", "rule_name", "message")
+
+
+@query("blast_radius_4hop", sql("graph_edges", """+step as (select target_id a, source_id b from graph_edges where edge_type in ('CALLS', 'MUTATES_SCHEMA', 'IMPORTS')),
+walk(seed, id, depth) as (select a, b, 1 from step where starts_with(a, 'nation/') or starts_with(a, 'region/') union all select w.seed, s.b, w.depth + 1 from walk w join step s on s.a = w.id where w.depth < 4)
+select seed, id, cast(min(depth) as integer) depth from walk group by 1, 2"""))
+def _(s, d):
+    """All that depends on a nation or region, by way of hubs."""
+    edges = V.graph_edges(s, d).select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"), "edge_type")
+    seeds = V.graph_nodes(s, d).select("id").filter("id like 'nation/%' or id like 'region/%'")
+    return graph.blast_radius(edges, seeds, 4, hub_edges=1000)
+
+
+_HEAD, _BLOCK, _OPEN = "interface Item {\n  id: string;\n}\n", "\nfunction go() {\n  if (x) {\n    return 1;\n  }\n}\n", "\nfunction go() {\n  never(\n"
+_SQL_TEXT = lambda x: "'" + x.replace("\n", "' || chr(10) || '") + "'"
+
+
+@query("block_slices", sql("source_files", f"""+f as (
+  select file_path, ends_with(file_path, '.py') py, string_split({_SQL_TEXT(_HEAD)} || content || case doc_id % 4 when 0 then '' when 1 then {_SQL_TEXT(_OPEN)} else {_SQL_TEXT(_BLOCK)} end || content, chr(10)) ls from source_files
+), l as (select file_path, py, len(ls) n, unnest(range(1, len(ls) + 1)) k, unnest(ls) as line from f),
+c as (select *, length(line) - length(replace(line, '{{', '')) o, length(line) - length(replace(line, '}}', '')) z, length(line) - length(replace(line, ':', '')) dots, min(k) filter (where contains(line, 'function go(')) over (partition by file_path) hit from l),
+w as (select *, sum(o + case when py then dots else 0 end - z) over w depth, max(case when o > 0 or (py and dots > 0) then 1 else 0 end) over w opened from c where k >= hit window w as (partition by file_path order by k rows unbounded preceding)),
+e as (select file_path, min(k) close from w where k > hit and opened = 1 and depth <= 0 group by 1),
+b as (select distinct c.file_path, n, coalesce(hit, n // 3 + 1) first_line, case when hit is null then least(n, n // 3 + 25) when close is not null then close else least(n, hit - 1 + 35) end last_line from c left join e on e.file_path = c.file_path),
+h as (select c.file_path, k, py, row_number() over (partition by c.file_path order by k) i from c join b on b.file_path = c.file_path where (k < first_line or k > last_line) and regexp_matches(ltrim(line), '^(export interface |interface |export type |type |@dataclass|pub struct |struct |pub enum |enum )')),
+x as (select h.file_path, h.k begin_line, c.k, line, coalesce(sum(o - z) over (partition by h.file_path, h.k order by c.k rows between unbounded preceding and 1 preceding), 0) before, c.py from h join c on c.file_path = h.file_path and c.k >= h.k where i <= 3),
+y as (select file_path, begin_line, coalesce(min(k) filter (where k > begin_line and before <= 0 and not (py and starts_with(line, '    '))), 1000000000) stop from x group by 1, 2),
+t as (select x.file_path, x.begin_line, string_agg(line, chr(10) order by k) contract from x join y on y.file_path = x.file_path and y.begin_line = x.begin_line where k < stop group by 1, 2),
+a as (select file_path, string_agg(contract, '|' order by begin_line) contracts from t group by 1)
+select b.file_path, cast(first_line as integer) first_line, cast(last_line as integer) last_line, cast(greatest(n - (last_line - first_line + 1), 0) as integer) pruned,
+  cast((select count(*) from h where h.file_path = b.file_path) as integer) hoisted, sha256((select string_agg(line, chr(10) order by k) from l where l.file_path = b.file_path and k between first_line and last_line)) body, sha256(coalesce(a.contracts, '')) contracts
+from b left join a on a.file_path = b.file_path"""))
+def _(s, d):
+    """Blocks of a function put between two copies of each document: closed,
+    open, or not there."""
+    k, body = F.col("doc_id") % 4, F.col("content")
+    text = F.concat(F.lit(_HEAD), body, F.when(k == 0, "").when(k == 1, _OPEN).otherwise(_BLOCK), body)
+    files = V.source_files(s, d).select("file_path", text.alias("content"))
+    got = symbols.block_slices(files, F.lit("function go("))
+    return got.select("file_path", "first_line", "last_line", "pruned", "hoisted", F.sha2(F.array_join("lines", "\n"), 256).alias("body"), F.sha2(F.array_join("contracts", "|"), 256).alias("contracts"))
+
+
 # ---------------------------------------------------------------- tools
 
 _LINES = [
