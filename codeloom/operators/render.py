@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import progress_bar
-from . import search, telemetry
+from . import guard, search, telemetry
+from .ordered import numbered, write_parts
 
 # Code fences by language.
 FENCES = {"TypeScript": "typescript", "JavaScript": "javascript", "Python": "python", "Go": "go", "Rust": "rust"}
@@ -49,6 +50,30 @@ def guard_document(violations: DataFrame, workspace: str, active_rules: int) ->
     return listed.select(F.to_json(F.struct(status.alias("status"), F.lit(workspace).alias("workspace"), F.lit(active_rules).alias("active_rules"), F.col("n").alias("violations_count"), F.col("v").alias("violations"))).alias("document"))
 
 
+_REPORTED = ["source_file", "imported_module", "rule_name", "message"]
+
+
+def guard_document_rows(violations: DataFrame, workspace: str, active_rules: int) -> DataFrame:
+    """(row_no, text): the document about any number of violations, whose rows
+    put together in order are one JSON text.  Row 0 opens it and the last row
+    closes it; each violation is a row, and no task has more than its share."""
+    rows = numbered(violations.select(*_REPORTED), [F.col(c).asc_nulls_first() for c in _REPORTED])
+    status = F.when(F.col("n") == 0, "clean").otherwise("violations")
+    facts = F.to_json(F.struct(status.alias("status"), F.lit(workspace).alias("workspace"), F.lit(active_rules).alias("active_rules"), F.col("n").alias("violations_count")))
+    n = rows.agg(F.count(F.lit(1)).alias("n"))
+    ends = n.select(F.explode(F.array(F.struct(F.lit(0).cast("long").alias("row_no"), F.concat(F.regexp_replace(facts, r"\}$", ""), F.lit(',"violations":[')).alias("text")), F.struct((F.col("n") + 1).alias("row_no"), F.lit("]}").alias("text")))).alias("e")).select("e.*")
+    each = F.concat(F.when(F.col("row_no") > 0, ",").otherwise(""), F.to_json(F.struct(*_REPORTED)))
+    return ends.unionByName(rows.select((F.col("row_no") + 1).alias("row_no"), each.alias("text")))
+
+
+def write_guard_report(violations: DataFrame, path: str, total_files: int) -> dict:
+    """A Markdown report about any number of violations as numbered files."""
+    n = violations.count()
+    head = f"## Import check: {f'{n} import(s) cross a layer' if n else 'no import crosses a layer'}\n\n{total_files} file(s).\n"
+    table = "\n| Rule | File | Import | Why not |\n|---|---|---|---|\n" if n else ""
+    return write_parts(guard.markdown_rows(violations), [F.col(c).asc_nulls_first() for c in _REPORTED], F.col("row"), path, head + table)
+
+
 def dashboard(events: DataFrame, symbols: DataFrame, now_ms: int) -> dict[str, DataFrame]:
     """What a dashboard shows, by the name of its document."""
     hits = symbols.orderBy("id").limit(60)

@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -183,3 +184,60 @@ def named_in(questions: DataFrame, names: list[str]) -> DataFrame:
     """The first of the names that a question mentions, else the first."""
     hit = F.filter(F.array(*[F.lit(n) for n in names]), lambda n: F.contains(F.lower("question"), F.lower(n)))
     return questions.withColumn("symbol", F.coalesce(F.get(hit, F.lit(0)), F.lit(names[0])))
+
+
+#: Characters of the grams by which texts that hold others are found.
+GRAM = 3
+
+
+#: Portions of the words that one text may hold: each takes the text along.
+PORTIONS = 16
+
+
+def _word_grams(word: Column) -> Column:
+    """The distinct grams of a word; a shorter one is its own."""
+    each = F.transform(F.sequence(F.lit(1), F.char_length(word) - (GRAM - 1)), lambda i: F.substring(word, i, F.lit(GRAM)))
+    return F.when(F.char_length(word) < GRAM, F.array(word)).otherwise(F.array_distinct(each))
+
+
+def _text_grams(batches):
+    """(key, gram): the distinct grams of each text, and its shorter ones."""
+    for batch in batches:
+        for key, text in zip(batch["key"].to_pylist(), batch["text"].to_pylist(), strict=True):
+            grams = list({text[i : i + n] for n in range(1, GRAM + 1) for i in range(len(text) - n + 1)})
+            yield pa.RecordBatch.from_arrays([pa.array([key] * len(grams), pa.string()), pa.array(grams, pa.string())], names=["key", "gram"])
+
+
+def holding(texts: DataFrame, words: DataFrame) -> DataFrame:
+    """(key, word): which of the distinct ``words`` (word) each of the distinct
+    ``texts`` (key, text) holds.  A blank word or text is passed over.
+
+    A text that holds a word holds each gram of it.  So a word waits under the
+    one of its grams that the fewest words have, texts come by with all their
+    grams, and what meets is tried.  Texts themselves move once for a portion of
+    the words that they may hold.
+    """
+    words = words.select("word").filter("word is not null and word <> ''").distinct()
+    each = words.select("word", F.explode(_word_grams(F.col("word"))).alias("gram"))
+    often = each.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = each.join(often, "gram").groupBy("word").agg(F.min(F.struct("n", "gram")).alias("r")).select("word", F.col("r")["gram"].alias("gram"))
+    texts = texts.select("key", "text").filter("text is not null and text <> ''")
+    met = texts.mapInArrow(_text_grams, "key string, gram string").join(rarest, "gram").select("key", "word")
+    tried = met.groupBy("key", F.pmod(F.xxhash64("word"), F.lit(PORTIONS)).alias("_portion")).agg(F.collect_list("word").alias("_words"))
+    return texts.join(tried, "key").select("key", F.explode(F.filter("_words", lambda w: F.contains(F.col("text"), w))).alias("word"))
+
+
+def first_named(questions: DataFrame, names: DataFrame) -> DataFrame:
+    """``questions`` (question, ...) with symbol: of the ``names`` (ord, name),
+    a table of any size, the first that the question holds in any case, else
+    the first of all.  A blank name is held by every question that isn't null."""
+    low = names.filter("name is not null").select("ord", "name", F.lower("name").alias("word"))
+    first = low.groupBy("word").agg(F.min(F.struct("ord", "name")).alias("first"))
+    low_question = F.lower("question")
+    asked = questions.select(F.sha2(low_question, 256).alias("key"), low_question.alias("text")).distinct()
+    found = holding(asked, first).join(first, "word").groupBy("key").agg(F.min("first").alias("_found"))
+    # One row: the first name, and the first blank one.
+    ends = low.agg(F.min(F.struct("ord", "name")).alias("_first"), F.min(F.when(F.col("word") == "", F.struct("ord", "name"))).alias("_blank"))
+    both = questions.join(found, F.sha2(low_question, 256) == F.col("key"), "left").withColumn("_one", F.lit(1)).join(F.broadcast(ends.withColumn("_one", F.lit(1))), "_one")
+    blank = F.when(low_question.isNotNull(), F.col("_blank"))
+    return both.select(*questions.columns, F.coalesce(F.least("_found", blank), F.col("_first"))["name"].alias("symbol"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import round_half_away, usd
 from ..sources.tables import DAY_MS
+from .ordered import numbered, write_parts
 
 
 class TimeWindow(Enum):
@@ -49,6 +50,11 @@ def summary(events: DataFrame, window: TimeWindow = TimeWindow.LIFETIME, now_ms:
         _count((kind == "guard_check") & (F.col("status") == "violation")).alias("boundary_violations_caught"),
         _count(kind == "sandbox_run").alias("sandboxed_runs"),
     )
+    return with_rates(sums)
+
+
+def with_rates(sums: DataFrame) -> DataFrame:
+    """Totals with the ratio of the sums and what was saved."""
     ratio = F.when(F.col("total_raw_tokens") > 0, F.lit(1.0) - F.try_divide(F.col("total_sliced_tokens").cast("double"), F.col("total_raw_tokens").cast("double"))).otherwise(0.0)
     return sums.select("*", ratio.alias("compression_ratio"), usd(F.col("total_tokens_saved")).alias("estimated_usd_saved"))
 
@@ -141,16 +147,40 @@ def _exported(events: DataFrame, limit: int | None) -> DataFrame:
     return events if limit is None else recent(events, limit)
 
 
-def csv_lines(events: DataFrame, limit: int | None = EXPORT_LIMIT) -> DataFrame:
-    """CSV lines of the newest events (all, if there is no limit): text in
-    quotes (its quotes doubled), null as empty text."""
+def _csv_line() -> Column:
+    """Text in quotes (its quotes doubled), null as empty text."""
     field = lambda c: F.col(c).cast("string") if c in _PLAIN else F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
-    return _exported(events, limit).select("id", F.concat_ws(",", *[field(c) for c in CSV_COLUMNS]).alias("line"))
+    return F.concat_ws(",", *[field(c) for c in CSV_COLUMNS])
+
+
+def _json_line() -> Column:
+    return F.to_json(F.struct(*CSV_COLUMNS, "extra_json"), {"ignoreNullFields": "false"})
+
+
+def csv_lines(events: DataFrame, limit: int | None = EXPORT_LIMIT) -> DataFrame:
+    """CSV lines of the newest events (all, if there is no limit)."""
+    return _exported(events, limit).select("id", _csv_line().alias("line"))
 
 
 def json_lines(events: DataFrame, limit: int | None = EXPORT_LIMIT) -> DataFrame:
-    columns = [*CSV_COLUMNS, "extra_json"]
-    return _exported(events, limit).select("id", F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("line"))
+    return _exported(events, limit).select("id", _json_line().alias("line"))
+
+
+def newest_first() -> list[Column]:
+    return [F.desc("timestamp"), F.desc("id")]
+
+
+def numbered_lines(events: DataFrame, form: str = "csv") -> DataFrame:
+    """(row_no, id, line) of all events, numbered from the newest on."""
+    rows = numbered(events, newest_first())
+    return rows.select("row_no", "id", (_csv_line() if form == "csv" else _json_line()).alias("line"))
+
+
+def export_parts(events: DataFrame, path: str, form: str = "csv", limit: int | None = None) -> dict:
+    """Any number of events, the newest first, in numbered files with a
+    manifest; the header of CSV is there once."""
+    head = ",".join(CSV_COLUMNS) + "\n" if form == "csv" else ""
+    return write_parts(_exported(events, limit), newest_first(), _csv_line() if form == "csv" else _json_line(), path, head)
 
 
 def event_rows(events: DataFrame, limit: int) -> DataFrame:

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import api, schemas
 from ..functions import text as X
 from ..functions.bpe import count_tokens_bpe
-from ..operators import graph, guard, index, outbox, proof, render, slicer, symbols, telemetry
+from ..operators import graph, guard, index, outbox, proof, render, search, slicer, symbols, telemetry
 from ..session import scratch_folder
 from ..sources import scans
 from ..sources import tables as V
 from ..sources.tables import NOW_MS
 from ..streaming.feed import GraphFeed
 from ..streaming.outbox import OutboxStore
+from ..streaming.rollup import DaySums
 from ..streaming.tables import VersionedTable
 from .queries import RULES, _violations, _VIOLATIONS, query
 from .views_sql import sql
@@ -92,6 +94,46 @@ def _(s, d):
     return telemetry.csv_lines(V.telemetry(s, d), limit=None).select("id")
 
 
+@query("export_numbered", sql("telemetry", """select row_number() over (order by "timestamp" desc, id desc) - 1 row_no, id from telemetry"""))
+def _(s, d):
+    """All events in the order of an export, as its files have them."""
+    path = scratch_folder(s, "export")
+    written = telemetry.export_parts(V.telemetry(s, d), path)
+    lines = s.read.text(f"{path}/parts").select("value", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("at"))
+    begins = s.createDataFrame([(f["file"], f["first_row"]) for f in written["files"]], "file string, first_row long")
+    in_file = F.row_number().over(Window.partitionBy("file").orderBy("at")) - 1
+    return lines.withColumn("n", in_file).join(F.broadcast(begins), "file").select((F.col("first_row") + F.col("n")).alias("row_no"), F.substring_index("value", ",", 1).alias("id"))
+
+
+_SUMMARY = """select count(*) total_events, count(*) filter (where event_type = 'slice') total_slices, cast(coalesce(sum(raw_tokens), 0) as bigint) total_raw_tokens, cast(coalesce(sum(sliced_tokens), 0) as bigint) total_sliced_tokens,
+  cast(coalesce(sum(tokens_saved), 0) as bigint) total_tokens_saved, round(coalesce(avg(latency_us), 0), 6) avg_latency_us from telemetry where "timestamp" >= {start}"""
+
+
+def _kept_sums(s, d) -> DaySums:
+    """Day sums after five appends, one of them run twice."""
+    sums, events = DaySums(s, scratch_folder(s, "day-sums")), V.telemetry(s, d)
+    for batch in (0, 1, 1, 2, 3, 4):
+        sums.add(events.filter(F.pmod(F.xxhash64("id"), F.lit(5)) == batch), batch)
+    return sums
+
+
+_WINDOWS = " union all ".join(f"select {k} as window_days, * from ({_SUMMARY.format(start=max(NOW_MS - k * 86_400_000, 0) if k else 0)})" for k in (0, 1, 7, 30))
+
+
+@query("rollup_summary", sql("telemetry", _WINDOWS))
+def _(s, d):
+    """Totals of all windows from the day sums."""
+    sums, events = _kept_sums(s, d), V.telemetry(s, d)
+    shown = ["total_events", "total_slices", "total_raw_tokens", "total_sliced_tokens", "total_tokens_saved", F.round("avg_latency_us", 6).alias("avg_latency_us")]
+    parts = [sums.summary(events, w, NOW_MS).select(F.lit(w.value).alias("window_days"), *shown) for w in (telemetry.TimeWindow.LIFETIME, telemetry.TimeWindow.LAST_24H, telemetry.TimeWindow.LAST_7D, telemetry.TimeWindow.LAST_30D)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@query("rollup_clients", sql("telemetry", """select client_id, count(*) events_count, cast(sum(tokens_saved) as bigint) tokens_saved from telemetry group by 1"""))
+def _(s, d):
+    return _kept_sums(s, d).client_breakdown(V.telemetry(s, d)).select("client_id", "events_count", "tokens_saved")
+
+
 @query("update_checks", "select o_orderkey, (o_orderkey * 977) % 90000 < 43200 is_fresh from orders")
 def _(s, d):
     now = F.lit(1_700_000_000)
@@ -184,14 +226,13 @@ def _(s, d):
     return s.createDataFrame(guard.boundaries(guard.load_rules(text)), schemas.RULES)
 
 
-@query("guard_json", sql("imports", f"""+{_VIOLATIONS} select case when count(*) = 0 then 'clean' else 'violations' end status, '/w' workspace, 3 active_rules, count(*) violations_count,
-  sum(length(source_file) + length(imported_module) + length(rule_name) + length(message))::bigint text_size from v where page_id < 60"""))
+@query("guard_json", sql("imports", f"""+{_VIOLATIONS}, o as (select *, row_number() over (order by source_file, imported_module, rule_name, message) i from v), n as (select count(*) n from v)
+select 0::bigint row_no, '{{"status":"' || case when n = 0 then 'clean' else 'violations' end || '","workspace":"/w","active_rules":3,"violations_count":' || n || ',"violations":[' as "text" from n
+union all select i, case when i > 1 then ',' else '' end || to_json(struct_pack(source_file := source_file, imported_module := imported_module, rule_name := rule_name, message := message)) from o
+union all select n + 1, ']}}' from n"""))
 def _(s, d):
-    """The document about one change, read back."""
-    doc = render.guard_document(_violations(s, d).filter("page_id < 60"), "/w", len(RULES))
-    got = doc.select(F.from_json("document", "status string, workspace string, active_rules int, violations_count bigint, violations array<struct<source_file:string,imported_module:string,rule_name:string,message:string>>").alias("x")).select("x.*")
-    size = F.expr("aggregate(violations, 0L, (n, v) -> n + char_length(v.source_file) + char_length(v.imported_module) + char_length(v.rule_name) + char_length(v.message))")
-    return got.select("status", "workspace", "active_rules", "violations_count", size.alias("text_size"))
+    """The document about all violations, row by row."""
+    return render.guard_document_rows(_violations(s, d), "/w", len(RULES))
 
 
 @query("client_grid", "select c_custkey id, c_name as name, c_mktsegment category from customer where contains(lower(c_name), '11') or contains(lower(cast(c_custkey as varchar)), '11') or contains(lower(c_mktsegment), '11')")
@@ -482,6 +523,17 @@ def _(s, d):
     return store.table.read().select("idempotency_key", "status", "retry_count", "next_try_at", "processed_at")
 
 
+@query("chat_symbols_by_table", """with q as (select doc_id, lower(coalesce(text, '')) t from documents), n as (select c_custkey k, substr(text, 1 + c_custkey % 40, 3 + c_custkey % 6) name from customer join documents on doc_id = c_custkey % (select count(*) from documents)),
+m as (select doc_id, min(k) k from q join n on contains(t, lower(name)) group by 1), f as (select min(k) k from n where name is not null)
+select q.doc_id, n.name symbol from q left join m on m.doc_id = q.doc_id cross join f join n on n.k = coalesce(m.k, f.k)""")
+def _(s, d):
+    """The first of many names, taken out of the documents, that each holds."""
+    docs, c = V.read(s, d, "documents"), V.read(s, d, "customer")
+    n, k = docs.count(), F.col("c_custkey")
+    names = c.join(docs.select("doc_id", "text"), F.col("doc_id") == k % n).select(k.alias("ord"), F.substring(F.col("text"), (1 + k % 40).cast("int"), (3 + k % 6).cast("int")).alias("name"))
+    return search.first_named(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("question")), names).select("doc_id", "symbol")
+
+
 # ---------------------------------------------------------------- rule tables, reach, blocks
 
 _FORBIDDEN = ["/the**", "/ein", "/d?e*", "/ci[oó]*", "/men/**", "/in*", "/[!a-m]*", "/que"]
