@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import api, schemas
 from ..functions import text as X
 from ..functions.bpe import count_tokens_bpe
-from ..operators import graph, guard, index, outbox, proof, render, search, slicer, symbols, telemetry
+from ..operators import fuzzy, graph, guard, index, outbox, proof, render, search, slicer, symbols, telemetry
 from ..session import scratch_folder
 from ..sources import scans
 from ..sources import tables as V
@@ -534,6 +534,19 @@ def _(s, d):
     return search.first_named(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("question")), names).select("doc_id", "symbol")
 
 
+def _asked(s, d):
+    k, name = F.col("s_suppkey") % 7, F.col("p_name")
+    half = lambda n: F.split_part(name, F.lit(" "), F.lit(n))
+    text = F.when(k == 0, F.upper(name)).when(k == 1, F.substring(name, 2, 100)).when(k == 2, F.concat(half(2), F.lit(" "), half(1))).when(k == 3, F.replace(name, F.lit("e"), F.lit("a"))).when(k == 4, half(1)).when(k == 5, F.concat(F.lit("Brand#"), (F.col("s_suppkey") % 30).cast("string"))).otherwise(F.lower(F.substring("p_type", 1, 4)))
+    return V.read(s, d, "supplier").join(V.read(s, d, "part"), F.col("p_partkey") == F.col("s_suppkey")).select(F.lower(text).alias("query")).distinct()
+
+
+@query("symbol_search_join")
+def _(s, d):
+    """Names of parts, changed in seven ways, against all parts."""
+    return fuzzy.search_join(_asked(s, d), V.symbols(s, d)).select("query", "id", "score")
+
+
 # ---------------------------------------------------------------- rule tables, reach, blocks
 
 _FORBIDDEN = ["/the**", "/ein", "/d?e*", "/ci[oó]*", "/men/**", "/in*", "/[!a-m]*", "/que"]

@@ -56,6 +56,18 @@ def test_search_equals_pair_by_pair(spark, sf):
     assert got == want and len(set(want.values())) > 3
 
 
+def test_search_join_equals_pair_by_pair(spark, sf):
+    from codeloom.operators.search import match_score
+    from codeloom.plans.more_queries import _asked
+
+    got = {(r.query, r.id): r.score for r in QUERIES["symbol_search_join"](spark, sf).collect()}
+    parts, want = spark.read.parquet(f"{sf}/part.parquet").collect(), {}
+    for q in {r.query for r in _asked(spark, sf).collect()}:
+        scores = {x: match_score(q, *x) for x in {(p.p_name, p.p_brand, p.p_type) for p in parts}}
+        want |= {(q, p.p_partkey): s for p in parts if (s := scores[p.p_name, p.p_brand, p.p_type])}
+    assert got == want and len(set(want.values())) > 5
+
+
 def test_bpe_counts_are_the_librarys(spark, sf):
     import public_tokenizers
     from tokenizers import Tokenizer
