@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..schemas import RULES
 from ..functions.text import SUPPORTED_EXTENSIONS, extension, imported_module, lines, trim
 
 # The presets, as (name, from, cannot import, message).
@@ -254,3 +255,16 @@ def rules_file(name: str | None) -> str:
 
     listed = [{"name": n, "from": o, "cannot_import": f, "message": m} for n, o, f, m in preset(name)]
     return yaml.safe_dump({"version": "1", "preset": name or "clean-architecture", "boundaries": listed}, sort_keys=False, allow_unicode=True)
+
+
+def rules_of(configs: DataFrame) -> DataFrame:
+    """The rules of each repository (repo, then ``schemas.RULES``) from its YAML
+    text (repo, text); null is no text."""
+    schema = T.StructType([T.StructField("repo", T.StringType()), *T._parse_datatype_string(RULES).fields])
+
+    def read(batches):
+        for batch in batches:
+            rows = [(repo, *row) for repo, text in zip(batch["repo"], batch["text"], strict=True) for row in boundaries(load_rules(text))]
+            yield pd.DataFrame(rows, columns=schema.names)
+
+    return configs.select("repo", "text").mapInPandas(read, schema)

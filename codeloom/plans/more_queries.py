@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .. import api, schemas
+from .. import api
 from ..functions import text as X
 from ..functions.bpe import count_tokens_bpe
 from ..operators import fuzzy, graph, guard, index, outbox, proof, render, search, slicer, symbols, telemetry
@@ -17,7 +17,7 @@ from ..streaming.feed import GraphFeed
 from ..streaming.outbox import OutboxStore
 from ..streaming.rollup import DaySums
 from ..streaming.tables import VersionedTable
-from .queries import RULES, _violations, _VIOLATIONS, query
+from .queries import RULES, SQL, _violations, _VIOLATIONS, query
 from .views_sql import sql
 
 # ---------------------------------------------------------------- telemetry stores and events
@@ -69,9 +69,10 @@ def _(s, d):
     return telemetry.status(V.telemetry(s, d), None)
 
 
-@query("status_of_no_store", "select cast(0 as bigint) total, cast(0 as bigint) unsynced, 'org_a' org_id")
+@query("status_of_no_store", sql("telemetry", "select count(*) total, count(*) filter (where synced = 0) unsynced, 'org_a' org_id from telemetry where client_id = 'nobody'"))
 def _(s, d):
-    return telemetry.status(s.createDataFrame([], schemas.TELEMETRY), "org_a")
+    """What a client without any event sees."""
+    return telemetry.status(V.telemetry(s, d).filter("client_id = 'nobody'"), "org_a")
 
 
 @query("stats_scoreboard", sql("telemetry", """select client_id, n events_count, saved tokens_saved, total total_tokens_saved from (
@@ -162,13 +163,21 @@ def _(s, d):
     return render.import_counters(p.select("file_path"), p)
 
 
-def _pairs(rows) -> str:
-    return ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in rows)
+def _value(x) -> str:
+    """SQL of a value; a line break is a character of its own."""
+    return str(x) if isinstance(x, int) else "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
 
 
-@query("sample_files", f"select file_path, replace(content, '\\n', chr(10)) as content from (values {_pairs((p, c.replace(chr(10), chr(92) + 'n')) for p, c in scans.SAMPLES['shop'])}) as t(file_path, content)")
+def _values(rows) -> str:
+    return ", ".join("({})".format(", ".join(map(_value, row))) for row in rows)
+
+
+@query("sample_files", f"""select 'repo_' || c_custkey repo, file_path, content from customer
+join (values {_values((n, p, c) for n, files in scans.SAMPLES.items() for p, c in files)}) as t(sample, file_path, content) on sample = ['shop', 'ledger', 'unknown'][c_custkey % 3 + 1]""")
 def _(s, d):
-    return scans.sample(s, "shop")
+    """The sample that each repository starts with."""
+    pick = F.get(F.array(F.lit("shop"), F.lit("ledger"), F.lit("unknown")), (F.col("c_custkey") % 3).cast("int"))
+    return scans.samples_of(V.read(s, d, "customer").select(F.concat(F.lit("repo_"), F.col("c_custkey").cast("string")).alias("repo"), pick.alias("sample")))
 
 
 _PUSHED = """pushed as (select 'repo_' || (o_custkey % 40) repository, o_orderstatus branch, cast(o_orderkey as varchar) commit_sha, 'src/m' || (o_orderkey % 90) || '.ts' m, 'src/a' || (o_orderkey % 70) || '.ts' a from orders)"""
@@ -210,20 +219,26 @@ def _(s, d):
 # ---------------------------------------------------------------- rules, guard documents, grids
 
 
-def _literal(x) -> str:
-    return str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
+_PRESETS = ["nextjs-app", "fastapi", "rust", "clean-architecture"]
+_PRESET_VALUES = f"(values {_values((k, *row) for k in _PRESETS for row in guard.boundaries(guard.preset(k)))}) as r(preset, rule_ord, \"name\", from_glob, forbid_ord, forbid, message)"
 
 
-@query("preset_rules", "select * from (values " + ", ".join("('{}', {})".format(name, ", ".join(map(_literal, row))) for name in ("clean-architecture", "nextjs", "python", "rust") for row in guard.boundaries(guard.preset(name))) + ") as t(preset, rule_ord, \"name\", from_glob, forbid_ord, forbid, message)")
+@query("preset_rules", f"select repo, rule_ord, \"name\", from_glob, forbid_ord, forbid, message from ({SQL['preset_infer']}) p join {_PRESET_VALUES} on r.preset = p.preset")
 def _(s, d):
-    rows = [(name, *row) for name in ("clean-architecture", "nextjs", "python", "rust") for row in guard.boundaries(guard.load_rules(f"preset: {name}"))]
-    return s.createDataFrame(rows, f"preset STRING, {schemas.RULES}")
+    """The rules that each repository gets by its marker files."""
+    texts = guard.inferred_preset(V.repo_files(s, d)).select("repo", F.concat(F.lit("preset: "), "preset").alias("text"))
+    return guard.rules_of(texts)
 
 
-@query("rules_from_yaml", "select * from (values (0, 'A', 'a/**', 0, 'b/**', 'no'), (0, 'A', 'a/**', 1, 'c', 'no'), (1, 'B', '*', 0, 'd', 'Architectural layer boundary violation detected')) as t(rule_ord, \"name\", from_glob, forbid_ord, forbid, message)")
+@query("rules_from_yaml", f"""select 'repo_' || c_custkey repo, rule_ord, "name", from_glob, forbid_ord, replace(forbid, '@', cast(c_custkey as varchar)) forbid, message from customer
+join (select * from {_PRESET_VALUES} where preset in ('fastapi', 'clean-architecture') union all select * from (values ('own', 0, 'A', 'a/**', 0, 'b@/**', 'no'), ('own', 0, 'A', 'a/**', 1, 'c', 'no'), ('own', 1, 'B', '*', 0, 'd', 'Architectural layer boundary violation detected'))) as r(preset, rule_ord, "name", from_glob, forbid_ord, forbid, message)
+on r.preset = ['own', 'fastapi', 'clean-architecture'][c_custkey % 3 + 1]""")
 def _(s, d):
-    text = "boundaries:\n  - {name: A, from: 'a/**', cannot_import: ['b/**', c], message: 'no'}\n  - {name: B, from: '*', cannot_import: [d]}\n"
-    return s.createDataFrame(guard.boundaries(guard.load_rules(text)), schemas.RULES)
+    """Rules from each repository's own text, its preset, or without any."""
+    k = F.col("c_custkey")
+    own = F.concat(F.lit("boundaries:\n  - {name: A, from: 'a/**', cannot_import: ['b"), k.cast("string"), F.lit("/**', c], message: 'no'}\n  - {name: B, from: '*', cannot_import: [d]}\n"))
+    text = F.when(k % 3 == 0, own).when(k % 3 == 1, "preset: python")
+    return guard.rules_of(V.read(s, d, "customer").select(F.concat(F.lit("repo_"), k.cast("string")).alias("repo"), text.alias("text")))
 
 
 @query("guard_json", sql("imports", f"""+{_VIOLATIONS}, o as (select *, row_number() over (order by source_file, imported_module, rule_name, message) i from v), n as (select count(*) n from v)
@@ -275,23 +290,43 @@ def _(s, d):
     return graph.edge_statement(V.graph_edges(s, d).withColumn("weight", F.lit(0.5))).groupBy("statement").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("last_definition", sql("source_files", "select file_path, 'go' as name, 7 start_line, 9 end_line, 'export_statement' kind from source_files where ends_with(file_path, '.ts')"))
+# By extension: two definitions alike in name around another one, the mark of a
+# comment, the place and kind of the second one; and a function with its lines.
+_TWICE = {
+    "ts": ("function go() {\n  return 1;\n}\nfunction other() {\n}\n\nexport function go() {\n  return '}';\n}\n", "// ", (7, 9, "export_statement"), ("import os\n\n", "function @() {\n  return 1;\n}")),
+    "py": ("def go():\n    return 1\n\n\ndef other():\n    pass\n\n\ndef go():\n    return '}'\n", "# ", (9, 10, "function_definition"), ("import os\n\n\n", "def @():\n    return 1")),
+    "rs": ("fn go() -> u32 {\n  1\n}\nfn other() {\n}\n\npub fn go() -> u32 {\n  2\n}\n", "// ", (7, 9, "function_item"), ("use os;\n\n", "fn @() -> u32 {\n  1\n}")),
+    "go": ("func go() {\n}\n\nfunc other() {\n}\n\nfunc go() {\n  x()\n}\n", "// ", (7, 9, "function_declaration"), ("package os\n\n", "func @() {\n}")),
+}
+_EXTENSION_SQL = "regexp_extract(file_path, '[^.]*$')"
+
+
+def _by_extension(of):
+    """A column by the file's extension."""
+    ext, out = F.substring_index("file_path", ".", -1), F.lit(None)
+    for name, made in _TWICE.items():
+        out = F.when(ext == name, of(made)).otherwise(out)
+    return out
+
+
+@query("last_definition", sql("source_files", f"""select file_path, 'go' as name, start_line, end_line, kind from source_files
+join (values {_values((k, *v[2]) for k, v in _TWICE.items())}) as t(ext, start_line, end_line, kind) on ext = {_EXTENSION_SQL}"""))
 def _(s, d):
     """Of definitions alike in name the last in the file is found first, and an
     export before what it exports."""
-    body = F.lit("function go() {\n  return 1;\n}\nfunction other() {\n}\n\nexport function go() {\n  return '}';\n}\n")
-    files = V.source_files(s, d).filter(F.endswith("file_path", F.lit(".ts"))).select("file_path", F.concat(body, F.lit("// "), F.regexp_replace("content", r"[\r\n]", " ")).alias("content"))
-    nodes = slicer.syntax_nodes(files).filter("is_definition and name = 'go'")
+    text = F.concat(_by_extension(lambda t: F.lit(t[0])), _by_extension(lambda t: F.lit(t[1])), F.regexp_replace("content", r"[\r\n]", " "))
+    nodes = slicer.syntax_nodes(V.source_files(s, d).select("file_path", text.alias("content"))).filter("is_definition and name = 'go'")
     return index.latest(nodes.select("file_path", "name", (-F.col("visit_ord")).alias("o"), "start_line", "end_line", "kind"), ["file_path", "name"], ["o"]).drop("o")
 
 
-@query("failure_slices", sql("source_files", """select file_path, 'check_' || doc_id target_symbol, 'def check_' || doc_id || '():' || chr(10) || '    return 1' body from source_files where ends_with(file_path, '.py')"""))
+@query("failure_slices", sql("source_files", f"""select file_path, 'check_' || doc_id target_symbol, replace(body, '@', 'check_' || doc_id) body from source_files
+join (values {_values((k, v[3][1]) for k, v in _TWICE.items())}) as t(ext, body) on ext = {_EXTENSION_SQL}"""))
 def _(s, d):
-    """Slices of the functions that failure traces name."""
-    f = V.source_files(s, d).filter(F.endswith("file_path", F.lit(".py")))
-    name = F.concat(F.lit("check_"), F.col("doc_id").cast("string"))
-    files = f.select("file_path", F.concat(F.lit("import os\n\n\ndef "), name, F.lit("():\n    return 1\n")).alias("content"))
-    failures = f.select("file_path", F.concat(F.lit("FAILED\ntests::unit::"), name, F.lit(" (x)")).alias("trace"))
+    """Slices of the functions that failure traces name, in every file."""
+    f = V.source_files(s, d).withColumn("name", F.concat(F.lit("check_"), F.col("doc_id").cast("string")))
+    function = F.replace(_by_extension(lambda t: F.lit(t[3][1])), F.lit("@"), F.col("name"))
+    files = f.select("file_path", F.concat(_by_extension(lambda t: F.lit(t[3][0])), function, F.lit("\n")).alias("content"))
+    failures = f.select("file_path", F.concat(F.lit("FAILED\ntests::unit::"), "name", F.lit(" (x)")).alias("trace"))
     return slicer.slices_of_failures(files, failures).select("file_path", "target_symbol", F.array_join("sparse_code_lines.line", "\n").alias("body"))
 
 

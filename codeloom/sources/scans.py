@@ -70,3 +70,11 @@ SAMPLES = {
 def sample(spark: SparkSession, name: str) -> DataFrame:
     """(file_path, content) of a sample; no rows for an unknown name."""
     return spark.createDataFrame(SAMPLES.get(name, []), "file_path string, content string")
+
+
+def samples_of(repos: DataFrame) -> DataFrame:
+    """The files of the sample that each repository (repo, sample) starts with:
+    (repo, file_path, content); none for an unknown sample."""
+    rows = [(name, path, content) for name, files in SAMPLES.items() for path, content in files]
+    files = repos.sparkSession.createDataFrame(rows, "sample string, file_path string, content string")
+    return repos.join(F.broadcast(files), "sample").select("repo", "file_path", "content")  # the samples are a few files
