@@ -24,6 +24,7 @@ PARSE_ERROR, NO_METHOD = -32700, -32601
 METHODS = ["initialize", "notifications/initialized", "ping", "tools/list", "tools/call"]
 
 #: The tools and what they need.
+# The tools and the arguments that each must have.
 TOOLS = {
     "get_context_slice": ["file_path", "symbol_name"],
     "verify_architecture": ["source_file", "proposed_imports"],

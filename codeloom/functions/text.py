@@ -44,6 +44,7 @@ def count_tokens_by_words(text: Column) -> Column:
     """Pieces between white space runs and punctuation, and those themselves:
     up to four characters are one token, else a token for each 3.7; at least
     one, and none for blank text."""
+    # Fixed value: the pattern of the pieces.
     pieces = F.regexp_extract_all(text, F.lit(r"(\s+|[{}()\[\],.;:+\-*/=<>!&|^~\"'`]|[^\s{}()\[\],.;:+\-*/=<>!&|^~\"'`]+)"), F.lit(1))
     each = F.aggregate(pieces, F.lit(0).cast("long"), lambda n, p: n + F.when(F.char_length(p) <= 4, F.lit(1).cast("long")).otherwise(F.ceil(F.char_length(p) / F.lit(3.7)).cast("long")))
     return F.when(text.isNull() | (trim(text) == ""), F.lit(0).cast("long")).otherwise(F.greatest(F.lit(1).cast("long"), each))

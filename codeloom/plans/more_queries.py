@@ -558,14 +558,14 @@ def _(s, d):
     return store.table.read().select("idempotency_key", "status", "retry_count", "next_try_at", "processed_at")
 
 
-@query("chat_symbols_by_table", """with q as (select doc_id, lower(coalesce(text, '')) t from documents), n as (select c_custkey k, substr(text, 1 + c_custkey % 40, 3 + c_custkey % 6) name from customer join documents on doc_id = c_custkey % (select count(*) from documents)),
+@query("chat_symbols_by_table", """with q as (select doc_id, lower(coalesce(text, '')) t from documents), n as (select c_custkey k, substr(text, 1 + c_custkey % 40, 6 + c_custkey % 9) name from customer join documents on doc_id = c_custkey % (select count(*) from documents)),
 m as (select doc_id, min(k) k from q join n on contains(t, lower(name)) group by 1), f as (select min(k) k from n where name is not null)
 select q.doc_id, n.name symbol from q left join m on m.doc_id = q.doc_id cross join f join n on n.k = coalesce(m.k, f.k)""")
 def _(s, d):
     """The first of many names, taken out of the documents, that each holds."""
     docs, c = V.read(s, d, "documents"), V.read(s, d, "customer")
     n, k = docs.count(), F.col("c_custkey")
-    names = c.join(docs.select("doc_id", "text"), F.col("doc_id") == k % n).select(k.alias("ord"), F.substring(F.col("text"), (1 + k % 40).cast("int"), (3 + k % 6).cast("int")).alias("name"))
+    names = c.join(docs.select("doc_id", "text"), F.col("doc_id") == k % n).select(k.alias("ord"), F.substring(F.col("text"), (1 + k % 40).cast("int"), (6 + k % 9).cast("int")).alias("name"))
     return search.first_named(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("question")), names).select("doc_id", "symbol")
 
 
