@@ -108,6 +108,10 @@ class MergeTable:
         now = self.manifest()
         if now["ledger"].get(source, -1) >= batch:
             return None
+        # They are read for their buckets and for the merge.
+        ours = not (changes.storageLevel.useMemory or changes.storageLevel.useDisk)
+        if ours:
+            changes = changes.persist()
         buckets = self.touched(changes)
         held = {k: v for k, v in now["buckets"].items() if int(k) not in set(buckets)}
         if buckets:
@@ -118,6 +122,8 @@ class MergeTable:
             if not set(map(int, found)) <= set(buckets):
                 raise ValueError(f"a merge of {self.path} wrote rows to buckets that its changes don't touch")
             held |= dict.fromkeys(found, folder)
+        if ours:
+            changes.unpersist()
         version = now["version"] + 1
         self._commit({**now, "version": version, "buckets": held, "ledger": {**now["ledger"], source: batch}, "last": source})
         self.clean_up()
