@@ -4,9 +4,14 @@
 Texts are alike if their sets of shingles have Jaccard similarity J >= s, at
 any size of the corpus.  Candidates come from prefixes: with all shingles in
 one order, two sets with J >= s share a shingle among the first
-n - ceil(s n) + 1 of each.  The order puts shingles of many texts last, so a
-template's shingles stay out of the prefixes; it may be any order, so the
-counts behind it may be rough.  Of the texts that meet at a shingle those go on
+n - ceil(s n) + 1 of each.  The order is by how many texts have a shingle, so
+passages that unrelated texts share, and what a family of copies shares, stay
+out of the prefixes of all that have enough of their own.  It may be any order,
+so the counts behind it may be rough: those of the ``KNOWN`` most frequent
+shingles come last, all others by ``CELLS`` counts of shingles with equal bits.
+The more texts there are, the more shingles share a count, but a prefix takes
+the lowest fifth of its text's counts, and a shingle of d texts is hardly there
+unless d is within some roots of the mean count.  Of the texts that meet at a shingle those go on
 whose sizes and places in the order leave room for the similarity (at the first
 shingle they share, true pairs always do).  Every candidate is verified on the
 complete sets.
@@ -45,6 +50,8 @@ from .components import connected_components
 SMALL, HUBS = 16, 4
 #: Frequent shingles that a task tells, a merging task, and the order knows.
 TOLD, MERGED, KNOWN = 4096, 16_384, 65_536
+#: Counts of shingles, and the slices in which they are added up.
+CELLS, SLICES = 1 << 22, 16
 _MERGERS = 16
 #: A quarter of this is what a worker compares at once, in compressed bytes.
 PAIR_BYTES = 16 << 20
@@ -52,6 +59,7 @@ PAIR_BYTES = 16 << 20
 PAIRS_AT_ONCE = 1 << 20
 _ENTRY = np.dtype([("key", "<u4"), ("before", "<u4"), ("before_more", "<u2"), ("row", "<u4"), ("size", "<u4"), ("pos", "<u4"), ("tail", "<u8"), ("label", "<i8")])
 _COUNT = np.dtype([("h", "<u8"), ("n", "<i8")])
+_CELL = np.dtype([("n", "<u4")])
 _LABEL = np.dtype([("row", "<i4"), ("label", "<i8")])
 _TOP = np.uint64(1 << 63)
 
@@ -105,8 +113,9 @@ def _signed(block: np.ndarray, row: np.ndarray, ids: pa.Array, sig: list[bytes])
 
 def _sign(batches, id_col: str, text_col: str, words: int):
     """A digest of each row's set; and, with block -1, the shingles that most
-    texts of the task have."""
+    texts of the task have, with block -2 its counts, a slice a row."""
     held: list[np.ndarray] = []
+    cells = np.zeros(CELLS, np.uint32)
     for batch in batches:
         for k in range(batch.num_rows):
             block, table = batch["block"][k].as_py(), unpack(batch["payload"][k].as_buffer())
@@ -116,12 +125,20 @@ def _sign(batches, id_col: str, text_col: str, words: int):
             h, first = shingle_sets(table[text_col], words)
             sigs = [xxhash.xxh3_128_digest(h[a:b].tobytes()) for a, b in zip(first[:-1], first[1:], strict=True)]
             yield _signed(np.full(n, block, np.int64), np.arange(n, dtype=np.int32), table[id_col].combine_chunks().cast(pa.int64()), sigs)
+            cells += np.bincount(_cell(h), minlength=CELLS).astype(np.uint32)
             h, n = np.unique(h, return_counts=True)
             now = np.zeros(int((n > 1).sum()), _COUNT)
             now["h"], now["n"] = h[n > 1], n[n > 1]
             held = [_most([*held, now], 4 * TOLD)]
     if held:
         yield _signed(np.array([-1]), np.array([0]), pa.array([None], pa.int64()), [_most(held, TOLD).tobytes()])
+        slices = [squeezed(to_planes(x.view(_CELL))) for x in np.split(cells, SLICES)]
+        yield _signed(np.full(SLICES, -2), np.arange(SLICES), pa.array([None] * SLICES, pa.int64()), slices)
+
+
+def _cell(h: np.ndarray) -> np.ndarray:
+    """The count that a shingle shares with others."""
+    return (h % np.uint64(CELLS)).astype(np.int64)
 
 
 def _most(counts: list[np.ndarray], most: int) -> np.ndarray:
@@ -144,19 +161,43 @@ def _merged(batches):
 def frequent_shingles(signed: DataFrame) -> np.ndarray:
     """The most frequent shingles by hash, the rarest of them first."""
     body = T.StructType([T.StructField("body", T.BinaryType())])
-    rows = signed.filter("block < 0").select("sig").repartition(_MERGERS).mapInArrow(_merged, body).collect()
+    rows = signed.filter("block = -1").select("sig").repartition(_MERGERS).mapInArrow(_merged, body).collect()
     return _most([np.frombuffer(bytes(r.body), _COUNT) for r in rows], KNOWN)["h"][::-1].copy()
 
 
+def _added(batches):
+    """The sums of whole slices, as ranks: exact to 127, then eight an octave."""
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, body in zip(batch["row"].to_pylist(), batch["sig"], strict=True):
+            n = from_planes(unsqueezed(body.as_buffer()), _CELL)["n"].astype(np.int64)
+            held[k] = held[k] + n if k in held else n
+    for k, n in held.items():
+        rank = np.where(n < 128, n, np.minimum(128 + 8 * np.log2(np.maximum(n, 128) / 128), 255)).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([squeezed(rank.tobytes())], pa.binary())], names=["row", "body"])
+
+
+def rough_counts(signed: DataFrame) -> np.ndarray:
+    """A rank for each cell: the higher, the more texts have its shingles."""
+    body = T.StructType([T.StructField("row", T.IntegerType()), T.StructField("body", T.BinaryType())])
+    rows = signed.filter("block = -2").select("row", "sig").repartition(SLICES, "row").mapInArrow(_added, body).collect()
+    out = np.zeros((SLICES, CELLS // SLICES), np.uint8)
+    for r in rows:
+        out[r.row] = np.frombuffer(unsqueezed(bytes(r.body)), np.uint8)
+    return out.reshape(-1)
+
+
 def _shared(sizes: np.ndarray, similarity: float) -> np.ndarray:
     """Least number of common shingles of two sets with so many together."""
     return np.ceil(similarity / (1 + similarity) * sizes - 1e-9)
 
 
-def _in_order(h: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """A number for each shingle that tells its place in the order: the
-    frequent ones last, by their place among them."""
+def _in_order(h: np.ndarray, frequent: np.ndarray, ranks: np.ndarray | None = None) -> np.ndarray:
+    """A number for each shingle that tells its place in the order: by the rank
+    of its cell; the frequent ones last, by their place among them."""
     place = mix64(h) & ~_TOP
+    if ranks is not None:
+        place = ranks[_cell(h)].astype(np.uint64) << np.uint64(55) | place >> np.uint64(8)
     if len(frequent) and len(h):
         by_hash = np.argsort(frequent)
         at = by_hash[np.minimum(np.searchsorted(frequent, h, sorter=by_hash), len(frequent) - 1)]
@@ -165,14 +206,14 @@ def _in_order(h: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return place
 
 
-def _entries(table: pa.Table, bodies: list[bytes], text_col: str, words: int, similarity: float, frequent: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+def _entries(table: pa.Table, bodies: list[bytes], text_col: str, words: int, similarity: float, frequent: np.ndarray, parts: int, ranks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """An entry for each shingle in the prefixes of the rows that the bodies
     name, with their labels."""
     named = np.sort(np.frombuffer(b"".join(bodies), _LABEL), order="row")
     h, first = shingle_sets(table[text_col].take(pa.array(named["row"])), words)
     size = np.diff(first)
     owner = np.repeat(np.arange(len(size)), size)
-    place = _sorted_each(_in_order(h, frequent), first)
+    place = _sorted_each(_in_order(h, frequent, ranks), first)
     pos = np.arange(len(h)) - np.repeat(first[:-1], size)
     prefix = size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1
     keep = pos < prefix[owner]
@@ -342,11 +383,11 @@ def _links(blocks: DataFrame, pairs: DataFrame, text_col: str, words: int, simil
     return found
 
 
-def groups(blocks: DataFrame, least: DataFrame, frequent: np.ndarray, text_col: str, words: int, similarity: float) -> DataFrame:
+def groups(blocks: DataFrame, least: DataFrame, frequent: np.ndarray, ranks: np.ndarray, text_col: str, words: int, similarity: float) -> DataFrame:
     """(node, root) numbers of the rows that are like another one; ``least``:
     the rows (uid) that are compared."""
     tasks = exchange_tasks(blocks)
-    make = partial(_entries, text_col=text_col, words=words, similarity=similarity, frequent=frequent, parts=PARTS_PER_PARTITION * tasks)
+    make = partial(_entries, text_col=text_col, words=words, similarity=similarity, frequent=frequent, parts=PARTS_PER_PARTITION * tasks, ranks=ranks)
 
     def candidates(rows: DataFrame, rest: bool) -> DataFrame:
         asked = ask(blocks, make, rows.mapInArrow(_labelled, BODY), _to_planes)
@@ -391,9 +432,9 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # The least of equal sets first, so that a group of copies is one entry.
     uid = F.expr("(shiftright(best.block, 32) << 40) | ((best.block & 1048575L) << 20) | best.row").alias("uid")
     least = checkpointed(signed.filter("block >= 0").groupBy("sig").agg(pick).select("best.block", "best.row", "best.id", uid))
-    frequent = frequent_shingles(signed)
+    frequent, ranks = frequent_shingles(signed), rough_counts(signed)
     release(spark, signed)
-    roots = groups(blocks, least.select("uid"), frequent, text_col, words, similarity)
+    roots = groups(blocks, least.select("uid"), frequent, ranks, text_col, words, similarity)
     numbered = least.join(roots, F.col("uid") == F.col("node"), "left")
     best = numbered.groupBy(F.coalesce("root", "uid").alias("leader")).agg(pick).select("best.block", "best.row")
     return with_answers(blocks, best.mapInArrow(_kept, BODY), _keep, docs.schema)

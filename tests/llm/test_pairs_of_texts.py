@@ -226,6 +226,27 @@ def test_links_do_not_depend_on_the_corpus_size(spark):
         assert sorted(r.doc_id for r in kept) == want + [r[0] for r in more]
 
 
+def test_texts_that_share_a_passage_are_no_candidates(spark, monkeypatch):
+    """Each of twelve passages once in every partition, so that no task sees it
+    twice: its texts are not alike, and aren't compared, while copies are."""
+    from codeloom.llm import similar
+
+    rng = random.Random(17)
+    passages = [words(rng, 30, 5000) for _ in range(12)]
+    rows = [(12 * k + j, " ".join(words(rng, 200, 5000) + passage + words(rng, 200, 5000)), "en") for k in range(40) for j, passage in enumerate(passages)]
+    copies = [(1000 + k, " ".join(changed(rng, rows[7 * k][1].split(), 3, f"s{k}")), "en") for k in range(20)]
+    compared, links = [], similar._links
+
+    def counted(blocks, pairs, *more):
+        compared.append(pairs.filter("a != b").count())
+        return links(blocks, pairs, *more)
+
+    monkeypatch.setattr(similar, "_links", counted)
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 40), DOCS).union(spark.createDataFrame(copies, DOCS))
+    assert sorted(r.doc_id for r in keep_one_of_each(docs).collect()) == list(range(480))
+    assert 20 <= sum(compared) < 40
+
+
 def test_no_pair_is_lost_before_it_is_verified():
     """Candidates without Spark, all labels different: every true pair is there,
     in groups around a template, among fragments and in short texts."""
