@@ -186,8 +186,12 @@ def named_in(questions: DataFrame, names: list[str]) -> DataFrame:
     return questions.withColumn("symbol", F.coalesce(F.get(hit, F.lit(0)), F.lit(names[0])))
 
 
-#: Characters of the grams by which texts that hold others are found.
-GRAM = 3
+#: Characters of the grams by which texts that hold others are found: of short
+#: words, and of all from the greater length on.
+GRAM, LONG_GRAM = 3, 6
+
+#: The first names, which are tried without a join.
+SOON = 64
 
 
 #: Portions of the words that one text may hold: each takes the text along.
@@ -196,7 +200,8 @@ PORTIONS = 16
 
 def _word_grams(word: Column) -> Column:
     """The distinct grams of a word; a shorter one is its own."""
-    each = F.transform(F.sequence(F.lit(1), F.char_length(word) - (GRAM - 1)), lambda i: F.substring(word, i, F.lit(GRAM)))
+    size = F.when(F.char_length(word) < LONG_GRAM, GRAM).otherwise(LONG_GRAM)
+    each = F.transform(F.sequence(F.lit(1), F.char_length(word) - size + 1), lambda i: F.substring(word, i, size))
     return F.when(F.char_length(word) < GRAM, F.array(word)).otherwise(F.array_distinct(each))
 
 
@@ -204,7 +209,7 @@ def _text_grams(batches):
     """(key, gram): the distinct grams of each text, and its shorter ones."""
     for batch in batches:
         for key, text in zip(batch["key"].to_pylist(), batch["text"].to_pylist(), strict=True):
-            grams = list({text[i : i + n] for n in range(1, GRAM + 1) for i in range(len(text) - n + 1)})
+            grams = list({text[i : i + n] for n in (*range(1, GRAM + 1), LONG_GRAM) for i in range(len(text) - n + 1)})
             yield pa.RecordBatch.from_arrays([pa.array([key] * len(grams), pa.string()), pa.array(grams, pa.string())], names=["key", "gram"])
 
 
@@ -230,14 +235,28 @@ def holding(texts: DataFrame, words: DataFrame) -> DataFrame:
 def first_named(questions: DataFrame, names: DataFrame) -> DataFrame:
     """``questions`` (question, ...) with symbol: of the ``names`` (ord, name),
     a table of any size, the first that the question holds in any case, else
-    the first of all.  A blank name is held by every question that isn't null."""
+    the first of all.  A blank name is held by every question that isn't null.
+
+    Names after a blank one are never the first.  The ``SOON`` first of the
+    others are tried one by one; only questions that hold none of them meet the
+    rest of the table."""
     low = names.filter("name is not null").select("ord", "name", F.lower("name").alias("word"))
-    first = low.groupBy("word").agg(F.min(F.struct("ord", "name")).alias("first"))
-    low_question = F.lower("question")
-    asked = questions.select(F.sha2(low_question, 256).alias("key"), low_question.alias("text")).distinct()
-    found = holding(asked, first).join(first, "word").groupBy("key").agg(F.min("first").alias("_found"))
     # One row: the first name, and the first blank one.
-    ends = low.agg(F.min(F.struct("ord", "name")).alias("_first"), F.min(F.when(F.col("word") == "", F.struct("ord", "name"))).alias("_blank"))
-    both = questions.join(found, F.sha2(low_question, 256) == F.col("key"), "left").withColumn("_one", F.lit(1)).join(F.broadcast(ends.withColumn("_one", F.lit(1))), "_one")
+    ends = low.agg(F.min(F.struct("ord", "name")).alias("_first"), F.min(F.when(F.col("word") == "", F.struct("ord", "name"))).alias("_blank")).withColumn("_one", F.lit(1))
+    first = low.filter("word <> ''").groupBy("word").agg(F.min(F.struct("ord", "name")).alias("first")).withColumn("_one", F.lit(1))
+    first = first.join(F.broadcast(ends), "_one").filter("_blank is null or first < _blank").select("word", "first")
+    entry = first.schema["first"].dataType
+    literal = lambda r: F.struct(F.lit(r["ord"]).alias("ord"), F.lit(r["name"]).alias("name")).cast(entry)
+    soon = first.orderBy("first", "word").limit(SOON).collect()
+    low_question = F.lower("question")
+    tried = F.coalesce(F.lit(None).cast(entry), *[F.when(F.contains(low_question, F.lit(r["word"])), literal(r["first"])) for r in soon])
+    both = questions.withColumn("_found", tried)
+    if len(soon) == SOON:
+        later = first.join(F.broadcast(first.sparkSession.createDataFrame([(r["word"],) for r in soon], "word string")), "word", "left_anti")
+        left = both.withColumn("key", F.when(F.col("_found").isNull(), F.sha2(low_question, 256)))
+        asked = left.filter("key is not null").select("key", low_question.alias("text")).distinct()
+        found = holding(asked, later).join(later, "word").groupBy("key").agg(F.min("first").alias("_later"))
+        both = left.join(found, "key", "left").withColumn("_found", F.coalesce("_found", "_later"))
+    both = both.withColumn("_one", F.lit(1)).join(F.broadcast(ends), "_one")
     blank = F.when(low_question.isNotNull(), F.col("_blank"))
     return both.select(*questions.columns, F.coalesce(F.least("_found", blank), F.col("_first"))["name"].alias("symbol"))

@@ -111,3 +111,23 @@ def test_the_first_of_many_names(spark):
         assert got.columns == ["k", "question", "symbol"]
         assert sorted((r.k, r.symbol) for r in got.collect()) == plain_first(questions, some)
     assert search.first_named(asked.limit(0), table).count() == 0
+def test_later_names_meet_only_questions_without_an_earlier_one(spark, monkeypatch):
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    names = [(k, word(2) if k % 2 else "".join(rng.choice("mnopq") for _ in range(9))) for k in range(600)]
+    questions = [(k, " ".join(word(6) for _ in range(30))) for k in range(200)] + [(500 + k, "zz " + names[400 + 2 * k][1].upper() + "x") for k in range(20)] + [(900, "zzzz")]
+    met, holding = [], search.holding
+
+    def counted(texts, words):
+        met.append((texts.count(), words.count()))
+        return holding(texts, words)
+
+    monkeypatch.setattr(search, "holding", counted)
+    asked = spark.createDataFrame(questions, "k int, question string").repartition(3)
+    for some, texts in ((names, 60), ([*names, (200, "")], 60), ([*names, (30, "")], None)):
+        met.clear()
+        got = search.first_named(asked, spark.createDataFrame(some, "ord int, name string"))
+        assert sorted((r.k, r.symbol) for r in got.collect()) == plain_first(questions, sorted(some))
+        assert met == [] if texts is None else 20 <= met[0][0] < texts
+
+
