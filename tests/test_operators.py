@@ -582,6 +582,24 @@ def test_rules_as_a_table_equal_rules_in_the_plan(spark):
     assert guard.check_imports_by(imports, table.limit(0)).count() == guard.check_imports_by(imports.limit(0), table).count() == 0
 
 
+def most_rows(plan):
+    """The most rows that an operator of a plan that has run gave."""
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        return most_rows(plan.executedPlan())
+    rows = plan.metrics().get("numOutputRows")
+    below = plan.plan() if "QueryStage" in plan.nodeName() else None
+    inner = [plan.children().apply(k) for k in range(plan.children().size())] + [below] * (below is not None)
+    return max([rows.get().value() if rows.isDefined() else 0, *map(most_rows, inner)])
+
+
+def test_rules_that_say_the_same_do_not_multiply(spark):
+    rules = [(f"rule {k:04}", "src/**", ["db/**", "/d?e*"], "m") for k in range(2000)]
+    imports = spark.createDataFrame([(k, f"src/{k}", "db/x") for k in range(1000)], "n int, source_file string, imported_module string")
+    found = guard.check_imports_by(imports, spark.createDataFrame(guard.boundaries(rules), schemas.RULES))
+    assert {(r.n, r.rule_name) for r in found.collect()} == {(k, "rule 0000") for k in range(1000)}
+    assert most_rows(found._jdf.queryExecution().executedPlan()) < 10_000
+
+
 def plain_reach(edges, seeds, hops):
     out = {}
     for seed in seeds:
