@@ -1,9 +1,17 @@
-"""Near-dedup at a similarity: an exact set join (operator 9 where two bits of
-64 are too strict).
+"""Near-dedup at a similarity: operator 9's SimHash, each link verified, and an
+exact set join of what it leaves apart.
 
 Texts are alike if their sets of shingles have Jaccard similarity J >= s, at
-any size of the corpus.  Candidates come from prefixes: with all shingles in
-one order, two sets with J >= s share a shingle among the first
+any size of the corpus.  First come the links of SimHash: fingerprints of the
+sets, met by multi-index hashing within two bits.  Each text is compared with
+the first of its fingerprint, and that one with the first of the least
+fingerprint near its own, so a group of any size has no more than two
+comparisons a text.
+
+Two bits of 64 find copies with few edits only (a pair at 0.8 differs in some
+ten), so the set join looks for all other links, and passes over pairs whose
+texts SimHash linked to one text.  Its candidates come from prefixes: with all
+shingles in one order, two sets with J >= s share a shingle among the first
 n - ceil(s n) + 1 of each.  The order is by how many texts have a shingle, so
 passages that unrelated texts share, and what a family of copies shares, stay
 out of the prefixes of all that have enough of their own.  It may be any order,
@@ -46,6 +54,7 @@ from pyspark.sql import types as T
 
 from .common import PARTS_PER_PARTITION, _pieces, ask, blocks_of, checkpointed, dealt_join, exchange_tasks, fair_share, from_planes, full_windows, hot_keys, lower_hashes, mix64, release, squeezed, text_buffers, to_planes, unpack, unsqueezed, window_hash, with_answers, words_of
 from .components import connected_components
+from .simhash import fingerprint, links
 
 SMALL, HUBS = 16, 4
 #: Frequent shingles that a task tells, a merging task, and the order knows.
@@ -104,16 +113,18 @@ def shingle_sets(text: pa.Array | pa.ChunkedArray, width: int) -> tuple[np.ndarr
     return h[new], np.r_[0, np.cumsum(new)][first]
 
 
-SIGNED = T.StructType([T.StructField("block", T.LongType()), T.StructField("row", T.IntegerType()), T.StructField("id", T.LongType()), T.StructField("sig", T.BinaryType())])
+SIGNED = T.StructType([T.StructField("block", T.LongType()), T.StructField("row", T.IntegerType()), T.StructField("id", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("fp", T.LongType())])
 
 
-def _signed(block: np.ndarray, row: np.ndarray, ids: pa.Array, sig: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(row, pa.int32()), ids, pa.array(sig, pa.binary())], names=SIGNED.names)
+def _signed(block: np.ndarray, row: np.ndarray, ids: pa.Array, sig: list[bytes], fps: list[int] | None = None) -> pa.RecordBatch:
+    fp = pa.array(fps or [None] * len(sig), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(row, pa.int32()), ids, pa.array(sig, pa.binary()), fp], names=SIGNED.names)
 
 
 def _sign(batches, id_col: str, text_col: str, words: int):
-    """A digest of each row's set; and, with block -1, the shingles that most
-    texts of the task have, with block -2 its counts, a slice a row."""
+    """A digest and the SimHash of each row's set; and, with block -1, the
+    shingles that most texts of the task have, with block -2 its counts, a
+    slice a row."""
     held: list[np.ndarray] = []
     cells = np.zeros(CELLS, np.uint32)
     for batch in batches:
@@ -123,8 +134,9 @@ def _sign(batches, id_col: str, text_col: str, words: int):
             if n > 1 << 20:
                 raise ValueError(f"a block has {n} rows")
             h, first = shingle_sets(table[text_col], words)
-            sigs = [xxhash.xxh3_128_digest(h[a:b].tobytes()) for a, b in zip(first[:-1], first[1:], strict=True)]
-            yield _signed(np.full(n, block, np.int64), np.arange(n, dtype=np.int32), table[id_col].combine_chunks().cast(pa.int64()), sigs)
+            sets = [h[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
+            sigs = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
+            yield _signed(np.full(n, block, np.int64), np.arange(n, dtype=np.int32), table[id_col].combine_chunks().cast(pa.int64()), sigs, [fingerprint(x) for x in sets])
             cells += np.bincount(_cell(h), minlength=CELLS).astype(np.uint32)
             h, n = np.unique(h, return_counts=True)
             now = np.zeros(int((n > 1).sum()), _COUNT)
@@ -366,6 +378,22 @@ def _labelled(batches):
         yield _bodies(block, rows)
 
 
+def near_fingerprints(least: DataFrame) -> DataFrame:
+    """Candidates (a, b) by SimHash: each row (uid, fp) with the first of its
+    fingerprint, and that one with the first of the least fingerprint within
+    two bits."""
+    classes = checkpointed(least.groupBy("fp").agg(F.min("uid").alias("first"), F.count(F.lit(1)).alias("n")))
+    share = fair_share(classes.agg(F.sum("n")).first()[0] or 0, least.sparkSession)
+    first = classes.select("fp", "first")
+    same = dealt_join(least.select("uid", "fp"), first, ["fp"], hot_keys(classes, ["fp"], share)).select(F.col("first").alias("x"), F.col("uid").alias("y"))
+    ways = links(classes.select("fp")).select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("way"))
+    near = ways.groupBy(F.col("way.a").alias("fp")).agg(F.min("way.b").alias("other"))
+    near = near.join(first, "fp").select(F.col("first").alias("x"), F.col("other").alias("fp")).join(first, "fp").select("x", F.col("first").alias("y"))
+    pairs = checkpointed(same.unionByName(near).filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    release(least.sparkSession, classes)
+    return pairs
+
+
 def _links(blocks: DataFrame, pairs: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame:
     """Those of the candidates that are alike, by their complete sets."""
     spark = blocks.sparkSession
@@ -385,7 +413,7 @@ def _links(blocks: DataFrame, pairs: DataFrame, text_col: str, words: int, simil
 
 def groups(blocks: DataFrame, least: DataFrame, frequent: np.ndarray, ranks: np.ndarray, text_col: str, words: int, similarity: float) -> DataFrame:
     """(node, root) numbers of the rows that are like another one; ``least``:
-    the rows (uid) that are compared."""
+    the rows (uid, fp) that are compared."""
     tasks = exchange_tasks(blocks)
     make = partial(_entries, text_col=text_col, words=words, similarity=similarity, frequent=frequent, parts=PARTS_PER_PARTITION * tasks, ranks=ranks)
 
@@ -393,8 +421,15 @@ def groups(blocks: DataFrame, least: DataFrame, frequent: np.ndarray, ranks: np.
         asked = ask(blocks, make, rows.mapInArrow(_labelled, BODY), _to_planes)
         return checkpointed(asked.repartition(tasks, "part").mapInArrow(partial(_meet, similarity=similarity, rest=rest), PAIR).distinct())
 
-    pairs = candidates(least.select("uid", F.lit(-1).cast("long").alias("label")), False)
-    roots = connected_components(_links(blocks, pairs, text_col, words, similarity))
+    near = near_fingerprints(least)
+    known = _links(blocks, near, text_col, words, similarity)
+    release(blocks.sparkSession, near)
+    # Of each text the least that it is linked to: equal ones are of one component.
+    ends = known.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("end"))
+    ends = ends.groupBy(F.col("end.a").alias("uid")).agg(F.min("end.b").alias("other"))
+    label = F.when(F.col("other").isNull(), -1).otherwise(F.least("uid", "other")).cast("long").alias("label")
+    pairs = candidates(least.join(ends, "uid", "left").select("uid", label), False)
+    roots = connected_components(known.unionByName(_links(blocks, pairs, text_col, words, similarity)))
     crowd = pairs.filter("a = b").select(F.col("a").alias("uid"))
     if crowd.isEmpty():
         return roots
@@ -431,10 +466,10 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     signed = checkpointed(blocks.mapInArrow(partial(_sign, id_col=id_col, text_col=text_col, words=words), SIGNED))
     # The least of equal sets first, so that a group of copies is one entry.
     uid = F.expr("(shiftright(best.block, 32) << 40) | ((best.block & 1048575L) << 20) | best.row").alias("uid")
-    least = checkpointed(signed.filter("block >= 0").groupBy("sig").agg(pick).select("best.block", "best.row", "best.id", uid))
+    least = checkpointed(signed.filter("block >= 0").groupBy("sig").agg(pick, F.first("fp").alias("fp")).select("best.block", "best.row", "best.id", uid, "fp"))
     frequent, ranks = frequent_shingles(signed), rough_counts(signed)
     release(spark, signed)
-    roots = groups(blocks, least.select("uid"), frequent, ranks, text_col, words, similarity)
+    roots = groups(blocks, least.select("uid", "fp"), frequent, ranks, text_col, words, similarity)
     numbered = least.join(roots, F.col("uid") == F.col("node"), "left")
     best = numbered.groupBy(F.coalesce("root", "uid").alias("leader")).agg(pick).select("best.block", "best.row")
     return with_answers(blocks, best.mapInArrow(_kept, BODY), _keep, docs.schema)

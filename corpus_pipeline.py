@@ -35,7 +35,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar texts: the least doc_id."""
+    """One document of each group of similar texts: the least doc_id.  Links of
+    SimHash by multi-index hashing, each verified, then those it can't see."""
     return keep_one_of_each(docs, words=5, similarity=0.8)
 
 

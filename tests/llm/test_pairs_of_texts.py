@@ -10,6 +10,7 @@ from codeloom.llm import common, components, queries
 from codeloom.llm.similar import keep_one_of_each
 from codeloom.llm.simhash import near_duplicates
 from codeloom.llm.substrings import cover_for, dedup_substrings
+from pyspark.sql import functions as F
 
 from .helpers import DOCS, awkward, split, words
 
@@ -247,6 +248,65 @@ def test_texts_that_share_a_passage_are_no_candidates(spark, monkeypatch):
     assert 20 <= sum(compared) < 40
 
 
+def within_two(fps):
+    return {(x, y) for x in range(len(fps)) for y in range(x + 1, len(fps)) if (fps[x] ^ fps[y]).bit_count() <= 2}
+
+
+def test_simhash_finds_its_links_before_the_set_join(spark, monkeypatch):
+    """The first pairs compared are those within two bits by brute force, the
+    set join doesn't compare them again, and the groups are the exact ones."""
+    import pyarrow as pa
+    from codeloom.llm import similar
+    from codeloom.llm.simhash import fingerprint
+
+    rng = random.Random(21)
+    rows = near_the_limit(rng, 30)
+    for k in range(30):
+        text = words(rng, 1000, 5000)
+        rows += [(100 + 2 * k, " ".join(text), "en"), (101 + 2 * k, " ".join(changed(rng, text, 1, f"q{k}")), "en")]
+    h, first = similar.shingle_sets(pa.array([t for _, t, _ in rows]), 5)
+    near = within_two([fingerprint(h[a:b]) & (1 << 64) - 1 for a, b in zip(first[:-1], first[1:])])
+    compared, links = [], similar._links
+
+    def seen(blocks, pairs, *more):
+        compared.append({tuple(r) for r in pairs.filter("a != b").collect()})
+        return links(blocks, pairs, *more)
+
+    monkeypatch.setattr(similar, "_links", seen)
+    kept = sorted(r.doc_id for r in keep_one_of_each(spark.createDataFrame(rows, DOCS)).collect())
+    assert kept == plain_groups(rows)
+    assert len(compared[0]) == len(near) > 10
+    assert len(compared[1]) > 10 and not compared[0] & compared[1]
+
+
+def test_pairs_of_near_fingerprints(spark):
+    """Each fingerprint with another near it is met, by two pairs a row at most."""
+    from codeloom.llm.similar import near_fingerprints
+
+    rng = random.Random(22)
+    fps = [0] * 40 + [(1 << 63) - 1]
+    for _ in range(60):
+        base = rng.getrandbits(64) - (1 << 63)
+        fps += [base, base ^ 1 << rng.randrange(63) ^ 1 << rng.randrange(63), base ^ 7 << rng.randrange(60)]
+    uids = rng.sample(range(10_000), len(fps))
+    fp_of = dict(zip(uids, fps))
+    got = [tuple(r) for r in near_fingerprints(spark.createDataFrame(list(fp_of.items()), "uid long, fp long")).collect()]
+    assert len(got) == len(set(got)) <= 2 * len(fps) and all(a < b for a, b in got)
+    assert all(((fp_of[a] ^ fp_of[b]) & (1 << 64) - 1).bit_count() <= 2 for a, b in got)
+    met = {fp_of[x] for pair in got for x in pair}
+    assert met == {x for x in fps if sum(((x ^ y) & (1 << 64) - 1).bit_count() <= 2 for y in fps) > 1}
+    assert sum(fp_of[a] == 0 == fp_of[b] for a, b in got) == 39
+
+
+def test_simhash_links_are_verified(spark, monkeypatch):
+    """Wrong links of fingerprints join nothing, and part nothing."""
+    from codeloom.llm import similar
+
+    rows = near_the_limit(random.Random(23), 40)
+    monkeypatch.setattr(similar, "near_fingerprints", lambda least: common.checkpointed(least.selectExpr("least(uid, uid ^ 1) as a", "greatest(uid, uid ^ 1) as b").distinct().join(least.select("uid"), F.col("b") == F.col("uid")).select("a", "b")))
+    assert sorted(r.doc_id for r in keep_one_of_each(spark.createDataFrame(rows, DOCS)).collect()) == plain_groups(rows)
+
+
 def test_no_pair_is_lost_before_it_is_verified():
     """Candidates without Spark, all labels different: every true pair is there,
     in groups around a template, among fragments and in short texts."""
