@@ -52,7 +52,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import PARTS_PER_PARTITION, _pieces, ask, blocks_of, checkpointed, dealt_join, exchange_tasks, fair_share, from_planes, full_windows, hot_keys, lower_hashes, mix64, release, squeezed, text_buffers, to_planes, unpack, unsqueezed, window_hash, with_answers, words_of
+from .common import PARTS_PER_PARTITION, _pieces, ask, blocks_of, checkpointed, dealt_join, exchange_tasks, fair_share, from_planes, full_windows, hot_keys, lean, lower_hashes, mix64, release, squeezed, text_buffers, to_planes, unpack, unsqueezed, window_hash, with_answers, words_of
 from .components import connected_components
 from .simhash import fingerprint, links
 
@@ -173,7 +173,7 @@ def _merged(batches):
 def frequent_shingles(signed: DataFrame) -> np.ndarray:
     """The most frequent shingles by hash, the rarest of them first."""
     body = T.StructType([T.StructField("body", T.BinaryType())])
-    rows = signed.filter("block = -1").select("sig").repartition(_MERGERS).mapInArrow(_merged, body).collect()
+    rows = signed.filter("block = -1").select("sig").repartition(_MERGERS).mapInArrow(lean(_merged), body).collect()
     return _most([np.frombuffer(bytes(r.body), _COUNT) for r in rows], KNOWN)["h"][::-1].copy()
 
 
@@ -192,7 +192,7 @@ def _added(batches):
 def rough_counts(signed: DataFrame) -> np.ndarray:
     """A rank for each cell: the higher, the more texts have its shingles."""
     body = T.StructType([T.StructField("row", T.IntegerType()), T.StructField("body", T.BinaryType())])
-    rows = signed.filter("block = -2").select("row", "sig").repartition(SLICES, "row").mapInArrow(_added, body).collect()
+    rows = signed.filter("block = -2").select("row", "sig").repartition(SLICES, "row").mapInArrow(lean(_added), body).collect()
     out = np.zeros((SLICES, CELLS // SLICES), np.uint8)
     for r in rows:
         out[r.row] = np.frombuffer(unsqueezed(bytes(r.body)), np.uint8)
@@ -399,14 +399,14 @@ def _links(blocks: DataFrame, pairs: DataFrame, text_col: str, words: int, simil
     spark = blocks.sparkSession
     pairs = pairs.filter("a != b")
     uids = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
-    asked = uids.select("uid", F.col("uid").alias("label")).mapInArrow(_labelled, BODY)
+    asked = uids.select("uid", F.col("uid").alias("label")).mapInArrow(lean(_labelled), BODY)
     schema = T.StructType([T.StructField("uid", T.LongType()), T.StructField("text", T.BinaryType())])
     texts = checkpointed(with_answers(blocks, asked, partial(_texts, text_col=text_col), schema))
     both, share = pairs, fair_share(pairs.count(), spark)
     for side in "ab":  # a hub is in many pairs
         hot = hot_keys(pairs.groupBy(side).agg(F.count(F.lit(1)).alias("n")), [side], share)
         both = dealt_join(both, texts.select(F.col("uid").alias(side), F.col("text").alias("t" + side)), [side], hot)
-    found = checkpointed(both.select("a", "b", "ta", "tb").mapInArrow(partial(_compare, words=words, similarity=similarity), PAIR))
+    found = checkpointed(both.select("a", "b", "ta", "tb").mapInArrow(lean(partial(_compare, words=words, similarity=similarity)), PAIR))
     release(spark, texts)
     return found
 
@@ -418,8 +418,8 @@ def groups(blocks: DataFrame, least: DataFrame, frequent: np.ndarray, ranks: np.
     make = partial(_entries, text_col=text_col, words=words, similarity=similarity, frequent=frequent, parts=PARTS_PER_PARTITION * tasks, ranks=ranks)
 
     def candidates(rows: DataFrame, rest: bool) -> DataFrame:
-        asked = ask(blocks, make, rows.mapInArrow(_labelled, BODY), _to_planes)
-        return checkpointed(asked.repartition(tasks, "part").mapInArrow(partial(_meet, similarity=similarity, rest=rest), PAIR).distinct())
+        asked = ask(blocks, make, rows.mapInArrow(lean(_labelled), BODY), _to_planes)
+        return checkpointed(asked.repartition(tasks, "part").mapInArrow(lean(partial(_meet, similarity=similarity, rest=rest)), PAIR).distinct())
 
     near = near_fingerprints(least)
     known = _links(blocks, near, text_col, words, similarity)
@@ -463,7 +463,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = docs.sparkSession
     pick = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "block", "row")).alias("best")
     blocks = blocks_of(docs)
-    signed = checkpointed(blocks.mapInArrow(partial(_sign, id_col=id_col, text_col=text_col, words=words), SIGNED))
+    signed = checkpointed(blocks.mapInArrow(lean(partial(_sign, id_col=id_col, text_col=text_col, words=words)), SIGNED))
     # The least of equal sets first, so that a group of copies is one entry.
     uid = F.expr("(shiftright(best.block, 32) << 40) | ((best.block & 1048575L) << 20) | best.row").alias("uid")
     least = checkpointed(signed.filter("block >= 0").groupBy("sig").agg(pick, F.first("fp").alias("fp")).select("best.block", "best.row", "best.id", uid, "fp"))
@@ -472,4 +472,4 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     roots = groups(blocks, least.select("uid", "fp"), frequent, ranks, text_col, words, similarity)
     numbered = least.join(roots, F.col("uid") == F.col("node"), "left")
     best = numbered.groupBy(F.coalesce("root", "uid").alias("leader")).agg(pick).select("best.block", "best.row")
-    return with_answers(blocks, best.mapInArrow(_kept, BODY), _keep, docs.schema)
+    return with_answers(blocks, best.mapInArrow(lean(_kept), BODY), _keep, docs.schema)

@@ -1,8 +1,11 @@
 """Substring dedup, SimHash and the similarity stage against plain versions."""
 
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 from collections import defaultdict
 
 import xxhash
@@ -307,6 +310,41 @@ def test_simhash_links_are_verified(spark, monkeypatch):
     assert sorted(r.doc_id for r in keep_one_of_each(spark.createDataFrame(rows, DOCS)).collect()) == plain_groups(rows)
 
 
+def test_workers_give_back_what_earlier_tasks_took():
+    """Python workers live on, and so did what a task had freed: the groups are
+    found beside the least memory (in a session of its own)."""
+    code = """
+import sys
+import pyarrow as pa
+from pyspark.sql import SparkSession
+from codeloom.llm.similar import keep_one_of_each
+
+def taken(batches):
+    for b in batches:
+        many = [bytes(5000) for _ in range(40_000)]
+        sys.last_taken = bytes(5000)  # a cache, say: what lies before it stays with the process
+        del many
+        yield b
+
+def held(batches):
+    for b in batches:
+        with open("/proc/self/status") as f:
+            yield pa.RecordBatch.from_arrays([pa.array([int(f.read().split("RssAnon:")[1].split()[0]) >> 10])], names=["mb"])
+
+spark = SparkSession.builder.master("local[1]").config("spark.sql.shuffle.partitions", "1").config("spark.ui.enabled", "false").getOrCreate()
+most = lambda: max(r.mb for r in spark.range(0, 2, 1, 2).mapInArrow(held, "mb long").collect())
+spark.range(0, 2, 1, 2).mapInArrow(taken, "id long").collect()
+print("before", most())
+docs = spark.createDataFrame([(k, f"a b c d e f g h {k // 2}") for k in range(8)], "doc_id long, text string")
+print("kept", keep_one_of_each(docs).count())
+print("after", most())
+"""
+    ran = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, env=os.environ | {"PYTHONPATH": os.pathsep.join(sys.path)})
+    said = {k: int(v) for k, v in (line.split() for line in ran.stdout.splitlines())}
+    assert said.get("kept") == 4, ran.stderr[-2000:]
+    assert said["before"] > 200 and said["after"] < said["before"] - 150, said
+
+
 def test_no_pair_is_lost_before_it_is_verified():
     """Candidates without Spark, all labels different: every true pair is there,
     in groups around a template, among fragments and in short texts."""
